@@ -73,7 +73,12 @@ CTES = {
                {normalize_list(acl_string_of('d.doc_id'))} AS acl_roles,
                CASE WHEN d.doc_id % 7 = 0 THEN [cast(d.doc_id % 150 AS VARCHAR)] ELSE []::VARCHAR[] END AS acl_users
         FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id,
-             LATERAL (SELECT unnest(range(0, cast(greatest(ceil((length(d.text) - {C.CHUNK_OVERLAP}) / {STEP}.0), 1) AS BIGINT))) AS i)"""),
+             LATERAL (SELECT unnest(range(0, cast(greatest(ceil((length(d.text) - {C.CHUNK_OVERLAP}) / {STEP}.0), 1) AS BIGINT))) AS i)
+        UNION ALL
+        SELECT v.chunk_id, 'pdoc_' || v.chunk_id, {q(FX.PLANTED_TENANT)}, v.text, e.embedding, 'PUBLIC',
+               {"[" + ", ".join(q(r) for r in FX.PLANTED_CHUNK_ROLES) + "]"}, []::VARCHAR[]
+        FROM {_values([(q(a), q(b)) for a, b in FX.PLANTED_CHUNKS], ['chunk_id', 'text'])}
+        CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = {FX.PLANTED_CHUNK_VEC}) e"""),
     "queries": ([], f"""
         SELECT u.query_id, u.user_id, {tenant_of('u.user_id')} AS tenant_id, {roles_of('u.user_id')} AS roles,
                u.session_id, u.query, {ts('u.k * 300')} AS ts, e.embedding AS qvec, {C.TOP_K} AS top_k
