@@ -21,6 +21,13 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a one-element
+    transform): higher-order bodies would otherwise re-evaluate it per
+    element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def as_double(v) -> Column:
     return F.transform(_col(v), lambda x: x.cast("double"))
 
@@ -35,14 +42,17 @@ def l2_norm(v) -> Column:
 
 def l2_clip(v, threshold: float = C.DP_CLIP) -> Column:
     """V1: scale to ``threshold`` when the norm exceeds it."""
-    n = l2_norm(v)
-    return F.when(n > threshold, F.transform(_col(v), lambda x: x * (F.lit(threshold) / n))).otherwise(_col(v))
+    def body(a):
+        return let(l2_norm(a), lambda n: F.when(
+            n > threshold, F.transform(a, lambda x: x * (F.lit(threshold) / n))).otherwise(a))
+    return let(_col(v), body)
 
 
 def l2_normalize(v) -> Column:
     """V2: unit projection; the zero vector is returned unchanged."""
-    n = l2_norm(v)
-    return F.when(n > 0, F.transform(_col(v), lambda x: x / n)).otherwise(_col(v))
+    def body(a):
+        return let(l2_norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a))
+    return let(_col(v), body)
 
 
 def cosine(a, b, eps: float = 0.0) -> Column:
@@ -115,13 +125,20 @@ def dp_noisy(v, row_id, key: str, epsilon: float = C.DP_EPSILON, mechanism: str
 
 def noise_stats(original, noisy) -> Column:
     """V7: l2/mean/std of (noisy - original) and cosine, rounded to 6."""
-    o, n = _col(original), _col(noisy)
-    diff = F.zip_with(n, o, lambda a, b: a - b)
-    cnt = F.size(diff)
-    mean = F.aggregate(diff, F.lit(0.0), lambda acc, x: acc + x) / cnt
-    var = F.aggregate(diff, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / cnt
-    return F.struct(
-        F.round(l2_norm(diff), 6).alias("noise_l2_norm"),
-        F.round(mean, 6).alias("noise_mean"),
-        F.round(F.sqrt(var), 6).alias("noise_std"),
-        F.round(cosine(o, n, 1e-10), 6).alias("cosine_sim"))
+    def body(pair):
+        o, n = pair["o"], pair["n"]
+        diff = F.zip_with(n, o, lambda a, b: a - b)
+
+        def with_diff(d):
+            cnt = F.size(d)
+
+            def with_mean(mean):
+                var = F.aggregate(d, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / cnt
+                return F.struct(
+                    F.round(l2_norm(d), 6).alias("noise_l2_norm"),
+                    F.round(mean, 6).alias("noise_mean"),
+                    F.round(F.sqrt(var), 6).alias("noise_std"),
+                    F.round(cosine(o, n, 1e-10), 6).alias("cosine_sim"))
+            return let(F.aggregate(d, F.lit(0.0), lambda acc, x: acc + x) / cnt, with_mean)
+        return let(diff, with_diff)
+    return let(F.struct(_col(original).alias("o"), _col(noisy).alias("n")), body)
