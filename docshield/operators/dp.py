@@ -36,7 +36,9 @@ def dp_audit(vectors: DataFrame, *, key: str, id_col: str = "chunk_id", vec_col:
 
 def _exact_mean(c: str):
     """Mean of values already rounded to 6 places, summed exactly as integers."""
-    return F.sum(F.round(F.col(c) * 1e6).cast("long")) / F.count(F.lit(1)) / 1e6
+    s = F.sum(F.round(F.col(c) * 1e6).cast("long"))
+    n = F.count(F.lit(1))
+    return F.floor((s * 2 + n) / (n * 2)) / 1e6  # half-up in integer micro-units
 
 
 def privacy_utility_sweep(queries: DataFrame, chunks: DataFrame, *, key: str, k: int = C.TOP_K,

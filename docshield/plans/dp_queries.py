@@ -195,8 +195,8 @@ def o_dp_noise_stats():
 def o_dp_audit():
     return with_ctes(["chunks"], f"""
         SELECT doc_id, round(5.0, 6) AS epsilon, round({C.DP_SENSITIVITY}, 6) AS sensitivity,
-               round(sum(cast(round(noise_l2_norm * 1e6) AS BIGINT)) / count(*) / 1e6, 6) AS noise_l2_mean,
-               round(sum(cast(round(cosine_sim * 1e6) AS BIGINT)) / count(*) / 1e6, 6) AS cosine_sim_mean,
+               round(floor((2 * sum(cast(round(noise_l2_norm * 1e6) AS BIGINT)) + count(*)) / (2 * count(*))) / 1e6, 6) AS noise_l2_mean,
+               round(floor((2 * sum(cast(round(cosine_sim * 1e6) AS BIGINT)) + count(*)) / (2 * count(*))) / 1e6, 6) AS cosine_sim_mean,
                cast(count(*) AS BIGINT) AS chunks_processed
         FROM (SELECT doc_id, {stats_sql('v', 'n')}
               FROM (SELECT doc_id, v, {noisy_sql('v', 'chunk_id', 'laplace', 5.0)} AS n
