@@ -61,6 +61,7 @@ def retrieve_candidates(queries: DataFrame, chunks: DataFrame, *, top_k: int = C
         "query_id", "rank", "chunk_id", "doc_id", "score", "block_reason", "trust", "action",
         F.col("action").isin("wrap", "pass").alias("used"),
         (F.col("action").isin("blocked", "drop")).alias("counted_blocked"),
+        F.col("text").alias("chunk_text"),
         F.when(F.col("action") == "wrap", wrapped).otherwise(F.col("text")).alias("text"))
 
 

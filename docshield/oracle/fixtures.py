@@ -102,11 +102,15 @@ CTES = {
                CASE WHEN l.doc_id % 3 = 0 THEN NULL ELSE 0.5 + (l.doc_id % 50) / 100.0 END AS confidence
         FROM queries qq JOIN labels l ON abs(qq.query_id) % 1000 = l.doc_id"""),
     "answers": ([], f"""
-        SELECT a.query_id, a.response, coalesce(cast(ev.value * 10 AS INTEGER), 0) AS latency_ms
+        SELECT a.query_id, a.response, coalesce(cast(trunc(ev.value * 10) AS INTEGER), 0) AS latency_ms
         FROM (SELECT conv_id * 100 + turn - 1 AS query_id, text AS response, conv_id * 8 + turn - 1 AS k
               FROM conversations WHERE role = 'assistant') a
         LEFT JOIN events ev ON ev.event_id = a.k
         UNION ALL SELECT * FROM {_values([(str(a), q(b), str(c)) for a, b, c in FX.PLANTED_ANSWERS], ['query_id', 'response', 'latency_ms'])}"""),
+    "rewrites": ([], """
+        SELECT u.conv_id * 100 + u.turn AS query_id, u.text || ' ' || p.text AS standalone_query
+        FROM conversations u JOIN conversations p ON p.conv_id = u.conv_id AND p.turn + 1 = u.turn
+        WHERE u.role = 'user'"""),
     "users": ([], f"""
         SELECT c_custkey AS user_id, c_name AS username,
                concat_ws('$', CASE WHEN c_custkey % 10 = 0 THEN 'sha256' ELSE {q(C.PASSWORD_SCHEME)} END,

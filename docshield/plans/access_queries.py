@@ -287,7 +287,7 @@ def l2rel_sql(a, b):
     return f"(1.0 - sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) / sqrt(2.0))"
 
 
-def topk_ctes(k: int, scoped: bool = True, authorize: bool = False, name: str = "tk") -> str:
+def topk_ctes(k: int, scoped: bool = True, authorize: bool = False, name: str = "tk", qsrc: str = "queries") -> str:
     join = "JOIN" if True else ""
     on = "ON c.tenant_id = q.tenant_id" if scoped else "ON TRUE"
     auth = ""
@@ -295,7 +295,7 @@ def topk_ctes(k: int, scoped: bool = True, authorize: bool = False, name: str =
         auth = (f" AND len(list_intersect(c.acl_roles, q.roles)) > 0 AND {level_index_sql('c.sensitivity_class')} "
                 f"<= {clearance_level_sql('q.roles')}")
     return f"""
-{name}_q AS (SELECT query_id, tenant_id, roles, {_dbl('qvec')} AS qv FROM queries WHERE qvec IS NOT NULL),
+{name}_q AS (SELECT query_id, tenant_id, roles, {_dbl('qvec')} AS qv FROM {qsrc} WHERE qvec IS NOT NULL),
 {name}_c AS (SELECT chunk_id, tenant_id, sensitivity_class, acl_roles, {_dbl('embedding')} AS ev FROM chunks),
 {name}_p AS (SELECT q.query_id, c.chunk_id, {cosine_sql('q.qv', 'c.ev')} AS score
              FROM {name}_q q {join} {name}_c c {on}{auth}),
@@ -404,9 +404,9 @@ def o_graph_authorized_docs():
         GROUP BY p.user_id, p.tenant_id, p.roles""", extra=_reg_ctes())
 
 
-def guarded_ctes():
+def guarded_ctes(qsrc: str = "queries"):
     k = C.TOP_K * C.OVERFETCH_FACTOR
-    return topk_ctes(k, scoped=True, authorize=True, name="gr") + f""",
+    return topk_ctes(k, scoped=True, authorize=True, name="gr", qsrc=qsrc) + f""",
 gr1 AS (
   SELECT t.query_id, t.rank, t.chunk_id, c.doc_id, t.score, c.text,
          CASE WHEN t.score < {C.SIMILARITY_THRESHOLD} THEN 'below_threshold'
@@ -414,7 +414,7 @@ gr1 AS (
               WHEN {level_index_sql('c.sensitivity_class')} > {clearance_level_sql('q.roles')} THEN 'clearance_insufficient'
               WHEN NOT {role_match_sql('c.acl_roles', 'q.roles')} THEN 'acl_role_mismatch' END AS block_reason,
          {S.trust_tenths('c.text')} AS trust
-  FROM gr t JOIN chunks c USING (chunk_id) JOIN queries q USING (query_id)),
+  FROM gr t JOIN chunks c USING (chunk_id) JOIN {qsrc} q USING (query_id)),
 gr2 AS (
   SELECT *, sum(CASE WHEN block_reason IS NULL AND trust >= 4 THEN 1 ELSE 0 END)
             OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS kept_upto

@@ -277,3 +277,14 @@ def session_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(e.event_id % 13 == 0, F.sha2(F.concat(F.lit("bogus|"), e.event_id.cast("string")), 256))
          .otherwise(F.sha2(F.concat(F.lit("tok|"), e.event_id.cast("string")), 256)).alias("token_hash"),
         F.timestamp_micros(F.unix_micros(e.ts) + (e.value * 100).cast("long") * 1000000).alias("at"))
+
+
+def rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standalone rewrites (a model output in production): each user turn
+    that has history is rewritten as itself plus the previous message."""
+    cv = read(spark, sf_dir, "conversations")
+    u = cv.where(F.col("role") == "user").select("conv_id", "turn", "text")
+    p = cv.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prev"))
+    j = u.join(p, ["conv_id", "turn"])
+    return j.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"),
+                    F.concat(F.col("text"), F.lit(" "), F.col("prev")).alias("standalone_query"))
