@@ -89,7 +89,20 @@ def scan_documents(docs: DataFrame, *, on_critical: str = "quarantine", mode: st
                  F.col("malicious").alias("malicious_instructions_detected"),
                  F.concat("phrases", F.transform("zero_width", lambda z: F.concat(F.lit("Invisible char: "), z)))
                  .alias("detected_issues")).alias("provenance"))
-    return out
+    return evaluate_once(out)
+
+
+def evaluate_once(df: DataFrame) -> DataFrame:
+    """Pin the scan columns behind a Generate node.
+
+    Catalyst pushes a filter such as ``status = 'ingested'`` below a
+    projection by inlining the aliased expression, which would run the whole
+    PII extraction twice per row (once in the filter, once in the project).
+    Filters cannot be pushed below a generator's output, so each row is
+    scanned exactly once; the generator is a one-row inline, no shuffle.
+    """
+    cols = df.columns
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in cols]))))
 
 
 def ingest_log(scanned: DataFrame, chunk_counts: DataFrame | None = None) -> DataFrame:
