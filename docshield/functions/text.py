@@ -47,13 +47,13 @@ def strip_zero_width(text) -> Column:
 
 def phrases_found(lowered, phrases) -> Column:
     """Phrases (lower-case literals) contained in an already lower-cased text."""
-    t = _col(lowered)
-    return F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: _contains(t, p))
+    from docshield.functions.vectors import let
+    return let(_col(lowered), lambda t: F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: _contains(t, p)))
 
 
 def count_present(text, needles) -> Column:
-    t = _col(text)
-    return F.size(F.filter(F.array(*[F.lit(p) for p in needles]), lambda p: _contains(t, p)))
+    from docshield.functions.vectors import let
+    return let(_col(text), lambda t: F.size(F.filter(F.array(*[F.lit(p) for p in needles]), lambda p: _contains(t, p))))
 
 
 # ---------------------------------------------------------------------------
@@ -240,7 +240,6 @@ def _anchored(core: str) -> str:
 
 def recognizer_spans(text, r: Recognizer, threshold: float = C.PII_CONFIDENCE_THRESHOLD) -> Column:
     t = _col(text)
-    lowered = F.lower(t)
     sev = C.PII_SEVERITY.get(r.entity, C.DEFAULT_SEVERITY)
 
     def score(x):
@@ -249,7 +248,7 @@ def recognizer_spans(text, r: Recognizer, threshold: float = C.PII_CONFIDENCE_TH
             s = F.when(VALIDATORS[r.validator](x["value"]), F.lit(1.0)).otherwise(s)
         if r.context:
             lo = F.greatest(x["start"] - CONTEXT_WINDOW, F.lit(0))
-            window = F.substring(lowered, lo + 1, x["start"] - lo)
+            window = F.lower(F.substring(t, lo + 1, x["start"] - lo))
             hit = F.exists(F.array(*[F.lit(w) for w in r.context]), lambda w: F.contains(window, w))
             s = F.when(hit, F.least(s + CONTEXT_BOOST, F.lit(1.0))).otherwise(s)
         return s

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from docshield.plans import access_queries, analytics_queries, dp_queries, ingest_queries, pipeline_queries
+from docshield.plans import (access_queries, analytics_queries, dp_queries, extra_queries, ingest_queries,
+                             pipeline_queries)
 
 QUERIES = {}
 ORACLE = {}
-for _m in (ingest_queries, access_queries, dp_queries, pipeline_queries, analytics_queries):
+for _m in (ingest_queries, access_queries, dp_queries, pipeline_queries, analytics_queries, extra_queries):
     QUERIES.update(_m.QUERIES)
     ORACLE.update(_m.ORACLE)
