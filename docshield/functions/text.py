@@ -63,7 +63,7 @@ def count_present(text, needles) -> Column:
 MATCH_TYPE = "array<struct<value:string,start:int,end:int>>"
 
 
-def regex_matches(text, pattern: str) -> Column:
+def regex_matches(text, pattern: str, guard: str | None = None) -> Column:
     """array<struct<value,start,end>> of all non-overlapping matches.
 
     One fold walks (piece, match) pairs carrying the running offset, so the
@@ -82,8 +82,10 @@ def regex_matches(text, pattern: str) -> Column:
         return F.struct(en.alias("pos"), F.concat(acc["out"], F.array(F.struct(
             p["m"].alias("value"), st.cast("int").alias("start"), en.cast("int").alias("end")))).alias("out"))
 
-    # the rlike guard keeps split and fold off rows with no match at all
-    return F.when(t.rlike(pattern), F.aggregate(pairs, init, step, lambda acc: acc["out"])).otherwise(
+    # a cheap guard (a literal or the bare entity shape) keeps the full
+    # extraction, split and fold off rows that cannot match
+    g_ok = F.contains(t, F.lit(guard[1:])) if guard and guard.startswith("=") else t.rlike(guard or pattern)
+    return F.when(g_ok, F.aggregate(pairs, init, step, lambda acc: acc["out"])).otherwise(
         F.array().cast(MATCH_TYPE))
 
 
@@ -128,11 +130,17 @@ class Recognizer:
     wrap: bool = True         # require word boundaries around the match
     validator: str | None = None   # luhn | ipv4 | ssn | dea | iban | crypto
     context: tuple = field(default=())  # words that lift the score by CONTEXT_BOOST
+    literal: str | None = None          # a substring every match contains
 
     @property
     def pattern(self) -> str:
         return f"{WORD}*(?:{self.core}){WORD}*" if self.wrap else self.core
 
+    @property
+    def guard(self) -> str:
+        """Cheap pre-test: '=literal' for a substring test, else the bare shape."""
+        return f"={self.literal}" if self.literal else self.core
+
 
 CONTEXT_BOOST = 0.35
 CONTEXT_WINDOW = 40
@@ -141,7 +149,7 @@ CONTEXT_WINDOW = 40
 RECOGNIZERS = [
     Recognizer("EMAIL_ADDRESS",
                r"[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.[A-Za-z]{2,}",
-               1.0, wrap=False),
+               1.0, wrap=False, literal="@"),
     Recognizer("URL", r"(?:https?://|www\.)[^\s<>\"'()\[\]{}]+", 0.5, wrap=False,
                context=("url", "website", "link", "site", "web")),
     Recognizer("IP_ADDRESS", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", 1.0, validator="ipv4"),
@@ -253,7 +261,7 @@ def recognizer_spans(text, r: Recognizer, threshold: float = C.PII_CONFIDENCE_TH
             s = F.when(hit, F.least(s + CONTEXT_BOOST, F.lit(1.0))).otherwise(s)
         return s
 
-    cands = regex_matches(t, r.pattern)
+    cands = regex_matches(t, r.pattern, r.guard)
     if r.wrap:
         anchored = _anchored(r.core)
         cands = F.filter(cands, lambda x: x["value"].rlike(anchored))
@@ -302,7 +310,7 @@ def gazetteer_spans(text, entity: str, names) -> Column:
     pat = f"{WORD}*(?:{alt}){WORD}*"
     anchored = f"^(?:{alt})$"
     sev = C.PII_SEVERITY.get(entity, C.DEFAULT_SEVERITY)
-    cands = F.filter(regex_matches(text, pat), lambda x: x["value"].rlike(anchored))
+    cands = F.filter(regex_matches(text, pat, alt), lambda x: x["value"].rlike(anchored))
     return F.transform(cands, lambda x: F.struct(
         F.lit(entity).alias("entity_type"), x["start"].alias("start"), x["end"].alias("end"),
         F.lit(0.85).alias("score"), F.lit(sev).alias("severity")))

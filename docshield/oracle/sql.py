@@ -124,6 +124,11 @@ def score_expr(r, t: str, v: str = "v", st: str = "st") -> str:
     return f"round({s}, 4)"
 
 
+def guard_sql(r, t: str) -> str:
+    g = r.guard
+    return f"contains({t}, {q(g[1:])})" if g.startswith("=") else f"regexp_matches({t}, {q(g)})"
+
+
 def pii_span_rows(src: str, key: str = "doc_id", t: str = "clean_text", entities=None,
                   mode: str = "none", threshold: float = C.PII_CONFIDENCE_THRESHOLD,
                   gazetteer=None, where: str = "TRUE") -> str:
@@ -139,7 +144,7 @@ def pii_span_rows(src: str, key: str = "doc_id", t: str = "clean_text", entities
         parts.append(
             f"SELECT {key}, {q(e)} AS entity_type, st, st + length(v) AS en, sc AS score, {q(sev)} AS severity FROM ("
             f"SELECT {key}, m.v AS v, m.s AS st, {score_expr(r, t, 'm.v', 'm.s')} AS sc FROM ("
-            f"SELECT {key}, {t}, unnest({matches(t, r.pattern)}) AS m FROM {src} WHERE ({where}) AND regexp_matches({t}, {q(r.pattern)})"
+            f"SELECT {key}, {t}, unnest({matches(t, r.pattern)}) AS m FROM {src} WHERE ({where}) AND {guard_sql(r, t)}"
             f") WHERE TRUE{full}) WHERE sc >= {threshold}")
     for e, names in (gazetteer or {}).items():
         if e not in active or not names:
@@ -151,7 +156,7 @@ def pii_span_rows(src: str, key: str = "doc_id", t: str = "clean_text", entities
         sev = C.PII_SEVERITY.get(e, C.DEFAULT_SEVERITY)
         parts.append(
             f"SELECT {key}, {q(e)} AS entity_type, m.s AS st, m.s + length(m.v) AS en, 0.85::DOUBLE AS score, {q(sev)} AS severity FROM ("
-            f"SELECT {key}, unnest({matches(t, pat)}) AS m FROM {src} WHERE ({where}) AND regexp_matches({t}, {q(pat)})"
+            f"SELECT {key}, unnest({matches(t, pat)}) AS m FROM {src} WHERE ({where}) AND regexp_matches({t}, {q(alt)})"
             f") WHERE regexp_full_match(m.v, {q(alt)})")
     if not parts:
         return f"SELECT {key}, NULL::VARCHAR AS entity_type, 0 AS st, 0 AS en, 0.0::DOUBLE AS score, NULL::VARCHAR AS severity FROM {src} WHERE FALSE"
