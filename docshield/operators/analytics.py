@@ -150,11 +150,17 @@ def retention(df: DataFrame, ts_col: str, as_of: str, days: int = C.RETENTION_DA
 
 
 def reingest_duplicates(docs: DataFrame) -> DataFrame:
-    """Documents whose raw text hash was seen more than once."""
+    """One row per document whose raw-text hash was seen more than once.
+
+    The copy count is a partial (map-side) aggregate; rows are then joined
+    back by hash, so a hash copied millions of times never becomes one
+    collected list in one task.
+    """
     h = docs.select("doc_id", F.sha2("text", 256).alias("document_hash"))
-    return h.groupBy("document_hash").agg(F.count(F.lit(1)).alias("n_copies"),
-                                          F.array_sort(F.collect_list("doc_id")).alias("doc_ids")) \
-        .where(F.col("n_copies") > 1)
+    counts = h.groupBy("document_hash").agg(F.count(F.lit(1)).alias("n_copies")).where(F.col("n_copies") > 1)
+    w = Window.partitionBy("document_hash").orderBy("doc_id")
+    d = h.join(counts, "document_hash")
+    return d.withColumn("copy_no", F.row_number().over(w))
 
 
 LATENCY_BUCKETS_SEC = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]

@@ -189,8 +189,8 @@ def q_audit_retention(spark, sf):
 
 def q_reingest_dups(spark, sf):
     d = AN.reingest_duplicates(FX.docs_raw(spark, sf))
-    return d.select("document_hash", F.col("n_copies").cast("bigint").alias("n_copies"),
-                    F.array_join("doc_ids", ",").alias("doc_ids"))
+    return d.select("document_hash", "doc_id", F.col("n_copies").cast("bigint").alias("n_copies"),
+                    F.col("copy_no").cast("bigint").alias("copy_no"))
 
 
 QUERIES = {
@@ -451,9 +451,11 @@ def o_audit_retention():
 
 def o_reingest_dups():
     return with_ctes(["docs_raw"], """
-        SELECT sha256(text) AS document_hash, cast(count(*) AS BIGINT) AS n_copies,
-               array_to_string(list_sort(list(doc_id)), ',') AS doc_ids
-        FROM docs_raw GROUP BY 1 HAVING count(*) > 1""")
+        SELECT document_hash, doc_id, n_copies, copy_no FROM (
+          SELECT sha256(text) AS document_hash, doc_id,
+                 cast(count(*) OVER (PARTITION BY sha256(text)) AS BIGINT) AS n_copies,
+                 cast(row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS BIGINT) AS copy_no
+          FROM docs_raw) WHERE n_copies > 1""")
 
 
 ORACLE = {

@@ -150,11 +150,12 @@ PLANTED_CHUNK_ROLES = ["manager"]
 
 
 def planted_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "embeddings").where(F.col("vec_id") == PLANTED_CHUNK_VEC).select("embedding")
+    row = read(spark, sf_dir, "embeddings").where(F.col("vec_id") == PLANTED_CHUNK_VEC).select("embedding").first()
+    vec = F.array(*[F.lit(float(x)).cast("float") for x in row[0]]) if row else F.lit(None).cast("array<float>")
     p = spark.createDataFrame(PLANTED_CHUNKS, "chunk_id string, text string")
-    return p.crossJoin(F.broadcast(e)).select(  # one fixed vector row
+    return p.select(
         "chunk_id", F.concat(F.lit("pdoc_"), F.col("chunk_id")).alias("doc_id"),
-        F.lit(PLANTED_TENANT).alias("tenant_id"), "text", "embedding",
+        F.lit(PLANTED_TENANT).alias("tenant_id"), "text", vec.alias("embedding"),
         F.lit("PUBLIC").alias("sensitivity_class"),
         F.array(*[F.lit(r) for r in PLANTED_CHUNK_ROLES]).alias("acl_roles"),
         F.array().cast("array<string>").alias("acl_users"))
@@ -181,7 +182,7 @@ def queries(spark: SparkSession, sf_dir: str, planted: bool = True) -> DataFrame
     """One query per user turn of ``conversations``."""
     cv = read(spark, sf_dir, "conversations")
     emb = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    n_emb = emb.agg(F.count(F.lit(1)).alias("n_emb"))
+    n_emb = max(emb.count(), 1)  # one scalar to the driver
     u = cv.where(F.col("role") == "user").select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("query_id"),
         (F.col("conv_id") % 150).alias("user_id"),
@@ -192,8 +193,7 @@ def queries(spark: SparkSession, sf_dir: str, planted: bool = True) -> DataFrame
         p = spark.createDataFrame(PLANTED_QUERIES, "query_id long, user_id long, query string")
         u = u.unionByName(p.select("query_id", "user_id", F.lit("planted").alias("session_id"),
                                    "query", (F.col("query_id") * -1).alias("k")))
-    u = u.crossJoin(F.broadcast(n_emb))  # one-row side
-    u = u.join(emb, emb.vec_id == F.col("k") % F.col("n_emb"), "left")
+    u = u.join(emb, emb.vec_id == F.col("k") % F.lit(n_emb), "left")
     return u.select(
         "query_id", "user_id", tenant_of(F.col("user_id")).alias("tenant_id"),
         roles_of(F.col("user_id")).alias("roles"), "session_id", "query",
