@@ -115,11 +115,11 @@ def chunk_table(scanned: DataFrame, method: str = "recursive") -> DataFrame:
         "source")
 
 
-def chunk_counts(scanned: DataFrame, method: str = "recursive") -> DataFrame:
-    ing = scanned.where(F.col("status") == "ingested")
+def chunk_count(method: str = "recursive", text: str = "scrubbed_text") -> Column:
+    """Number of chunks the chunker makes of ``text`` (a per-row Column)."""
     if method == "fixed":
-        return ing.select("doc_id", F.size(fixed_windows("scrubbed_text")).cast("bigint").alias("chunks_stored"))
-    return ing.select("doc_id", F.size(recursive_chunks_udf()(F.col("scrubbed_text"))).cast("bigint").alias("chunks_stored"))
+        return F.size(fixed_windows(text)).cast("bigint")
+    return F.size(recursive_chunks_udf()(F.col(text))).cast("bigint")
 
 
 def write_chunk_table(chunks: DataFrame, path: str) -> None:

@@ -105,14 +105,15 @@ def evaluate_once(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in cols]))))
 
 
-def ingest_log(scanned: DataFrame, chunk_counts: DataFrame | None = None) -> DataFrame:
-    """One row per document.  ``chunk_counts(doc_id, chunks_stored)`` comes
-    from the chunker; without it the count is left null."""
-    df = scanned
-    if chunk_counts is not None:
-        df = df.join(chunk_counts, "doc_id", "left")
+def ingest_log(scanned: DataFrame, chunk_count=None) -> DataFrame:
+    """One row per document.  ``chunk_count`` is a per-row Column (the
+    chunker's count for ``scrubbed_text``), so no join back to the scan is
+    needed; without it the count is left null."""
+    if isinstance(chunk_count, DataFrame):
+        df = scanned.join(chunk_count, "doc_id", "left")
     else:
-        df = df.withColumn("chunks_stored", F.lit(None).cast("bigint"))
+        df = scanned.withColumn("chunks_stored", chunk_count if chunk_count is not None
+                                else F.lit(None).cast("bigint"))
     return df.select(
         F.sha2(F.concat_ws("|", F.lit("ingest"), "doc_id", "document_hash"), 256).alias("id"),
         "doc_id", "document_hash", "tenant_id", F.coalesce("source", F.lit("unknown")).alias("source"),

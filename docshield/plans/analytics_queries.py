@@ -29,7 +29,7 @@ def _events(spark, sf):
 
 def _ingest_log(spark, sf, method="fixed"):
     s = IQ._scan(spark, sf)
-    return I.ingest_log(s, CH.chunk_counts(s, method))
+    return I.ingest_log(s, CH.chunk_count(method))
 
 
 def _logs(spark, sf):

@@ -104,7 +104,17 @@ def q_udtf_chunk(spark, sf):
         FROM docshield_docs_raw d, LATERAL chunk_text(d.text, 512, 64) c""")
 
 
+def q_chunk_table(spark, sf):
+    """The chunk table written partitioned by tenant (dynamic overwrite)
+    to the shared scratch folder and read back."""
+    path = FS.scratch_path(spark, "chunk-table")
+    CH.write_chunk_table(CH.chunk_table(IQ._scan(spark, sf), "fixed"), path)
+    t = spark.read.parquet(path)
+    return t.select("chunk_id", "doc_id", "tenant_id", "sensitivity_class", F.length("text").cast("bigint").alias("n_chars"))
+
+
 QUERIES = {
+    "chunk_table": q_chunk_table,
     "query_validate": q_query_validate,
     "claim_check": q_claim_check,
     "canary_join": q_canary_join,
@@ -174,7 +184,17 @@ def o_flatten_schema():
               FROM queries q LEFT JOIN scores s USING (query_id))""")
 
 
+def o_chunk_table():
+    from docshield.plans.analytics_queries import STEP, fixed_n
+    return with_ctes(["docs_raw"], f"""
+        SELECT doc_id || '_chunk_' || cast(i AS VARCHAR) AS chunk_id, doc_id, tenant_id, sensitivity_class,
+               cast(length(substr(scrubbed_text, i * {STEP} + 1, {C.CHUNK_SIZE})) AS BIGINT) AS n_chars
+        FROM (SELECT *, unnest(range(0, {fixed_n('scrubbed_text')})) AS i FROM ingx WHERE status = 'ingested')""",
+                     extra=IQ._ingest_ctes())
+
+
 ORACLE = {
+    "chunk_table": o_chunk_table,
     "query_validate": o_query_validate,
     "claim_check": o_claim_check,
     "canary_join": o_canary_join,

@@ -80,6 +80,15 @@ def q_history_last(spark, sf):
                     (F.col("from_end") <= 4).alias("kept_4"))
 
 
+def q_history_prev6(spark, sf):
+    """The previous six messages of every message in its conversation."""
+    h = _history(spark, sf)
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-C.REPHRASE_CONTEXT, -1)
+    p = h.withColumn("prev", F.collect_list(F.concat("role", F.lit(": "), "text")).over(w))
+    return p.select("conv_id", "turn", F.size("prev").cast("bigint").alias("n_prev"),
+                    F.sha2(F.array_join("prev", "\n"), 256).alias("prev_sha"))
+
+
 def q_canary_scan(spark, sf):
     a = FX.answers(spark, sf)
     f = AN.canary_found("response")
@@ -151,7 +160,8 @@ QUERIES = {
     "route_failclosed": q_route_failclosed,
     "route_two_pass": q_route_two_pass,
     "rephrase_prompt": q_rephrase_prompt,
-    "history_last": q_history_last,
+    "history_last10": q_history_last,
+    "history_prev6": q_history_prev6,
     "canary_scan": q_canary_scan,
     "output_sanitize": q_output_sanitize,
     "guarded_answers": q_guarded_answers,
@@ -276,6 +286,14 @@ def o_history_last():
         FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS from_end FROM conversations)""")
 
 
+def o_history_prev6():
+    return with_ctes([], f"""
+        SELECT conv_id, turn, cast(len(prev) AS BIGINT) AS n_prev, sha256(array_to_string(prev, chr(10))) AS prev_sha
+        FROM (SELECT *, coalesce(list(role || ': ' || text) OVER (PARTITION BY conv_id ORDER BY turn
+                         ROWS BETWEEN {C.REPHRASE_CONTEXT} PRECEDING AND 1 PRECEDING), []::VARCHAR[]) AS prev
+              FROM conversations)""")
+
+
 TOKENS = S.qlist(C.CANARY_TOKENS)
 
 
@@ -431,7 +449,8 @@ ORACLE = {
     "route_failclosed": o_route_failclosed,
     "route_two_pass": o_route_two_pass,
     "rephrase_prompt": o_rephrase_prompt,
-    "history_last": o_history_last,
+    "history_last10": o_history_last,
+    "history_prev6": o_history_prev6,
     "canary_scan": o_canary_scan,
     "output_sanitize": o_output_sanitize,
     "guarded_answers": o_guarded_answers,

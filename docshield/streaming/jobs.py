@@ -79,7 +79,7 @@ def stream_ingest(spark: SparkSession, docs: DataFrame, *, chunker: str = "recur
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         scanned = I.scan_documents(batch, **scan_kw).persist()
-        counts = CH.chunk_counts(scanned, chunker)
+        counts = CH.chunk_count(chunker)
         I.ingest_log(scanned, counts).write.mode("overwrite").parquet(f"{out}/ingest_log/batch={batch_id}")
         I.quarantine_log(scanned).write.mode("overwrite").parquet(f"{out}/quarantine_log/batch={batch_id}")
         CH.chunk_table(scanned, chunker).write.mode("overwrite").parquet(f"{out}/chunks/batch={batch_id}")

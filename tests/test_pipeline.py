@@ -43,7 +43,7 @@ def test_stream_budget_equals_batch(spark):
 
 
 def test_stream_ingest_equals_batch(spark):
-    from docshield.operators.chunking import chunk_counts
+    from docshield.operators.chunking import chunk_count
     from docshield.operators.ingest import ingest_log, scan_documents
     from docshield.sources import fixtures as FX
     from docshield.streaming.jobs import stream_ingest
@@ -51,7 +51,7 @@ def test_stream_ingest_equals_batch(spark):
     cols = ["doc_id", "status", "reason", "chunks_stored", "sensitivity_class"]
     s = {tuple(r) for r in stream_ingest(spark, docs, chunker="fixed")["ingest_log"].select(*cols).collect()}
     sc = scan_documents(docs)
-    b = {tuple(r) for r in ingest_log(sc, chunk_counts(sc, "fixed")).select(*cols).collect()}
+    b = {tuple(r) for r in ingest_log(sc, chunk_count("fixed")).select(*cols).collect()}
     assert s == b
 
 
