@@ -69,25 +69,36 @@ def verify_checksums(audit: DataFrame) -> DataFrame:
     return audit.where(audit_checksum("trace_id", "user_id", "query", "timestamp") != F.col("checksum"))
 
 
-def merkle_roots(audit: DataFrame, group_cols=("tenant_id", "day")) -> DataFrame:
-    """H4: tamper-evident root per (tenant, day) as a Merkle tree.
+MERKLE_DEPTH = 8
 
-    A linear hash chain must fold each group in one task; the tree needs
-    only pairwise aggregation, one small shuffle per level (log2 of the
-    largest group), with every group of at most two rows.
+
+def merkle_roots(audit: DataFrame, group_cols=("tenant_id", "day"), depth: int = MERKLE_DEPTH) -> DataFrame:
+    """H4: tamper-evident root per (tenant, day) as a hash-prefix Merkle tree.
+
+    Leaves are the row checksums bucketed by their first ``depth`` hex
+    digits; each level up groups by one digit less and hashes its (at most
+    16) children in prefix order.  Adding, removing or changing any row
+    changes the root.  No ordering window is needed, and every level is an
+    aggregation whose groups are spread over many tasks even when one
+    tenant-day holds most of the rows.
     """
     g = list(group_cols)
-    w = Window.partitionBy(*g).orderBy("timestamp", "trace_id")
-    level = audit.select(*g, (F.row_number().over(w) - 1).alias("idx"), F.col("checksum").alias("h"))
-    n_max = level.groupBy(*g).count().agg(F.max("count")).first()[0] or 1
-    while n_max > 1:
-        level = (level.groupBy(*g, (F.col("idx") / 2).cast("long").alias("pidx"))
-                 .agg(F.array_sort(F.collect_list(F.struct("idx", "h"))).alias("kids"))
-                 .select(*g, F.col("pidx").alias("idx"),
-                         F.when(F.size("kids") == 1, F.col("kids")[0]["h"])
-                          .otherwise(F.sha2(F.concat(F.col("kids")[0]["h"], F.col("kids")[1]["h"]), 256)).alias("h")))
-        n_max = (n_max + 1) // 2
-    return level.select(*g, F.col("h").alias("root"))
+
+    def combine(children):
+        parts = F.array_sort(F.collect_list(children))
+        return F.sha2(F.array_join(F.transform(parts, lambda x: F.concat(x["p"], x["h"])), ""), 256)
+
+    level = (audit.groupBy(*g, F.substring("checksum", 1, depth).alias("p"))
+             .agg(F.sha2(F.array_join(F.array_sort(F.collect_list("checksum")), ""), 256).alias("h")))
+    for d in range(depth - 1, 0, -1):
+        if d % 4 == 0:
+            # cut the lineage into the shared checkpoint folder
+            from docshield.session import ensure_checkpoint_dir
+            ensure_checkpoint_dir(level.sparkSession)
+            level = level.checkpoint(eager=True)
+        level = (level.groupBy(*g, F.substring("p", 1, d).alias("np"))
+                 .agg(combine(F.struct("p", "h")).alias("h")).withColumnRenamed("np", "p"))
+    return level.groupBy(*g).agg(combine(F.struct("p", "h")).alias("root"))
 
 
 def grounding(response, context) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from docshield import constants as C
 from docshield.functions.text import RECOGNIZERS, RECOGNIZER_BY_ENTITY, CONTEXT_BOOST, \
-    CONTEXT_WINDOW, entity_set, secret_patterns
+    CONTEXT_WINDOW, SECRET_GUARDS, entity_set, secret_patterns
 
 
 def q(s: str) -> str:
@@ -163,6 +163,12 @@ def pii_span_rows(src: str, key: str = "doc_id", t: str = "clean_text", entities
     return "\nUNION ALL\n".join(parts)
 
 
+def _guard(g, pat, t):
+    if g and g.startswith("="):
+        return f"contains({t}, {q(g[1:])})"
+    return f"regexp_matches({t}, {q(g or pat)})"
+
+
 def secret_rows(src: str, key: str = "doc_id", t: str = "clean_text", include_generic: bool = False,
                 where: str = "TRUE") -> str:
     """rows (key, pat_no, hit_no, type, preview, st, en)."""
@@ -171,7 +177,7 @@ def secret_rows(src: str, key: str = "doc_id", t: str = "clean_text", include_ge
         parts.append(
             f"SELECT {key}, {k} AS pat_no, m.i AS hit_no, {q(name)} AS type, "
             f"substr(m.v, 1, {C.SECRET_PREVIEW_CHARS}) || '***' AS preview, m.s AS st, m.s + length(m.v) AS en FROM ("
-            f"SELECT {key}, unnest({matches(t, pat)}) AS m FROM {src} WHERE ({where}) AND regexp_matches({t}, {q(pat)}))")
+            f"SELECT {key}, unnest({matches(t, pat)}) AS m FROM {src} WHERE ({where}) AND {_guard(SECRET_GUARDS.get(name), pat, t)})")
     return "\nUNION ALL\n".join(parts)
 
 

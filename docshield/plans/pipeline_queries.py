@@ -405,16 +405,15 @@ def o_audit_checksum():
     return with_ctes(PIPE, "SELECT id, checksum, false AS tampered FROM audit", extra=_audit_ctes())
 
 
-def o_audit_chain(levels: int = 24):
-    parts = ["""m0 AS (SELECT tenant_id, cast("timestamp" AS DATE) AS day,
-       row_number() OVER (PARTITION BY tenant_id, cast("timestamp" AS DATE) ORDER BY "timestamp", trace_id) - 1 AS idx,
-       checksum AS h FROM audit)"""]
-    for i in range(1, levels + 1):
-        parts.append(f"""m{i} AS (SELECT tenant_id, day, idx // 2 AS idx,
-       CASE WHEN count(*) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY idx)) END AS h
-       FROM m{i - 1} GROUP BY tenant_id, day, idx // 2)""")
+def o_audit_chain(depth: int = 8):
+    parts = [f"""m{depth} AS (SELECT tenant_id, cast("timestamp" AS DATE) AS day, substr(checksum, 1, {depth}) AS p,
+       sha256(string_agg(checksum, '' ORDER BY checksum)) AS h FROM audit GROUP BY 1, 2, 3)"""]
+    for d in range(depth - 1, 0, -1):
+        parts.append(f"""m{d} AS (SELECT tenant_id, day, substr(p, 1, {d}) AS p,
+       sha256(string_agg(p || h, '' ORDER BY p)) AS h FROM m{d + 1} GROUP BY 1, 2, 3)""")
+    parts.append("""m0 AS (SELECT tenant_id, day, sha256(string_agg(p || h, '' ORDER BY p)) AS root FROM m1 GROUP BY 1, 2)""")
     extra = _audit_ctes() + ",\n" + ",\n".join(parts)
-    return with_ctes(PIPE, f"SELECT tenant_id, strftime(day, '%Y-%m-%d') AS day, h AS root FROM m{levels}", extra=extra)
+    return with_ctes(PIPE, "SELECT tenant_id, strftime(day, '%Y-%m-%d') AS day, root FROM m0", extra=extra)
 
 
 def o_canary_alerts():

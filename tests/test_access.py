@@ -93,3 +93,40 @@ def test_signup_dedup(spark):
                               "request_id string, username string, requested_at long")
     got = {r.request_id: r.accepted for r in AO.signup_dedup(s, existing).collect()}
     assert got == {"r1": False, "r2": True, "r3": False}
+
+
+def test_validate_and_claims(spark):
+    from docshield.operators import requests as RQ
+    q = spark.createDataFrame([(1, 7, "tenant_3", "  ok query  ", 5), (2, 7, "bad tenant!", "hello", 5),
+                               (3, 7, "t", "hi", 5), (4, 7, "t", "hello", 21)],
+                              "query_id long, user_id long, tenant_id string, query string, top_k int")
+    got = {r.query_id: r.reject_reason for r in RQ.validate_queries(q).collect()}
+    assert got == {1: None, 2: "tenant_id", 3: "query_length", 4: "top_k"}
+    p = spark.createDataFrame([(7, "tenant_3", ["employee"])], "user_id long, tenant_id string, roles array<string>")
+    c = spark.createDataFrame([("a", 7, "tenant_3", ["employee"]), ("b", 7, "tenant_3", ["admin"]),
+                               ("c", 7, "tenant_1", ["employee"]), ("d", 9, "tenant_3", [])],
+                              "request_id string, user_id long, tenant_id string, roles array<string>")
+    got = {r.request_id: r.reject_reason for r in RQ.check_claims(c, p).collect()}
+    assert got == {"a": None, "b": "role_not_granted", "c": "tenant_mismatch", "d": "unknown_user"}
+
+
+def test_gazetteer_join_and_flatten(spark):
+    from docshield.functions.lists import flatten_schema
+    from docshield.operators import requests as RQ
+    d = spark.createDataFrame([("d1", "Met Alice Johnson and Bob Smith; Alice Johnson again.")], "doc_id string, text string")
+    g = spark.createDataFrame([("Alice Johnson", "PERSON"), ("Bob Smith", "PERSON")], "name string, entity_type string")
+    got = {(r.name, r.n) for r in RQ.gazetteer_join(d, g).collect()}
+    assert got == {("Alice Johnson", 2), ("Bob Smith", 1)}
+    df = spark.createDataFrame([(1, (2, (3,)))], "a int, b struct<c:int, d:struct<e:int>>")
+    assert flatten_schema(df).columns == ["a", "b.c", "b.d.e"]
+
+
+def test_merkle_root_detects_change(spark):
+    from datetime import datetime, timedelta
+    from docshield.operators.answers import merkle_roots
+    rows = [("t", "2024-01-01", datetime(2024, 1, 1) + timedelta(minutes=i), f"id{i}", f"h{i}") for i in range(11)]
+    schema = "tenant_id string, day string, timestamp timestamp, trace_id string, checksum string"
+    a = merkle_roots(spark.createDataFrame(rows, schema)).first().root
+    rows[5] = rows[5][:4] + ("tampered",)
+    b = merkle_roots(spark.createDataFrame(rows, schema)).first().root
+    assert a != b and len(a) == 64
