@@ -75,19 +75,19 @@ def q_rbac_user_acl(spark, sf):
 
 
 def q_rbac_modes(spark, sf):
+    """R5 for all three modes from one decision pass: the returned/redacted
+    counts follow from the reason, so one aggregation is unpivoted."""
     d = AO.rbac_decide(_global_pairs(spark, sf))
-    out = None
-    for m in ("drop", "redact", "audit_only"):
-        k = AO.rbac_apply(d, m)
-        g = k.groupBy("query_id").agg(
-            F.count(F.lit(1)).alias("n_returned"),
-            F.count_if(F.col("text") == C.RBAC_REDACTED_TEXT).alias("n_redacted"))
-        blocked = d.groupBy("query_id").agg(F.count_if(~F.col("allowed")).alias("n_blocked"))
-        g = blocked.join(g, "query_id", "left").select(
-            F.lit(m).alias("mode"), "query_id", F.coalesce("n_returned", F.lit(0)).cast("bigint").alias("n_returned"),
-            F.coalesce("n_redacted", F.lit(0)).cast("bigint").alias("n_redacted"), F.col("n_blocked").cast("bigint").alias("n_blocked"))
-        out = g if out is None else out.unionByName(g)
-    return out
+    ok = F.col("allowed")
+    not_tenant = F.col("reason") != "tenant_boundary"
+    g = d.groupBy("query_id").agg(
+        F.count_if(ok).alias("drop_ret"), F.count_if(ok | not_tenant).alias("keep_ret"),
+        F.count_if(~ok & not_tenant).alias("red"), F.count_if(~ok).alias("n_blocked"))
+    out = g.select("query_id", "n_blocked", F.expr(
+        "stack(3, 'drop', drop_ret, 0L, 'redact', keep_ret, red, 'audit_only', keep_ret, 0L) "
+        "AS (mode, n_returned, n_redacted)"))
+    return out.select("mode", "query_id", F.col("n_returned").cast("bigint").alias("n_returned"),
+                      F.col("n_redacted").cast("bigint").alias("n_redacted"), F.col("n_blocked").cast("bigint").alias("n_blocked"))
 
 
 def q_rbac_violations(spark, sf):
