@@ -63,7 +63,7 @@ def count_present(text, needles) -> Column:
 MATCH_TYPE = "array<struct<value:string,start:int,end:int>>"
 
 
-def regex_matches(text, pattern: str, guard: str | None = None) -> Column:
+def regex_matches(text, pattern: str, guard=None) -> Column:
     """array<struct<value,start,end>> of all non-overlapping matches.
 
     One fold walks (piece, match) pairs carrying the running offset, so the
@@ -84,7 +84,12 @@ def regex_matches(text, pattern: str, guard: str | None = None) -> Column:
 
     # a cheap guard (a literal or the bare entity shape) keeps the full
     # extraction, split and fold off rows that cannot match
-    g_ok = F.contains(t, F.lit(guard[1:])) if guard and guard.startswith("=") else t.rlike(guard or pattern)
+    if isinstance(guard, Column):
+        g_ok = guard
+    elif guard and guard.startswith("="):
+        g_ok = F.contains(t, F.lit(guard[1:]))
+    else:
+        g_ok = t.rlike(guard or pattern)
     return F.when(g_ok, F.aggregate(pairs, init, step, lambda acc: acc["out"])).otherwise(
         F.array().cast(MATCH_TYPE))
 
@@ -137,6 +142,7 @@ class Recognizer:
     validator: str | None = None   # luhn | ipv4 | ssn | dea | iban | crypto
     context: tuple = field(default=())  # words that lift the score by CONTEXT_BOOST
     literal: str | None = None          # a substring every match contains
+    needs_digit: bool = True            # every match contains a digit
 
     @property
     def pattern(self) -> str:
@@ -155,9 +161,9 @@ CONTEXT_WINDOW = 40
 RECOGNIZERS = [
     Recognizer("EMAIL_ADDRESS",
                r"[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.[A-Za-z]{2,}",
-               1.0, wrap=False, literal="@"),
+               1.0, wrap=False, literal="@", needs_digit=False),
     Recognizer("URL", r"(?:https?://|www\.)[^\s<>\"'()\[\]{}]+", 0.5, wrap=False,
-               context=("url", "website", "link", "site", "web")),
+               context=("url", "website", "link", "site", "web"), needs_digit=False),
     Recognizer("IP_ADDRESS", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", 1.0, validator="ipv4"),
     Recognizer("PHONE_NUMBER", r"(?:\+1[ .\-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-][0-9]{4}",
                0.4, context=("phone", "number", "telephone", "cell", "cellphone", "mobile",
@@ -281,8 +287,12 @@ def pii_spans(text, entities=None, mode: str = "none",
               threshold: float = C.PII_CONFIDENCE_THRESHOLD, gazetteer=None) -> Column:
     """All PII spans of the active entity set, sorted by (start, end, type)."""
     active = entity_set(mode, entities)
-    parts = [recognizer_spans(text, RECOGNIZER_BY_ENTITY[e], threshold)
-             for e in active if e in RECOGNIZER_BY_ENTITY]
+    recs = [RECOGNIZER_BY_ENTITY[e] for e in active if e in RECOGNIZER_BY_ENTITY]
+    parts = [recognizer_spans(text, r, threshold) for r in recs if not r.needs_digit]
+    digit = [recognizer_spans(text, r, threshold) for r in recs if r.needs_digit]
+    if digit:
+        # one document-level test gates every recogniser whose matches need a digit
+        parts.append(F.when(_col(text).rlike("[0-9]"), F.concat(*digit)).otherwise(F.array().cast(SPAN_TYPE)))
     for ent, names in (gazetteer or {}).items():
         if ent in active and names:
             parts.append(gazetteer_spans(text, ent, names))
@@ -316,7 +326,11 @@ def gazetteer_spans(text, entity: str, names) -> Column:
     pat = f"{WORD}*(?:{alt}){WORD}*"
     anchored = f"^(?:{alt})$"
     sev = C.PII_SEVERITY.get(entity, C.DEFAULT_SEVERITY)
-    cands = F.filter(regex_matches(text, pat, alt), lambda x: x["value"].rlike(anchored))
+    t = _col(text)
+    # substring tests are far cheaper than the regex alternation as a pre-test
+    any_name = F.exists(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(t, n)) \
+        if len(names) <= 64 else t.rlike(alt)
+    cands = F.filter(regex_matches(t, pat, any_name), lambda x: x["value"].rlike(anchored))
     return F.transform(cands, lambda x: F.struct(
         F.lit(entity).alias("entity_type"), x["start"].alias("start"), x["end"].alias("end"),
         F.lit(0.85).alias("score"), F.lit(sev).alias("severity")))
