@@ -133,12 +133,16 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int, *, metric: str
     c = chunks.select(*ccols)
     if method == "sql":
         return _search_sql(q, c, k, metric, tenant_scoped, authorize, broadcast_max)
-    n = bounded_rows(q, broadcast_max)
-    blocks = [q] if n <= broadcast_max else _split(q, broadcast_max)
+    # one job both checks the size and fetches the block: at most
+    # broadcast_max + 1 rows ever reach the driver
+    first = q.limit(broadcast_max + 1).toPandas()
+    if len(first) <= broadcast_max:
+        frames = [first]
+    else:
+        frames = (b.toPandas() for b in _split(q, broadcast_max))
     sc = queries.sparkSession.sparkContext
     parts = []
-    for b in blocks:
-        pdf = b.toPandas()  # at most broadcast_max rows (checked above)
+    for pdf in frames:
         if len(pdf) == 0:
             continue
         bc = sc.broadcast(_block_payload(pdf, metric, tenant_scoped, authorize))

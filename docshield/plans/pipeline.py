@@ -40,11 +40,15 @@ def run(queries: DataFrame, chunks: DataFrame, scores: DataFrame, answers: DataF
                      .when(F.col("route.action") == "block", F.col("route.category")))
     allowed = q.where(F.col("stage_block").isNull())
     cands = R.retrieve_candidates(allowed, chunks, method=method)
-    summary = R.retrieval_summary(allowed, cands)
-    ctx = R.build_context(cands)
+    # one bounded aggregate gives the counts and the (<= top_k) context parts
+    per_q = cands.groupBy("query_id").agg(
+        F.count_if("used").alias("chunks_used"), F.count_if("counted_blocked").alias("rbac_blocked"),
+        F.array_sort(F.collect_list(F.when(F.col("used"), F.struct("rank", "text")))).alias("parts"))
+    per_q = per_q.select("query_id", "chunks_used", "rbac_blocked",
+                         F.when(F.size("parts") > 0, F.array_join(F.transform("parts", lambda x: x["text"]),
+                                                                  C.CONTEXT_SEPARATOR)).alias("context"))
     a = answers.select("query_id", "response", "latency_ms")
-    j = (q.join(summary, "query_id", "left").join(ctx.select("query_id", "context"), "query_id", "left")
-         .join(a, "query_id", "left"))
+    j = q.join(per_q, "query_id", "left").join(a, "query_id", "left")
     answered = F.col("stage_block").isNull() & (F.coalesce("chunks_used", F.lit(0)) > 0)
     j = j.withColumn("status", F.when(F.col("stage_block").isNotNull(), "blocked")
                      .when(~answered, "no_context").otherwise("answered"))
