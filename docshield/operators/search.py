@@ -28,6 +28,7 @@ from docshield.functions import vectors as V
 BROADCAST_MAX_QUERIES = 20000
 
 CANDIDATE_SCHEMA = "query_id long, chunk_id string, score double"
+SCORE_CELLS = 4_000_000
 
 
 def bounded_rows(df: DataFrame, limit: int) -> int:
@@ -79,36 +80,40 @@ def _scorer(bc, k: int):
     def run(batches):
         p = bc.value
         qids, qmat = p["qids"], p["qmat"]
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            cmat = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"]])
-            dots = cmat @ qmat.T
-            if p["metric"] == "cosine":
-                s = dots / (np.linalg.norm(cmat, axis=1)[:, None] * p["qnorm"][None, :])
-            else:  # l2 relevance
-                d2 = np.sum(cmat * cmat, axis=1)[:, None] + p["qsq"][None, :] - 2.0 * dots
-                s = 1.0 - np.sqrt(np.maximum(d2, 0.0)) / math.sqrt(2.0)
-            if p["qten"] is not None:
-                ct = pdf["tenant_id"].to_numpy(dtype=object)
-                s = np.where(ct[:, None] == p["qten"][None, :], s, -np.inf)
-            if "vocab" in p:
-                cbits = _role_bits(list(pdf["acl_roles"]), p["vocab"])
-                clev = pdf["level"].to_numpy(dtype=np.int64)
-                ok = ((cbits[:, None] & p["qbits"][None, :]) != 0) & (clev[:, None] <= p["qlevel"][None, :])
-                s = np.where(ok, s, -np.inf)
-            n = s.shape[0]
-            if k < n:
-                # k-th best score per query; every row at or above it leaves the
-                # task (ties at the cut included, the final window orders them)
-                kth = -np.partition(-s, k - 1, axis=0)[k - 1]
-                mask = (s >= kth[None, :]) & np.isfinite(s)
-            else:
-                mask = np.isfinite(s)
-            ri, qi = np.nonzero(mask)
-            yield pd.DataFrame({"query_id": qids[qi],
-                                "chunk_id": pdf["chunk_id"].to_numpy(dtype=object)[ri],
-                                "score": s[ri, qi]})
+        # bound each score matrix to ~4M doubles (32 MB) whatever the block size
+        step = max(1, SCORE_CELLS // max(len(qids), 1))
+        for big in batches:
+            for lo in range(0, len(big), step):
+                yield from _score(big.iloc[lo:lo + step], p, qids, qmat)
+
+    def _score(pdf, p, qids, qmat):
+        cmat = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"]])
+        dots = cmat @ qmat.T
+        if p["metric"] == "cosine":
+            s = dots / (np.linalg.norm(cmat, axis=1)[:, None] * p["qnorm"][None, :])
+        else:  # l2 relevance
+            d2 = np.sum(cmat * cmat, axis=1)[:, None] + p["qsq"][None, :] - 2.0 * dots
+            s = 1.0 - np.sqrt(np.maximum(d2, 0.0)) / math.sqrt(2.0)
+        if p["qten"] is not None:
+            ct = pdf["tenant_id"].to_numpy(dtype=object)
+            s = np.where(ct[:, None] == p["qten"][None, :], s, -np.inf)
+        if "vocab" in p:
+            cbits = _role_bits(list(pdf["acl_roles"]), p["vocab"])
+            clev = pdf["level"].to_numpy(dtype=np.int64)
+            ok = ((cbits[:, None] & p["qbits"][None, :]) != 0) & (clev[:, None] <= p["qlevel"][None, :])
+            s = np.where(ok, s, -np.inf)
+        n = s.shape[0]
+        if k < n:
+            # k-th best score per query; every row at or above it leaves the
+            # task (ties at the cut included, the final window orders them)
+            kth = -np.partition(-s, k - 1, axis=0)[k - 1]
+            mask = (s >= kth[None, :]) & np.isfinite(s)
+        else:
+            mask = np.isfinite(s)
+        ri, qi = np.nonzero(mask)
+        yield pd.DataFrame({"query_id": qids[qi],
+                            "chunk_id": pdf["chunk_id"].to_numpy(dtype=object)[ri],
+                            "score": s[ri, qi]})
     return run
 
 
