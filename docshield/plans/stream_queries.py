@@ -52,7 +52,12 @@ def q_stream_history(spark, sf):
     return r.select("conv_id", "turn", "history_size", "oldest_turn")
 
 
+def q_stream_sessions(spark, sf):
+    return J.stream_sessions(spark, FX.auth_sessions(spark, sf), FX.session_requests(spark, sf), FX.users(spark, sf))
+
+
 QUERIES = {
+    "stream_sessions": q_stream_sessions,
     "stream_ingest": q_stream_ingest,
     "stream_budget": q_stream_budget,
     "stream_budget_windows": q_stream_budget_windows,
@@ -84,7 +89,13 @@ def o_stream_history():
         FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"""
 
 
+def o_stream_sessions():
+    from docshield.plans.access_queries import o_active_sessions
+    return o_active_sessions()
+
+
 ORACLE = {
+    "stream_sessions": o_stream_sessions,
     "stream_budget": o_stream_budget,
     "stream_budget_windows": o_stream_budget_windows,
     "stream_rate": o_stream_rate,

@@ -257,3 +257,74 @@ def stream_history(spark: SparkSession, messages: DataFrame, keep: int = C.HISTO
          .option("checkpointLocation", f"{out}/_checkpoint").outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(HISTORY_OUT).parquet(f"{out}/data")
+
+
+# ---------------------------------------------------------------------------
+# ST7 session expiry (fixed TTL from issue, not a gap-based session window)
+# ---------------------------------------------------------------------------
+
+SESSION_OUT = "request_id long, token_hash string, user_id long, status string"
+
+
+def _session_fn(grace_sec: int):
+    def fn(key, pdfs, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        user, expires, revoked = state.get if state.exists else (None, None, None)
+        rows = pd.concat(list(pdfs)).sort_values(["ts", "kind", "request_id"])
+        out = []
+        for r in rows.itertuples(index=False):
+            t = r.ts.value // 1000
+            if r.kind == 0:                         # issue
+                user, expires = int(r.user_id), int(r.expires_us)
+            elif r.kind == 1:                       # revoke
+                revoked = t
+            else:                                   # request
+                if expires is None or user is None:
+                    status = "invalid"
+                elif revoked is not None and revoked <= t:
+                    status = "invalid"
+                elif expires <= t:
+                    status = "expired"
+                else:
+                    status = "valid"
+                out.append((int(r.request_id), key[0], user if status == "valid" else None, status))
+        if user is not None:
+            state.update((user, expires, revoked))
+            state.setTimeoutTimestamp(expires // 1000 + grace_sec * 1000)
+        yield pd.DataFrame(out, columns=["request_id", "token_hash", "user_id", "status"])
+    return fn
+
+
+def stream_sessions(spark: SparkSession, sessions: DataFrame, requests: DataFrame, users: DataFrame,
+                    grace_sec: int = 86400, watermark: str = "1 hour") -> DataFrame:
+    """ST7: token state (user, expiry, revocation) keyed by token hash;
+    requests are answered as of their own time, and a token's state is
+    dropped by event-time timeout ``grace_sec`` after it expires."""
+    src = scratch_path(spark, "sessions-src")
+    out = scratch_path(spark, "sessions-out")
+    issue = sessions.select("token_hash", F.col("created_at").alias("ts"), F.lit(0).alias("kind"), "user_id",
+                            F.unix_micros("expires_at").alias("expires_us"), F.lit(None).cast("long").alias("request_id"))
+    revoke = sessions.where(F.col("revoked_at").isNotNull()).select(
+        "token_hash", F.col("revoked_at").alias("ts"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("user_id"),
+        F.lit(None).cast("long").alias("expires_us"), F.lit(None).cast("long").alias("request_id"))
+    req = requests.select("token_hash", F.col("at").alias("ts"), F.lit(2).alias("kind"),
+                          F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("long").alias("expires_us"),
+                          "request_id")
+    ev = issue.unionByName(revoke).unionByName(req)
+    stage_in_order(ev, src, "ts")
+    s = _stream(spark, src, ev.schema).withWatermark("ts", watermark)
+    res = s.groupBy("token_hash").applyInPandasWithState(
+        _session_fn(grace_sec), SESSION_OUT, "user long, expires long, revoked long", "append",
+        GroupStateTimeout.EventTimeTimeout)
+    q = (res.writeStream.format("parquet").option("path", f"{out}/data")
+         .option("checkpointLocation", f"{out}/_checkpoint").outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    r = spark.read.schema(SESSION_OUT).parquet(f"{out}/data")
+    u = users.select("user_id", "username", "role", "tenant_id")
+    j = r.join(u, "user_id", "left")
+    status = F.when((F.col("status") == "valid") & F.col("username").isNull(), "invalid").otherwise(F.col("status"))
+    ok = status == "valid"
+    return j.select("request_id", status.alias("status"), F.when(ok, F.col("user_id")).alias("user_id"),
+                    F.when(ok, F.col("role")).alias("role"), F.when(ok, F.col("tenant_id")).alias("tenant_id"))
