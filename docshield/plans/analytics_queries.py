@@ -78,6 +78,20 @@ def q_events_summary(spark, sf):
     return total.select(F.col("n_events").cast("bigint").alias("n_events"), F.col("n_blocked").cast("bigint").alias("n_blocked"))
 
 
+def q_events_recent(spark, sf):
+    """L2: the five newest feed events."""
+    f = _feed(spark, sf)
+    return _feed_cols(f.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(5))
+
+
+def q_metric_canary(spark, sf):
+    """A10: canary alerts per day."""
+    pq, _, _ = _logs(spark, sf)
+    a = P.canary_alerts(pq)
+    return a.groupBy(F.date_format("detected_at", "yyyy-MM-dd").alias("day")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("canary_alerts"))
+
+
 def q_ingest_log(spark, sf):
     il = _ingest_log(spark, sf, "recursive")
     return il.select("doc_id", "status", F.coalesce("reason", F.lit("")).alias("reason"), "chunks_stored",
@@ -200,6 +214,8 @@ QUERIES = {
     "events_feed": q_events_feed,
     "events_search": q_events_search,
     "events_summary": q_events_summary,
+    "events_recent": q_events_recent,
+    "metric_canary": q_metric_canary,
     "ingest_log": q_ingest_log,
     "chunk_fixed": q_chunk_fixed,
     "chunk_recursive": q_chunk_recursive,
@@ -348,6 +364,16 @@ def o_events_summary():
                      extra=_all_ctes())
 
 
+def o_events_recent():
+    return with_ctes(ALL, f"{FEED_SEL} FROM feed ORDER BY ts DESC, id DESC LIMIT 5", extra=_all_ctes())
+
+
+def o_metric_canary():
+    return with_ctes(PQ.PIPE, """
+        SELECT strftime(ts, '%Y-%m-%d') AS day, cast(sum(len(canary_tokens)) AS BIGINT) AS canary_alerts
+        FROM pfinal WHERE canary_leaked GROUP BY 1""", extra=PQ._pipeline_ctes())
+
+
 def o_chunk_fixed():
     return with_ctes(["docs_raw"], f"""
         SELECT doc_id || '_chunk_' || cast(i AS VARCHAR) AS chunk_id, doc_id, cast(i AS BIGINT) AS chunk_index,
@@ -465,6 +491,8 @@ ORACLE = {
     "events_feed": o_events_feed,
     "events_search": o_events_search,
     "events_summary": o_events_summary,
+    "events_recent": o_events_recent,
+    "metric_canary": o_metric_canary,
     "chunk_fixed": o_chunk_fixed,
     "chunk_count": o_chunk_count,
     "pii_counts": o_pii_counts,

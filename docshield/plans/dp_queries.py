@@ -194,7 +194,7 @@ def o_dp_noise_stats():
 
 def o_dp_audit():
     return with_ctes(["chunks"], f"""
-        SELECT doc_id, round(5.0, 6) AS epsilon, round({C.DP_SENSITIVITY}, 6) AS sensitivity,
+        SELECT doc_id, 5.0::DOUBLE AS epsilon, {C.DP_SENSITIVITY}::DOUBLE AS sensitivity,
                round(floor((2 * sum(cast(round(noise_l2_norm * 1e6) AS BIGINT)) + count(*)) / (2 * count(*))) / 1e6, 6) AS noise_l2_mean,
                round(floor((2 * sum(cast(round(cosine_sim * 1e6) AS BIGINT)) + count(*)) / (2 * count(*))) / 1e6, 6) AS cosine_sim_mean,
                cast(count(*) AS BIGINT) AS chunks_processed
