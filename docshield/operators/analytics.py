@@ -98,11 +98,23 @@ def events_search(feed: DataFrame, type_: str | None = None, risk: str | None =
 
 
 def daily_budget(events: DataFrame, max_per_day: int = C.DAILY_QUERY_BUDGET, key: str = "user_id",
-                 order=("ts", "event_id")) -> DataFrame:
-    """Request number within the (key, UTC day) and the budget decision."""
-    w = Window.partitionBy(key, F.to_date("ts")).orderBy(*order)
-    return events.withColumn("day_n", F.row_number().over(w)) \
-        .withColumn("allowed", F.col("day_n") <= max_per_day)
+                 order=("ts", "event_id"), bucket: str = "minute") -> DataFrame:
+    """Request number within the (key, UTC day) and the budget decision.
+
+    The rank is computed in two phases so a hot key-day is not ranked in
+    one task: counts per (key, day, minute) get a running sum over the (at
+    most 1440) minutes of the day, and each row adds its row number inside
+    its own minute.  Equal to ``row_number`` over (key, day) ordered by
+    ``order`` whose first column is the timestamp.
+    """
+    d = events.withColumn("_day", F.to_date("ts")).withColumn("_m", F.date_trunc(bucket, "ts"))
+    counts = d.groupBy(key, "_day", "_m").agg(F.count(F.lit(1)).alias("_n"))
+    wb = Window.partitionBy(key, "_day").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(wb), F.lit(0)))
+    wr = Window.partitionBy(key, "_day", "_m").orderBy(*order)
+    ranked = d.withColumn("_r", F.row_number().over(wr)).join(counts.drop("_n"), [key, "_day", "_m"])
+    return ranked.withColumn("day_n", (F.col("_before") + F.col("_r")).cast("int")) \
+        .withColumn("allowed", F.col("day_n") <= max_per_day).drop("_day", "_m", "_r", "_before")
 
 
 def budget_daily_counts(events: DataFrame, max_per_day: int = C.DAILY_QUERY_BUDGET, key: str = "user_id"):
@@ -123,24 +135,24 @@ def circuit_state(calls: DataFrame, failed: Column, scope: Column | None = None,
     """Breaker open at a call when >= threshold failures happened in the
     trailing window (strictly less than ``window_sec`` before it).
 
-    Windows are partitioned by (scope, UTC day); failures in the last
-    ``window_sec`` of a day are copied into the next day's partition so no
-    window crosses a partition boundary and no partition spans the table.
+    Windows are partitioned by (scope, bucket) with buckets one window long;
+    each bucket's failures are also copied into the next bucket, so every
+    trailing window lies inside one partition and a busy scope is spread
+    over many small partitions instead of one per day.
     """
     sc = scope if scope is not None else F.lit("global")
+    w_us = window_sec * 1000000
     d = calls.withColumn("_scope", sc).withColumn("_fail", F.when(failed, 1).otherwise(0)) \
-        .withColumn("_us", F.unix_micros("ts")).withColumn("_day", F.to_date("ts"))
-    carry = (d.where((F.col("_fail") == 1)
-                     & (F.unix_micros(F.date_add("_day", 1).cast("timestamp")) - F.col("_us") < window_sec * 1000000))
-             .select("_scope", "_us", F.date_add("_day", 1).alias("_day"), F.lit(1).alias("_fail"),
-                     F.lit(True).alias("_carry")))
+        .withColumn("_us", F.unix_micros("ts")).withColumn("_b", F.floor(F.col("_us") / w_us))
+    carry = (d.where(F.col("_fail") == 1)
+             .select("_scope", "_us", (F.col("_b") + 1).alias("_b"), F.lit(1).alias("_fail"), F.lit(True).alias("_carry")))
     base = d.select("*", F.lit(False).alias("_carry"))
     u = base.unionByName(carry, allowMissingColumns=True)
-    w = Window.partitionBy("_scope", "_day").orderBy("_us").rangeBetween(-(window_sec * 1000000 - 1), -1)
+    w = Window.partitionBy("_scope", "_b").orderBy("_us").rangeBetween(-(w_us - 1), -1)
     u = u.withColumn("recent_failures", F.sum("_fail").over(w))
     out = u.where(~F.col("_carry")).withColumn("recent_failures", F.coalesce("recent_failures", F.lit(0)))
     return out.withColumn("breaker_open", F.col("recent_failures") >= threshold) \
-        .drop("_fail", "_us", "_day", "_carry", "_scope")
+        .drop("_fail", "_us", "_b", "_carry", "_scope")
 
 
 def retention(df: DataFrame, ts_col: str, as_of: str, days: int = C.RETENTION_DAYS) -> DataFrame:

@@ -25,9 +25,9 @@ from docshield.sources import fixtures as FX
 def budget(queries: DataFrame, max_per_day: int = C.DAILY_QUERY_BUDGET) -> DataFrame:
     """N-th request of a user on a UTC day; over the budget ⇒ blocked.
     Blocked requests still count toward the day."""
-    w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "query_id")
-    return queries.withColumn("day_n", F.row_number().over(w)) \
-        .withColumn("budget_ok", F.col("day_n") <= max_per_day)
+    from docshield.operators.analytics import daily_budget
+    return daily_budget(queries, max_per_day, key="user_id", order=("ts", "query_id")) \
+        .withColumnRenamed("allowed", "budget_ok")
 
 
 def run(queries: DataFrame, chunks: DataFrame, scores: DataFrame, answers: DataFrame,
