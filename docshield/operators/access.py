@@ -22,10 +22,11 @@ def graph_tables(registrations: DataFrame):
     (latest registration wins on class/tenant/source); role edges are only
     ever added, never removed, so edges from every registration remain.
     """
-    w = Window.partitionBy("doc_id").orderBy(F.col("registered_at").desc(), F.col("tenant_id").desc(),
-                                             F.col("sensitivity_class").desc())
-    docs = (registrations.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-            .select("doc_id", "tenant_id", "sensitivity_class", F.coalesce("source", F.lit("unknown")).alias("source")))
+    # latest registration per document as a partial (map-side) max, so a
+    # document registered millions of times is never ranked in one task
+    latest = registrations.groupBy("doc_id").agg(F.max(F.struct(
+        "registered_at", "tenant_id", "sensitivity_class", F.coalesce("source", F.lit("unknown")).alias("source"))).alias("m"))
+    docs = latest.select("doc_id", "m.tenant_id", "m.sensitivity_class", "m.source")
     edges = registrations.select(F.explode("acl_roles").alias("role"), "doc_id").distinct()
     tenants = registrations.select(F.col("tenant_id").alias("id")).distinct()
     return docs, edges, tenants
@@ -131,8 +132,9 @@ def resolve_sessions(requests: DataFrame, sessions: DataFrame, users: DataFrame)
 def signup_dedup(signups: DataFrame, existing: DataFrame) -> DataFrame:
     """Reject names already registered; inside a batch the first wins."""
     fresh = signups.join(existing.select("username"), "username", "left_anti")
-    w = Window.partitionBy("username").orderBy("requested_at", "request_id")
-    firsts = fresh.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("request_id")
+    # first request per name as a partial min, not a rank over all attempts
+    firsts = fresh.groupBy("username").agg(F.min(F.struct("requested_at", "request_id")).alias("f")) \
+        .select(F.col("f.request_id").alias("request_id"))
     return signups.join(firsts.withColumn("accepted", F.lit(True)), "request_id", "left") \
         .withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 

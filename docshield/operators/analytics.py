@@ -123,11 +123,23 @@ def budget_daily_counts(events: DataFrame, max_per_day: int = C.DAILY_QUERY_BUDG
     return g.withColumn("n_blocked", F.greatest(F.col("n_requests") - max_per_day, F.lit(0)))
 
 
-def rate_limit(events: DataFrame, limit: int, window: str, key: Column) -> DataFrame:
-    """Fixed-window limiter; requests beyond ``limit`` in a window are over."""
-    d = events.withColumn("rl_key", key).withColumn("rl_window", F.window("ts", window).start)
-    w = Window.partitionBy("rl_key", "rl_window").orderBy("ts", "event_id")
-    return d.withColumn("rl_n", F.row_number().over(w)).withColumn("over_limit", F.col("rl_n") > limit)
+def rate_limit(events: DataFrame, limit: int, window: str, key: Column, order=("ts", "event_id"),
+               bucket: str = "second") -> DataFrame:
+    """Fixed-window limiter; requests beyond ``limit`` in a window are over.
+
+    The position inside a (key, window) is ranked in two phases, as in
+    ``daily_budget``: running counts of per-second buckets plus the row
+    number inside the bucket, so a flooding key is spread over many tasks.
+    """
+    d = events.withColumn("rl_key", key).withColumn("rl_window", F.window("ts", window).start) \
+        .withColumn("_s", F.date_trunc(bucket, "ts"))
+    counts = d.groupBy("rl_key", "rl_window", "_s").agg(F.count(F.lit(1)).alias("_n"))
+    wb = Window.partitionBy("rl_key", "rl_window").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(wb), F.lit(0))).drop("_n")
+    wr = Window.partitionBy("rl_key", "rl_window", "_s").orderBy(*order)
+    r = d.withColumn("_r", F.row_number().over(wr)).join(counts, ["rl_key", "rl_window", "_s"])
+    return r.withColumn("rl_n", F.col("_before") + F.col("_r")).withColumn("over_limit", F.col("rl_n") > limit) \
+        .drop("_s", "_r", "_before")
 
 
 def circuit_state(calls: DataFrame, failed: Column, scope: Column | None = None,
@@ -162,17 +174,16 @@ def retention(df: DataFrame, ts_col: str, as_of: str, days: int = C.RETENTION_DA
 
 
 def reingest_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document whose raw-text hash was seen more than once.
+    """One row per document whose raw-text hash was seen more than once,
+    with the copy count and the first (smallest) doc id of its hash.
 
-    The copy count is a partial (map-side) aggregate; rows are then joined
-    back by hash, so a hash copied millions of times never becomes one
-    collected list in one task.
+    Both come from a partial (map-side) aggregate joined back by hash, so a
+    hash copied millions of times is never collected or ranked in one task.
     """
     h = docs.select("doc_id", F.sha2("text", 256).alias("document_hash"))
-    counts = h.groupBy("document_hash").agg(F.count(F.lit(1)).alias("n_copies")).where(F.col("n_copies") > 1)
-    w = Window.partitionBy("document_hash").orderBy("doc_id")
-    d = h.join(counts, "document_hash")
-    return d.withColumn("copy_no", F.row_number().over(w))
+    counts = h.groupBy("document_hash").agg(F.count(F.lit(1)).alias("n_copies"),
+                                            F.min("doc_id").alias("first_doc_id")).where(F.col("n_copies") > 1)
+    return h.join(counts, "document_hash")
 
 
 LATENCY_BUCKETS_SEC = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]

@@ -203,8 +203,7 @@ def q_audit_retention(spark, sf):
 
 def q_reingest_dups(spark, sf):
     d = AN.reingest_duplicates(FX.docs_raw(spark, sf))
-    return d.select("document_hash", "doc_id", F.col("n_copies").cast("bigint").alias("n_copies"),
-                    F.col("copy_no").cast("bigint").alias("copy_no"))
+    return d.select("document_hash", "doc_id", F.col("n_copies").cast("bigint").alias("n_copies"), "first_doc_id")
 
 
 QUERIES = {
@@ -477,10 +476,10 @@ def o_audit_retention():
 
 def o_reingest_dups():
     return with_ctes(["docs_raw"], """
-        SELECT document_hash, doc_id, n_copies, copy_no FROM (
+        SELECT document_hash, doc_id, n_copies, first_doc_id FROM (
           SELECT sha256(text) AS document_hash, doc_id,
                  cast(count(*) OVER (PARTITION BY sha256(text)) AS BIGINT) AS n_copies,
-                 cast(row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS BIGINT) AS copy_no
+                 min(doc_id) OVER (PARTITION BY sha256(text)) AS first_doc_id
           FROM docs_raw) WHERE n_copies > 1""")
 
 
