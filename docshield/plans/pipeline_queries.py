@@ -61,9 +61,7 @@ def _history(spark, sf):
 
 def q_rephrase_prompt(spark, sf):
     """T19 + W4: prompt from the previous six messages, for user turns with history."""
-    h = _history(spark, sf)
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-C.REPHRASE_CONTEXT, -1)
-    h = h.withColumn("prev", F.collect_list(F.concat("role", F.lit(": "), "text")).over(w))
+    h = previous_messages(_history(spark, sf))
     u = h.where((F.col("role") == "user") & (F.size("prev") > 0))
     prompt = F.concat(F.lit(C.REPHRASE_HEAD + "History:\n"), F.array_join("prev", "\n"),
                       F.lit("\n\nFollow-up: "), F.col("text"), F.lit("\n\nStandalone Question:"))
@@ -72,19 +70,41 @@ def q_rephrase_prompt(spark, sf):
 
 
 def q_history_last(spark, sf):
-    """Messages retained per conversation (last 10, and last 4)."""
+    """Messages retained per conversation (last 10, and last 4).
+
+    The kept set is a top-N per conversation (planned with a partial
+    WindowGroupLimit, so at most N rows per task leave for the shuffle) and
+    is joined back to every message."""
     h = _history(spark, sf)
     w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
-    r = h.withColumn("from_end", F.row_number().over(w))
-    return r.select("conv_id", "turn", (F.col("from_end") <= C.HISTORY_KEEP).alias("kept_10"),
-                    (F.col("from_end") <= 4).alias("kept_4"))
+    top = h.select("conv_id", "turn").withColumn("from_end", F.row_number().over(w)) \
+        .where(F.col("from_end") <= C.HISTORY_KEEP)
+    r = h.select("conv_id", "turn").join(top, ["conv_id", "turn"], "left")
+    return r.select("conv_id", "turn", F.coalesce(F.col("from_end") <= C.HISTORY_KEEP, F.lit(False)).alias("kept_10"),
+                    F.coalesce(F.col("from_end") <= 4, F.lit(False)).alias("kept_4"))
+
+
+def previous_messages(h, n: int = C.REPHRASE_CONTEXT, bucket_rows: int = 1024):
+    """For every message, its previous ``n`` messages (role: text).
+
+    Rows are split into buckets of ``bucket_rows`` consecutive messages per
+    conversation, and each bucket's last ``n`` rows are copied into the next
+    bucket, so the sliding frame never needs a whole conversation in one
+    task.  Turn numbers are message positions: a gap of ``bucket_rows`` or
+    more turns would cut the frame."""
+    d = h.withColumn("_b", (F.col("turn") / bucket_rows).cast("long"))
+    wend = Window.partitionBy("conv_id", "_b").orderBy(F.col("turn").desc())
+    tail = d.withColumn("_k", F.row_number().over(wend)).where(F.col("_k") <= n) \
+        .select("conv_id", "turn", "role", "text", (F.col("_b") + 1).alias("_b"), F.lit(True).alias("_carry"))
+    u = d.withColumn("_carry", F.lit(False)).unionByName(tail)
+    w = Window.partitionBy("conv_id", "_b").orderBy("turn").rowsBetween(-n, -1)
+    p = u.withColumn("prev", F.collect_list(F.concat("role", F.lit(": "), "text")).over(w))
+    return p.where(~F.col("_carry")).drop("_b", "_carry")
 
 
 def q_history_prev6(spark, sf):
     """The previous six messages of every message in its conversation."""
-    h = _history(spark, sf)
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-C.REPHRASE_CONTEXT, -1)
-    p = h.withColumn("prev", F.collect_list(F.concat("role", F.lit(": "), "text")).over(w))
+    p = previous_messages(_history(spark, sf))
     return p.select("conv_id", "turn", F.size("prev").cast("bigint").alias("n_prev"),
                     F.sha2(F.array_join("prev", "\n"), 256).alias("prev_sha"))
 
