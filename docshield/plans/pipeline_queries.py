@@ -92,6 +92,8 @@ def previous_messages(h, n: int = C.REPHRASE_CONTEXT, bucket_rows: int = 1024):
     bucket, so the sliding frame never needs a whole conversation in one
     task.  Turn numbers are message positions: a gap of ``bucket_rows`` or
     more turns would cut the frame."""
+    if bucket_rows < n:
+        raise ValueError("bucket_rows must be at least the frame length")
     d = h.withColumn("_b", (F.col("turn") / bucket_rows).cast("long"))
     wend = Window.partitionBy("conv_id", "_b").orderBy(F.col("turn").desc())
     tail = d.withColumn("_k", F.row_number().over(wend)).where(F.col("_k") <= n) \

@@ -92,7 +92,7 @@ def test_bucketed_previous_messages_equal_plain_window(spark):
     from docshield.plans.pipeline_queries import previous_messages
     from docshield.sources.tables import read
     h = read(spark, SF_SMALL, "conversations").select("conv_id", "turn", "role", "text")
-    got = {(r.conv_id, r.turn, tuple(r.prev)) for r in previous_messages(h, 6, bucket_rows=2).collect()}
+    got = {(r.conv_id, r.turn, tuple(r.prev)) for r in previous_messages(h, 6, bucket_rows=6).collect()}
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-6, -1)
     want = {(r.conv_id, r.turn, tuple(r.prev)) for r in
             h.withColumn("prev", F.collect_list(F.concat("role", F.lit(": "), "text")).over(w)).collect()}
