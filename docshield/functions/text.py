@@ -51,6 +51,10 @@ def phrases_found(lowered, phrases) -> Column:
     return let(_col(lowered), lambda t: F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: _contains(t, p)))
 
 
+def phrases_found_any(lowered, phrases) -> Column:
+    return F.size(phrases_found(lowered, phrases)) > 0
+
+
 def count_present(text, needles) -> Column:
     from docshield.functions.vectors import let
     return let(_col(text), lambda t: F.size(F.filter(F.array(*[F.lit(p) for p in needles]), lambda p: _contains(t, p))))
@@ -119,7 +123,13 @@ def secret_scan(text, include_generic: bool = False) -> Column:
             x["start"].alias("start"), x["end"].alias("end"),
             F.lit("critical").alias("severity"))
 
-    return F.concat(*[F.transform(regex_matches(text, pat, SECRET_GUARDS.get(name)), hit(name))
+    t = _col(text)
+    column_guards = {
+        "aws_key": F.exists(F.array(*[F.lit(x) for x in ("AKIA", "AGPA", "AIDA", "AROA")]),
+                            lambda x: F.contains(t, x)),
+        "password_field": phrases_found_any(F.lower(t), ("password", "passwd", "pwd")),
+    }
+    return F.concat(*[F.transform(regex_matches(t, pat, column_guards.get(name, SECRET_GUARDS.get(name))), hit(name))
                       for name, pat in secret_patterns(include_generic)])
 
 
