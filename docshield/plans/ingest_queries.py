@@ -80,7 +80,7 @@ def q_pii_compliance(spark, sf):
 
 
 def q_pii_severity(spark, sf):
-    c = _clean(spark, sf).select("doc_id", T.pii_spans("clean_text", gazetteer=GAZ).alias("pii"))
+    c = I.evaluate_once(_clean(spark, sf).select("doc_id", T.pii_spans("clean_text", gazetteer=GAZ).alias("pii")))
     c = c.where(F.size("pii") > 0)
     n = lambda s: F.size(F.filter("pii", lambda x: x["severity"] == s)).cast("bigint")
     return c.select("doc_id", F.size("pii").cast("bigint").alias("n_spans"),
@@ -100,7 +100,8 @@ def q_quarantine_decision(spark, sf):
 
 
 def q_pii_redact(spark, sf):
-    c = _clean(spark, sf).select("doc_id", "clean_text", T.pii_spans("clean_text", gazetteer=GAZ).alias("pii"))
+    c = I.evaluate_once(_clean(spark, sf).select("doc_id", "clean_text",
+                                                 T.pii_spans("clean_text", gazetteer=GAZ).alias("pii")))
     c = c.where(F.size("pii") > 0)
     return c.select("doc_id", F.size(T.merge_spans("pii")).cast("bigint").alias("n_components"),
                     T.redact("clean_text", "pii").alias("redacted"))
