@@ -32,7 +32,8 @@ def read_document_files(spark: SparkSession, path: str, max_bytes: int = C.MAX_I
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", r"[/\\]"), -1)
     ext_ok = F.exists(F.array(*[F.lit(e) for e in extensions]), lambda e: F.lower(name).endswith(e))
-    text = F.decode("content", "UTF-8")
+    # UTF-8 with replacement: invalid byte sequences become U+FFFD instead of failing
+    text = F.call_function("make_valid_utf8", F.col("content").cast("string"))
     reason = (F.when(~ext_ok, F.lit(415)).when(F.col("length") > max_bytes, F.lit(413))
               .when(F.length(F.trim(text)) < C.MIN_TEXT_CHARS, F.lit(400)))
     out = f.select("path", name.alias("source"), "length", reason.alias("reject_code"),

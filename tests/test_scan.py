@@ -64,3 +64,18 @@ def test_redaction_idempotent(spark, parts):
     once = df.select(T.redact("t", T.pii_spans("t")).alias("r"))
     twice = once.select(T.redact("r", T.pii_spans("r")).alias("r2"), "r").first()
     assert twice.r == twice.r2
+
+
+def test_file_source_gate(spark, tmp_path):
+    from docshield.sources.files import read_document_files
+    (tmp_path / "doc.exe").write_bytes(b"hello")
+    (tmp_path / "big.txt").write_bytes(b"12345")
+    (tmp_path / "blank.md").write_bytes(b"  \n ")
+    (tmp_path / "ok.csv").write_bytes("a,b".encode())
+    (tmp_path / "bad.txt").write_bytes(b"ok \xff\xfe end")
+    rows = {r.source: (r.reject_code, r.accepted, r.text)
+            for r in read_document_files(spark, str(tmp_path), max_bytes=4).collect()}
+    assert rows["doc.exe"][0] == 415 and rows["big.txt"][0] == 413 and rows["blank.md"][0] == 400
+    assert rows["ok.csv"][:2] == (None, True)
+    rows = {r.source: r.text for r in read_document_files(spark, str(tmp_path), max_bytes=100).collect()}
+    assert "�" in rows["bad.txt"]          # undecodable bytes are replaced, not fatal
