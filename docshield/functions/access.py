@@ -44,7 +44,7 @@ def clearance_level(roles) -> Column:
     """R2: highest clearance over known roles; no known role → PUBLIC (0)."""
     m = _role_levels()
     known = F.filter(_col(roles), lambda r: F.map_contains_key(m, r))
-    return F.coalesce(F.array_max(F.transform(known, lambda r: F.element_at(m, r))), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(known, lambda r: F.try_element_at(m, r))), F.lit(0))
 
 
 def resolve_clearance(roles) -> Column:

@@ -151,7 +151,8 @@ def stale_hashes(users: DataFrame, scheme: str = C.PASSWORD_SCHEME,
                  min_iterations: int = C.PBKDF2_MIN_ITERATIONS) -> DataFrame:
     """Users whose stored hash lacks the scheme or has too few iterations."""
     parts = F.split("password_hash", r"\$")
-    it = parts.getItem(1).try_cast("bigint")
-    bad = (parts.getItem(0) != scheme) | it.isNull() | (it < min_iterations)
-    return users.where(bad).select("user_id", "username", parts.getItem(0).alias("scheme"),
+    it = F.try_element_at(parts, F.lit(2)).try_cast("bigint")
+    sch = F.try_element_at(parts, F.lit(1))
+    bad = (sch != scheme) | it.isNull() | (it < min_iterations)
+    return users.where(bad).select("user_id", "username", sch.alias("scheme"),
                                    it.alias("iterations"))

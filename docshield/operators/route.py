@@ -26,7 +26,7 @@ def _decision(action, category, confidence, is_safe) -> Column:
 
 def _category_of(label: Column) -> Column:
     m = F.create_map(*[x for k, v in C.ROUTER_CATEGORY.items() for x in (F.lit(k), F.lit(v))])
-    return F.element_at(m, label)
+    return F.try_element_at(m, label)
 
 
 def decide_scores(text: Column, top_label: Column, top_score: Column, has_score: Column,

@@ -130,3 +130,10 @@ def test_merkle_root_detects_change(spark):
     rows[5] = rows[5][:4] + ("tampered",)
     b = merkle_roots(spark.createDataFrame(rows, schema)).first().root
     assert a != b and len(a) == 64
+
+
+def test_stale_hashes_tolerates_odd_values(spark):
+    users = spark.createDataFrame([(1, "a", "pbkdf2_sha256$600000$s$h"), (2, "b", "plainhash"),
+                                   (3, "c", "pbkdf2_sha256$1000$s$h"), (4, "d", "pbkdf2_sha256$x$s$h")],
+                                  "user_id long, username string, password_hash string")
+    assert sorted(r.user_id for r in AO.stale_hashes(users).collect()) == [2, 3, 4]
