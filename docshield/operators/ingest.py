@@ -73,7 +73,7 @@ def scan_documents(docs: DataFrame, *, on_critical: str = "quarantine", mode: st
     was_modified = quarantined | (F.col("redacted") != F.col("clean_text"))
     too_big = F.col("length_bytes") > max_bytes
     status = (F.when(too_big, "rejected").when(quarantined, "quarantined")
-              .when(~F.col("scrubbed_text").rlike(r"\S"), "skipped").otherwise("ingested"))
+              .when(F.coalesce(~F.col("scrubbed_text").rlike(r"\S"), F.lit(True)), "skipped").otherwise("ingested"))
     pii_types = F.transform("pii", lambda x: x["entity_type"])
     pii_types = F.when(F.col("malicious") & ~has_secret & (F.size("pii") == 0),
                        F.array(F.lit("PROMPT_INJECTION"))).otherwise(pii_types)

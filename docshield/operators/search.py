@@ -135,7 +135,7 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int, *, metric: str
     qcols = ["query_id", "tenant_id", "qvec"] + (["roles", "clearance_level"] if authorize else [])
     ccols = ["chunk_id", "tenant_id", "embedding"] + (["acl_roles", "level"] if authorize else [])
     q = queries.select(*qcols).where(F.col("qvec").isNotNull())
-    c = chunks.select(*ccols)
+    c = chunks.select(*ccols).where(F.col("embedding").isNotNull())
     if method == "sql":
         return _search_sql(q, c, k, metric, tenant_scoped, authorize, broadcast_max)
     # one job both checks the size and fetches the block: at most

@@ -286,7 +286,7 @@ ing4 AS (
 ing AS (
   SELECT *,
     CASE WHEN length_bytes > {C.MAX_INGEST_BYTES} THEN 'rejected' WHEN qreason IS NOT NULL THEN 'quarantined'
-         WHEN NOT regexp_matches(scrubbed_text, '\\S') THEN 'skipped' ELSE 'ingested' END AS status,
+         WHEN NOT coalesce(regexp_matches(scrubbed_text, '\\S'), false) THEN 'skipped' ELSE 'ingested' END AS status,
     (qreason IS NOT NULL OR redacted <> clean_text) AS was_modified,
     {S.acl_or_default('acl_raw')} AS acl_roles
   FROM ing4),

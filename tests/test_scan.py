@@ -79,3 +79,10 @@ def test_file_source_gate(spark, tmp_path):
     assert rows["ok.csv"][:2] == (None, True)
     rows = {r.source: r.text for r in read_document_files(spark, str(tmp_path), max_bytes=100).collect()}
     assert "�" in rows["bad.txt"]          # undecodable bytes are replaced, not fatal
+
+
+def test_null_text_is_skipped(spark):
+    df = spark.createDataFrame([("n1", None, "s", "t", None)],
+                               "doc_id string, text string, source string, tenant_id string, acl_roles string")
+    r = I.scan_documents(df).first()
+    assert (r.status, r.reason, list(r.acl_roles)) == ("skipped", "empty_after_scrub", ["employee"])
