@@ -308,7 +308,10 @@ def pii_spans(text, entities=None, mode: str = "none",
             parts.append(gazetteer_spans(text, ent, names))
     if not parts:
         return F.array().cast(SPAN_TYPE)
-    return F.array_sort(F.concat(*parts), lambda a, b: _cmp_start(a, b))
+    from docshield.functions.vectors import let
+    # the comparator sort only runs where there is something to order
+    return let(F.concat(*parts), lambda a: F.when(F.size(a) > 1, F.array_sort(a, lambda x, y: _cmp_start(x, y)))
+               .otherwise(a))
 
 
 def _cmp(a: Column, b: Column) -> Column:
