@@ -94,7 +94,8 @@ CTES = {
     "scores": (["queries"], f"""
         SELECT query_id, {qlist_router()}[abs(query_id) % 5 + 1] AS top_label,
                (abs(query_id) % 100) / 100.0 AS top_score
-        FROM queries WHERE abs(query_id) % 11 <> 0"""),
+        FROM queries
+        WHERE cast(trunc(query_id / 100) AS BIGINT) NOT IN (SELECT doc_id FROM labels WHERE quality = 0)"""),
     "guard_scores": (["queries"], f"""
         SELECT query_id,
                CASE WHEN l.doc_id % 6 = 0 THEN NULL ELSE l.toxic = 0 END AS is_safe,

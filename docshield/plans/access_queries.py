@@ -188,8 +188,7 @@ def _signups(spark, sf):
 
 
 def q_signup_dedup(spark, sf):
-    existing = FX.users(spark, sf).where(F.col("user_id") % 2 == 0)
-    return AO.signup_dedup(_signups(spark, sf), existing).select("request_id", "username", "accepted")
+    return AO.signup_dedup(_signups(spark, sf), FX.users(spark, sf)).select("request_id", "username", "accepted")
 
 
 def _grants(spark, sf):
@@ -485,8 +484,8 @@ def o_signup_dedup():
     vals = ", ".join(f"({S.q(a)}, {S.q(b)}, {c})" for a, b, c in SIGNUP_EXTRA)
     return with_ctes(["users"], f"""
         SELECT request_id, username, coalesce(acc, false) AS accepted FROM (
-          SELECT s.*, (s.username NOT IN (SELECT username FROM users WHERE user_id % 2 = 0)
-                       AND row_number() OVER (PARTITION BY s.username, s.username IN (SELECT username FROM users WHERE user_id % 2 = 0)
+          SELECT s.*, (s.username NOT IN (SELECT username FROM users)
+                       AND row_number() OVER (PARTITION BY s.username, s.username IN (SELECT username FROM users)
                                               ORDER BY s.requested_at, s.request_id) = 1) AS acc
           FROM (SELECT 'c' || cast(user_id AS VARCHAR) AS request_id, username, user_id AS requested_at FROM users
                 UNION ALL SELECT * FROM (VALUES {vals}) v(request_id, username, requested_at)) s)""")

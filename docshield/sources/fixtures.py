@@ -202,11 +202,14 @@ def queries(spark: SparkSession, sf_dir: str, planted: bool = True) -> DataFrame
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zero-shot classifier output per query; every 11th query has none (fail-closed)."""
-    q = queries(spark, sf_dir).select("query_id")
+    """Zero-shot classifier output per query.  The classifier has no answer
+    (fail-closed path) for queries from conversations that ``labels`` marks
+    as low quality (quality = 0)."""
+    q = queries(spark, sf_dir).select("query_id", (F.col("query_id") / 100).cast("long").alias("conv"))
+    bad = read(spark, sf_dir, "labels").where(F.col("quality") == 0).select(F.col("doc_id").alias("conv"))
     labels = F.array(*[F.lit(x) for x in C.ROUTER_LABELS])
     k = F.abs(F.col("query_id"))
-    return q.where(k % 11 != 0).select(
+    return q.join(bad, "conv", "left_anti").select(
         "query_id", F.element_at(labels, (k % 5 + 1).cast("int")).alias("top_label"),
         ((k % 100) / 100.0).alias("top_score"))
 
