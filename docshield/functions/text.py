@@ -10,6 +10,7 @@ the first *i* matches.  Offsets are 0-based code points, end exclusive.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -334,8 +335,7 @@ def gazetteer_spans(text, entity: str, names) -> Column:
     names = sorted({n for n in names if n}, key=lambda s: (-len(s), s))
     if len(names) > GAZETTEER_REGEX_MAX:
         raise ValueError("gazetteer too large for the regex path; use operators.pii.gazetteer_join")
-    import re as _re
-    alt = "|".join(_re.escape(n) for n in names)
+    alt = "|".join(re.escape(n) for n in names)
     pat = f"{WORD}*(?:{alt}){WORD}*"
     anchored = f"^(?:{alt})$"
     sev = C.PII_SEVERITY.get(entity, C.DEFAULT_SEVERITY)

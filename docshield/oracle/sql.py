@@ -8,6 +8,8 @@ independent formulation rather than a transliteration.
 
 from __future__ import annotations
 
+import re
+
 from docshield import constants as C
 from docshield.functions.text import RECOGNIZERS, RECOGNIZER_BY_ENTITY, CONTEXT_BOOST, \
     CONTEXT_WINDOW, SECRET_GUARDS, entity_set, secret_patterns
@@ -149,9 +151,8 @@ def pii_span_rows(src: str, key: str = "doc_id", t: str = "clean_text", entities
     for e, names in (gazetteer or {}).items():
         if e not in active or not names:
             continue
-        import re as _re
         from docshield.functions.text import WORD
-        alt = "|".join(_re.escape(n) for n in sorted(set(names), key=lambda s: (-len(s), s)))
+        alt = "|".join(re.escape(n) for n in sorted(set(names), key=lambda s: (-len(s), s)))
         pat = f"{WORD}*(?:{alt}){WORD}*"
         sev = C.PII_SEVERITY.get(e, C.DEFAULT_SEVERITY)
         parts.append(
