@@ -97,3 +97,14 @@ def test_bucketed_previous_messages_equal_plain_window(spark):
     want = {(r.conv_id, r.turn, tuple(r.prev)) for r in
             h.withColumn("prev", F.collect_list(F.concat("role", F.lit(": "), "text")).over(w)).collect()}
     assert got == want
+
+
+def test_stream_sessions_equal_batch(spark):
+    from docshield.operators.access import resolve_sessions
+    from docshield.sources import fixtures as FX
+    from docshield.streaming.jobs import stream_sessions
+    s, r, u = FX.auth_sessions(spark, SF_SMALL), FX.session_requests(spark, SF_SMALL), FX.users(spark, SF_SMALL)
+    cols = ["request_id", "status", "user_id", "role", "tenant_id"]
+    got = {tuple(x) for x in stream_sessions(spark, s, r, u).select(*cols).collect()}
+    want = {tuple(x) for x in resolve_sessions(r, s, u).select(*cols).collect()}
+    assert got == want and len(got) > 0
