@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docshield.llm.common import (EXCHANGE, LOWER, REPLY, SPACED, blobs, buckets, by_bucket, cut, grouped_sums, lookup, mix, narrow, pack, replies,
-                                  spans, steps, top_bits, unpack, utf8, with_shard, word_hash)
+                                  spans, steps, top_bits, unblob, unpack, utf8, with_shard, word_hash)
 
 DISCOUNT = 0.75
 SUPPORT = 2  # a successor is kept from so many occurrences
@@ -247,7 +247,7 @@ def _grow(heavy: np.ndarray, states: tuple, count: int):
         level = _Level(told.column("payload").to_pylist(), states)
         sums, shard, rates = _Sums(np.uint64, np.uint64, np.int64), texts.column("shard")[0].as_py() if len(texts) else None, []
         for blob in texts.column("payload").to_pylist():
-            b, = unpack(blob)
+            b = unblob(blob)
             sym, doc = symbols(b.column("text"))
             learn = ~b.column("held_out").to_numpy(zero_copy_only=False)
             ctx, ok = contexts(sym, doc, 2)
@@ -281,7 +281,7 @@ def _score(total: float, distinct: float, states: list[tuple]):
         levels = [_Level(own(k + 1), s) for k, s in enumerate(states)]
         out = []
         for blob in texts.column("payload").to_pylist():
-            b, = unpack(blob)
+            b = unblob(blob)
             sym, doc = symbols(b.column("text"))
             at, ok = lookup(word, sym)
             c = np.where(ok, n[at] if len(n) else 0, 0)
