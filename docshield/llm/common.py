@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step inside a task works on (a longer document is one step).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -195,10 +195,19 @@ def grouped_sums(order: np.ndarray, *values: np.ndarray) -> tuple:
 
 
 def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches as (shard, payload) rows, compressed: the cheapest way to bring texts to what was found out about their shard."""
+    """Batches as (shard, payload) rows, compressed: the cheapest way to bring texts to what was found out about their shard.
+
+    Arrow's stream format writes the rows of a slice only; a pickled slice would hold its whole parent."""
     for b in steps(batches):
-        shard = b.column("shard")[0]
-        yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()], pa.int32()), pa.array([pack(pa.Table.from_batches([b.drop_columns(["shard"])]).combine_chunks().to_batches()[0], level=1)], pa.binary())], ["shard", "payload"])
+        shard, own = b.column("shard")[0].as_py(), b.drop_columns(["shard"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(own)
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["shard", "payload"])
+
+
+def unblob(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob).read_next_batch()
 
 
 def by_bucket(shard: int, bucket: np.ndarray, count: int, *columns: np.ndarray) -> pa.RecordBatch:

@@ -74,27 +74,33 @@ class _Sums:
     """Counts by key columns, summed up now and then so that memory follows the distinct keys."""
 
     def __init__(self, *kinds):
-        self.held, self.size, self.limit, self.kinds = [], 0, 1 << 21, kinds
+        self.held, self.size, self.limit, self.kinds = [], 0, 1 << 20, kinds
 
     def add(self, *columns):
-        self.held.append(columns)
-        self.size += len(columns[0])
+        *keys, n = columns
+        self.held.append((*keys, n.astype(np.uint32)))
+        self.size += len(n)
         if self.size > self.limit:
             n = len(self.result()[0])
-            self.size, self.limit = n, max(self.limit, 2 * n)
+            self.size, self.limit = n, n + max(1 << 20, n // 4)
 
     def result(self):
         """Key columns in order (the first leads), and the sums of the last column."""
-        if not self.held:
-            self.held = [tuple(np.empty(0, k) for k in self.kinds)]
-        *keys, n = (np.concatenate(c) for c in zip(*self.held, strict=True))
-        at = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-        keys, n = [k[at] for k in keys], n[at]
-        if len(n):
-            new = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
-            keys, n = [k[new] for k in keys], np.add.reduceat(n, new)
-        self.held = [(*keys, n)]
-        return (*keys, n)
+        columns = [np.concatenate([np.empty(0, kind), *(h[k] for h in self.held)]) for k, kind in enumerate((*self.kinds[:-1], np.uint32))]
+        self.held = []
+        at = np.lexsort(columns[-2::-1])
+        for k in range(len(columns)):
+            columns[k] = columns[k][at]
+        del at
+        if len(columns[0]):
+            new = np.zeros(len(columns[0]), bool)
+            new[0] = True
+            for x in columns[:-1]:
+                new[1:] |= x[1:] != x[:-1]
+            new = np.flatnonzero(new)
+            columns = [*(x[new] for x in columns[:-1]), np.add.reduceat(columns[-1], new)]
+        self.held = [tuple(columns)]
+        return (*columns[:-1], columns[-1].astype(np.int64))
 
 
 def _count_words(count: int):
