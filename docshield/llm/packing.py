@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docshield.llm.common import cut
+from docshield.llm.common import cut, steps
 
 WINDOW = 2048
 END_ID = 1
@@ -64,7 +64,7 @@ def token_ids(text: str | None, path: str, end_id: int | None = END_ID) -> np.nd
 
 def _pieces(path: str, window: int):
     def run(batches):
-        for b in batches:
+        for b in steps(batches):
             ids, out = b.column("doc_id"), []
             for k, text in enumerate(b.column("text").to_pylist()):
                 t = token_ids(text, path)

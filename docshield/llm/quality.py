@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docshield.llm.common import cut
+from docshield.llm.common import cut, steps
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\r\x0b\x0c"
@@ -71,7 +71,7 @@ def text_features(text: str | None) -> tuple[int, ...]:
 
 def _features(batches):
     names = [x.split()[0] for x in FEATURES.split(", ")]
-    for b in batches:
+    for b in steps(batches):
         rows = [text_features(t) for t in b.column("text").to_pylist()]
         cols = np.array(rows, np.int64).reshape(len(rows), len(names)).T
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c) for c in cols)], ["doc_id", *names])
