@@ -8,6 +8,7 @@ hot key costs one entry a shard, however many rows hold it.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import re
 import tempfile
@@ -81,8 +82,9 @@ def pack(*parts, level: int = 0) -> bytes:
     return b"z" + zstandard.ZstdCompressor(level=level).compress(raw) if level else b"r" + raw
 
 
-def unpack(blob: bytes) -> tuple:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob[1:]) if blob[:1] == b"z" else memoryview(blob)[1:])
+def unpack(blob) -> tuple:
+    view = memoryview(blob)
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(view[1:]) if view[0] == 0x7A else view[1:])
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +208,7 @@ def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["shard", "payload"])
 
 
-def unblob(blob: bytes) -> pa.RecordBatch:
+def unblob(blob) -> pa.RecordBatch:
     return pa.ipc.open_stream(blob).read_next_batch()
 
 
@@ -241,6 +243,20 @@ def lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, keys[at] == wanted
 
 
+def payloads(table: pa.Table) -> Iterator[tuple]:
+    """The unpacked payloads of a group, one at a time."""
+    for x in table.column("payload"):
+        yield unpack(x.as_buffer())
+
+
+def release() -> None:
+    """Give freed memory back: workers are used again by later stages and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+_LIBC = ctypes.CDLL(None)
 EXCHANGE = "bucket int, shard int, payload binary"
 REPLY = "shard int, payload binary"
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docshield.llm.common import (EXCHANGE, LOWER, REPLY, SPACED, blobs, buckets, by_bucket, cut, grouped_sums, lookup, mix, narrow, pack, replies,
+from docshield.llm.common import (EXCHANGE, LOWER, REPLY, SPACED, blobs, buckets, by_bucket, cut, grouped_sums, lookup, mix, narrow, pack, payloads, release, replies,
                                   spans, steps, top_bits, unblob, unpack, utf8, with_shard, word_hash)
 
 DISCOUNT = 0.75
@@ -100,6 +100,7 @@ class _Sums:
             new = np.flatnonzero(new)
             columns = [*(x[new] for x in columns[:-1]), np.add.reduceat(columns[-1], new)]
         self.held = [tuple(columns)]
+        release()
         return (*columns[:-1], columns[-1].astype(np.int64))
 
 
@@ -118,7 +119,7 @@ def _count_words(count: int):
 
 
 def _sum_words(table: pa.Table) -> pa.Table:
-    parts = [unpack(x) for x in table.column("payload").to_pylist()]
+    parts = list(payloads(table))
     size = np.array([len(p[0]) for p in parts])
     h, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1].astype(np.int64) for p in parts])
     keys, total = grouped_sums(h, n)
@@ -155,13 +156,16 @@ def _blocks(shard, sums, heavy, count, rates: tuple | None = None):
     bucket, ctx, sym, n = bucket[at], ctx[at], sym[at], n[at]
     edges = np.searchsorted(bucket, np.arange(count + 1))
     own = np.flatnonzero(np.diff(edges))
-    payloads = []
+    packed = []
     for k in own:
         part = slice(edges[k], edges[k + 1])
         first = np.flatnonzero(np.concatenate(([True], ctx[part][1:] != ctx[part][:-1])))
         names = ctx[part][first]
-        payloads.append(pack0(names, np.diff(np.append(first, edges[k + 1] - edges[k])), sym[part], n[part], rates[1][np.searchsorted(rates[0], names)] if rates else np.empty(0)))
-    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([shard] * len(own), pa.int32()), pa.array(payloads, pa.binary())], ["bucket", "shard", "payload"])
+        packed.append(pack0(names, np.diff(np.append(first, edges[k + 1] - edges[k])), sym[part], n[part], rates[1][np.searchsorted(rates[0], names)] if rates else np.empty(0)))
+    del bucket, ctx, sym, n, at
+    sums.held = []
+    release()
+    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([shard] * len(own), pa.int32()), pa.array(packed, pa.binary())], ["bucket", "shard", "payload"])
 
 
 def _diverges(total: np.ndarray, agree: np.ndarray, rate: np.ndarray) -> np.ndarray:
@@ -174,7 +178,7 @@ def _sum_successors(heavy: np.ndarray, rate: float):
     """Reply: keys and counts of kept successors; contexts that stay, with total, kept mass and their own agreement rate.
     Shard -1: sums of the contexts that are dealt out by successor, and the most frequent successors."""
     def run(table: pa.Table) -> pa.Table:
-        parts = [unpack(x) for x in table.column("payload").to_pylist()]
+        parts = list(payloads(table))
         size = np.array([len(p[2]) for p in parts])
         ctx = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
         sym, n = np.concatenate([p[2] for p in parts]), np.concatenate([p[3].astype(np.int64) for p in parts])
@@ -231,8 +235,8 @@ def _heavy_states(found: DataFrame) -> tuple:
 class _Level:
     """What a shard knows of one depth: successors' counts by key, and the states."""
 
-    def __init__(self, payloads: list[bytes], heavy: tuple):
-        parts = [unpack(p) for p in payloads]
+    def __init__(self, told: pa.Table, heavy: tuple):
+        parts = list(payloads(told))
         join = lambda k, kind: np.concatenate([np.empty(0, kind), *(p[k].astype(kind) for p in parts)])
         key, n = join(0, np.uint64), join(1, np.int64)
         at = np.argsort(key)
@@ -250,10 +254,10 @@ class _Level:
 def _grow(heavy: np.ndarray, states: tuple, count: int):
     """Successors of the two-word contexts to try (successors of a word that is no state are not told, so their count is 0 here)."""
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
-        level = _Level(told.column("payload").to_pylist(), states)
+        level = _Level(told, states)
         sums, shard, rates = _Sums(np.uint64, np.uint64, np.int64), texts.column("shard")[0].as_py() if len(texts) else None, []
-        for blob in texts.column("payload").to_pylist():
-            b = unblob(blob)
+        for blob in texts.column("payload"):
+            b = unblob(blob.as_buffer())
             sym, doc = symbols(b.column("text"))
             learn = ~b.column("held_out").to_numpy(zero_copy_only=False)
             ctx, ok = contexts(sym, doc, 2)
@@ -276,18 +280,17 @@ def _grow(heavy: np.ndarray, states: tuple, count: int):
 
 def _score(total: float, distinct: float, states: list[tuple]):
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
-        at_level = np.array(told.column("level").to_pylist())
-        payloads = told.column("payload").to_pylist()
-        own = lambda k: [payloads[i] for i in np.flatnonzero(at_level == k)]
-        parts = [unpack(p) for p in own(0)]
+        at_level = told.column("level").to_numpy()
+        own = lambda k: told.filter(pa.array(at_level == k))
+        parts = list(payloads(own(0)))
         word = np.concatenate([np.empty(0, np.uint64), *(p[0] for p in parts)])
         n = np.concatenate([np.empty(0, np.int64), *(p[1].astype(np.int64) for p in parts)])
         at = np.argsort(word)
         word, n = word[at], n[at]
         levels = [_Level(own(k + 1), s) for k, s in enumerate(states)]
         out = []
-        for blob in texts.column("payload").to_pylist():
-            b = unblob(blob)
+        for blob in texts.column("payload"):
+            b = unblob(blob.as_buffer())
             sym, doc = symbols(b.column("text"))
             at, ok = lookup(word, sym)
             c = np.where(ok, n[at] if len(n) else 0, 0)
@@ -304,6 +307,7 @@ def _score(total: float, distinct: float, states: list[tuple]):
                     p[go] = np.where(seen >= SUPPORT, seen - DISCOUNT, 0.0) / level.total[at] + (1 - level.mass[at] / level.total[at]) * p[go]
             begin = np.searchsorted(doc, np.arange(b.num_rows))
             add = lambda x: np.add.reduceat(x, begin)  # noqa: E731  every document has its end symbol
+            release()
             out.append(pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(np.bincount(doc, minlength=b.num_rows)), pa.array(add((c > 0).astype(np.int64))),
                        pa.array(np.full(b.num_rows, int(total))), pa.array(add(np.log10(root))), pa.array(add(np.log10(p)))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
         return pa.Table.from_batches(out)
