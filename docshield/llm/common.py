@@ -9,6 +9,7 @@ hot key costs one entry a shard, however many rows hold it.
 from __future__ import annotations
 
 import ctypes
+import gc
 import pickle
 import re
 import tempfile
@@ -54,6 +55,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: Spark then deletes the shuffle files of jobs whose results have been written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stable(docs: DataFrame) -> DataFrame:
     """``docs`` such that every pass sees the same rows in the same splits and order: anything but a
     projection of a file scan is written and read again first."""

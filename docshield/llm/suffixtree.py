@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docshield.llm.common import (EXCHANGE, LOWER, REPLY, SPACED, blobs, buckets, by_bucket, cut, grouped_sums, lookup, mix, narrow, pack, payloads, release, replies,
+from docshield.llm.common import (EXCHANGE, LOWER, REPLY, SPACED, blobs, buckets, by_bucket, cut, free_shuffles, grouped_sums, lookup, mix, narrow, pack, payloads, release, replies,
                                   spans, steps, top_bits, unblob, unpack, utf8, with_shard, word_hash)
 
 DISCOUNT = 0.75
@@ -334,6 +334,7 @@ def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         else:
             sent = texts.groupBy("shard").cogroup(found.where("shard >= 0").groupBy("shard")).applyInArrow(_grow(heavy, states[-1], count), EXCHANGE)
         found = cut(sent.groupBy("bucket").applyInArrow(_sum_successors(heavy, rate), REPLY))
+        free_shuffles(spark)
         states.append(_heavy_states(found))
         told.append(found.where("shard >= 0").withColumn("level", F.lit(level)))
         heavy = often([unpack(r[0])[5:] for r in found.where("shard = -1").select("payload").collect()]) if level < depth else heavy
