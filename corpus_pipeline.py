@@ -11,15 +11,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from docshield.llm import decontam, neardup, packing, quality, secrets
-from docshield.llm.common import scratch_dir, with_row
+from docshield.llm.common import scratch_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    names = docs.columns
-    docs = with_row(docs, "_row")
-    judged = quality.quality(docs.drop("doc_id").withColumnRenamed("_row", "doc_id"))
-    return docs.join(judged.where("kept").select("doc_id").withColumnRenamed("doc_id", "_row"), "_row", "left_semi").select(*names)
+    return quality.filtered(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

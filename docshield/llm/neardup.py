@@ -149,7 +149,7 @@ def links(texts: DataFrame) -> DataFrame:
     keyed = sketched.select("id", F.posexplode("keys").alias("sketch", "key"))
     pairs = cut(_stars(keyed))
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    held = cut(texts.join(ids, "id", "left_semi"))
+    held = cut(texts.join(ids.hint("merge"), "id", "left_semi"))
 
     def verified(p):
         p = p.join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -174,7 +174,7 @@ def classes(docs: DataFrame) -> DataFrame:
     first = member.groupBy("digest").agg(F.min("doc_id").alias("id"))
     copies = cut(member.join(first, "digest").select("doc_id", "id"))
     others = copies.where("doc_id <> id").select("doc_id").distinct()
-    texts = docs.join(others, "doc_id", "left_anti").where("text IS NOT NULL").withColumnRenamed("doc_id", "id")
+    texts = docs.join(others.hint("merge"), "doc_id", "left_anti").where("text IS NOT NULL").withColumnRenamed("doc_id", "id")
     label = components(links(texts))
     out = copies.join(label, "id", "left").select("doc_id", F.coalesce("label", "id").alias("class_id"), (F.col("doc_id") != F.col("id")).alias("is_copy"))
     size = out.groupBy("class_id").agg(F.count("*").alias("class_size"))
@@ -184,5 +184,5 @@ def classes(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents without the near copies: of each class the smallest doc_id stays.  Rows without a doc_id stay as they are."""
     gone = classes(docs).where("NOT keep").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")  # both sides grow with the corpus
 

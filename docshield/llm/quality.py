@@ -69,12 +69,16 @@ def text_features(text: str | None) -> tuple[int, ...]:
             lines, len(forms), stop, upper, letters, text.count("!"), plain)
 
 
-def _features(batches):
-    names = [x.split()[0] for x in FEATURES.split(", ")]
-    for b in steps(batches):
-        rows = [text_features(t) for t in b.column("text").to_pylist()]
-        cols = np.array(rows, np.int64).reshape(len(rows), len(names)).T
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c) for c in cols)], ["doc_id", *names])
+NAMES = [x.split()[0] for x in FEATURES.split(", ")]
+
+
+def _features(carry: list[str], prefix: str = ""):
+    def run(batches):
+        for b in steps(batches):
+            rows = [text_features(t) for t in b.column("text").to_pylist()]
+            cols = np.array(rows, np.int64).reshape(len(rows), len(NAMES)).T
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), *(pa.array(c) for c in cols)], [*carry, *(prefix + n for n in NAMES)])
+    return run
 
 
 def votes() -> list[tuple[str, Column]]:
@@ -121,22 +125,44 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[fl
     return prior, p
 
 
-def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """One row per document: the base counts, ``base_failed``, the rules' votes, ``p_good`` and ``kept``."""
-    counted = cut(docs.select("doc_id", "text").mapInArrow(_features, f"doc_id {dict(docs.dtypes)['doc_id']}, {FEATURES}"))
+def model(counted: DataFrame) -> Column:
+    """P(good) as an expression over the features' columns, by EM over the vote patterns of ``counted``."""
     rules = votes()
-    voted = counted.withColumns({f"vote_{k}": v.cast("int") for k, v in rules})
     names = [f"vote_{k}" for k, _ in rules]
-    table = voted.groupBy(*names).count().collect()  # at most 3**10 rows
+    table = counted.select(*(v.cast("int").alias(n) for n, (_, v) in zip(names, rules, strict=True))).groupBy(*names).count().collect()  # at most 3**10 rows
     if table:
         prior, p = fit(np.array([[r[n] for n in names] for r in table]), np.array([r["count"] for r in table], float))
     else:
         prior, p = 0.5, np.full((len(names), 2, 3), 1 / 3)
     odds = F.lit(float(np.log(prior / (1 - prior))))
-    for j, n in enumerate(names):
+    for j, (_, vote) in enumerate(rules):
         weigh = [float(np.log(p[j, 1, v] / p[j, 0, v])) for v in range(3)]
-        odds = odds + F.when(F.col(n) == -1, weigh[0]).when(F.col(n) == 0, weigh[1]).otherwise(weigh[2])
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    p_good = 1 / (1 + F.exp(-odds))
-    return voted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                        failed.alias("base_failed"), (~failed & (p_good >= threshold)).alias("kept"), p_good.alias("p_good"), *names)
+        odds = odds + F.when(vote == -1, weigh[0]).when(vote == 0, weigh[1]).otherwise(weigh[2])
+    return 1 / (1 + F.exp(-odds))
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """One row per document: the base counts, ``base_failed``, the rules' votes, ``p_good`` and ``kept``."""
+    counted = cut(docs.select("doc_id", "text").mapInArrow(_features(["doc_id"]), f"doc_id {dict(docs.dtypes)['doc_id']}, {FEATURES}"))
+    p_good = model(counted)
+    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                          base_failed().alias("base_failed"), (~base_failed() & (p_good >= threshold)).alias("kept"), p_good.alias("p_good"),
+                          *(v.cast("int").alias(f"vote_{k}") for k, v in votes()))
+
+
+def filtered(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The documents that are kept, with their columns.  Texts are never shuffled: they are counted once for the model and
+    once more to apply it."""
+    columns = docs.columns
+    inner = [f"_c{k}" for k in range(len(columns))]  # input columns may have any name
+    own = docs.toDF(*inner)
+    texts = own.withColumnRenamed(inner[columns.index("text")], "text")
+    inner[columns.index("text")] = "text"
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema)
+    p_good = model(cut(texts.select("text").mapInArrow(_features([]), FEATURES)))
+    kept = texts.mapInArrow(_features(inner), f"{fields}, {FEATURES}").where(~base_failed() & (p_good >= threshold))
+    return kept.select(*inner).toDF(*columns)

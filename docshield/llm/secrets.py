@@ -116,7 +116,7 @@ def redacted(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     some = F.col("text").rlike(CANDIDATE)
     gaps, found = F.split("text", CANDIDATE, -1), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
     part = lambda i: F.concat(F.get("_gaps", i), F.when(F.get("_flags", i), F.lit(MASK)).otherwise(F.coalesce(F.get("_found", i), F.lit(""))))
-    changed = held.where(some).join(hit, "_row", "left")
+    changed = held.where(some).join(hit.hint("merge"), "_row", "left")
     own = F.col("_flags").isNotNull()
     changed = changed.withColumns({"_gaps": F.when(own, gaps), "_found": F.when(own, found)})
     text = F.when(own, F.concat_ws("", F.transform(F.sequence(F.lit(0), F.size("_found")), part))).otherwise(F.col("text"))
