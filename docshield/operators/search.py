@@ -74,6 +74,26 @@ def _block_payload(block: pd.DataFrame, metric: str, tenant_scoped: bool, author
     return payload
 
 
+#: Rounding of a matrix product depends on a row's place in it; scores this close count as equal until they are re-scored.
+TIE_SLACK = 1e-9
+RESCORE_ROWS = 100_000
+
+
+def _fold(a: np.ndarray) -> np.ndarray:
+    """Row sums from left to right, as ``aggregate`` adds: the same vector gets the same sum in any batch."""
+    total = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        total += a[:, k]
+    return total
+
+
+def _exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """``vectors.cosine`` or ``vectors.l2_relevance`` of paired rows, in their order of operations."""
+    if metric == "cosine":
+        return _fold(a * b) / (np.sqrt(_fold(a * a)) * np.sqrt(_fold(b * b)))
+    return 1.0 - np.sqrt(_fold((a - b) * (a - b))) / math.sqrt(2.0)
+
+
 def _scorer(bc, k: int):
     """mapInPandas body: score chunk batches against the broadcast query block."""
 
@@ -104,16 +124,17 @@ def _scorer(bc, k: int):
             s = np.where(ok, s, -np.inf)
         n = s.shape[0]
         if k < n:
-            # k-th best score per query; every row at or above it leaves the
-            # task (ties at the cut included, the final window orders them)
+            # the k-th best score per query, less the rounding of the matrix product: whatever could
+            # be among the k best, ties included, leaves the task
             kth = -np.partition(-s, k - 1, axis=0)[k - 1]
-            mask = (s >= kth[None, :]) & np.isfinite(s)
+            mask = (s >= kth[None, :] - TIE_SLACK) & np.isfinite(s)
         else:
             mask = np.isfinite(s)
         ri, qi = np.nonzero(mask)
-        yield pd.DataFrame({"query_id": qids[qi],
-                            "chunk_id": pdf["chunk_id"].to_numpy(dtype=object)[ri],
-                            "score": s[ri, qi]})
+        for lo in range(0, len(ri), RESCORE_ROWS):
+            r, q = ri[lo:lo + RESCORE_ROWS], qi[lo:lo + RESCORE_ROWS]
+            yield pd.DataFrame({"query_id": qids[q], "chunk_id": pdf["chunk_id"].to_numpy(dtype=object)[r],
+                                "score": _exact(cmat[r], qmat[q], p["metric"])})
     return run
 
 
