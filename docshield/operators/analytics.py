@@ -97,6 +97,13 @@ def events_search(feed: DataFrame, type_: str | None = None, risk: str | None =
     return d
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` in which null equals null: rows without a key are one group, not lost."""
+    right = right.withColumnsRenamed({k: f"_j{n}" for n, k in enumerate(keys)})
+    on = [left[k].eqNullSafe(right[f"_j{n}"]) for n, k in enumerate(keys)]
+    return left.join(right, on).drop(*(f"_j{n}" for n in range(len(keys))))
+
+
 def daily_budget(events: DataFrame, max_per_day: int = C.DAILY_QUERY_BUDGET, key: str = "user_id",
                  order=("ts", "event_id"), bucket: str = "minute") -> DataFrame:
     """Request number within the (key, UTC day) and the budget decision.
@@ -112,7 +119,7 @@ def daily_budget(events: DataFrame, max_per_day: int = C.DAILY_QUERY_BUDGET, key
     wb = Window.partitionBy(key, "_day").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(wb), F.lit(0)))
     wr = Window.partitionBy(key, "_day", "_m").orderBy(*order)
-    ranked = d.withColumn("_r", F.row_number().over(wr)).join(counts.drop("_n"), [key, "_day", "_m"])
+    ranked = _join_null_safe(d.withColumn("_r", F.row_number().over(wr)), counts.drop("_n"), [key, "_day", "_m"])
     return ranked.withColumn("day_n", (F.col("_before") + F.col("_r")).cast("int")) \
         .withColumn("allowed", F.col("day_n") <= max_per_day).drop("_day", "_m", "_r", "_before")
 
@@ -137,7 +144,7 @@ def rate_limit(events: DataFrame, limit: int, window: str, key: Column, order=("
     wb = Window.partitionBy("rl_key", "rl_window").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(wb), F.lit(0))).drop("_n")
     wr = Window.partitionBy("rl_key", "rl_window", "_s").orderBy(*order)
-    r = d.withColumn("_r", F.row_number().over(wr)).join(counts, ["rl_key", "rl_window", "_s"])
+    r = _join_null_safe(d.withColumn("_r", F.row_number().over(wr)), counts, ["rl_key", "rl_window", "_s"])
     return r.withColumn("rl_n", F.col("_before") + F.col("_r")).withColumn("over_limit", F.col("rl_n") > limit) \
         .drop("_s", "_r", "_before")
 
