@@ -12,6 +12,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.functions import pandas_udf
 
 from docshield import constants as C
@@ -122,13 +123,18 @@ def chunk_count(method: str = "recursive", text: str = "scrubbed_text") -> Colum
     return F.size(recursive_chunks_udf()(F.col(text))).cast("bigint")
 
 
-def write_chunk_table(chunks: DataFrame, path: str) -> None:
-    """Sink: parquet partitioned by tenant; re-running a batch replaces only
-    the tenants it wrote (dynamic partition overwrite), so a retried job
-    does not duplicate chunks."""
-    spark = chunks.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    chunks.write.mode("overwrite").partitionBy("tenant_id").parquet(path)
+def write_chunk_table(chunks: DataFrame, path: str, batch_id: str) -> None:
+    """Sink: parquet partitioned by tenant and batch.  A new batch is added to what its tenants have;
+    re-running a batch replaces only its own rows (dynamic partition overwrite), so a retried job does
+    not duplicate chunks."""
+    chunks.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("tenant_id", "batch_id").parquet(path)
+
+
+def read_chunk_table(spark, path: str, schema) -> DataFrame:
+    """The chunk table with the types it was written with (a tenant ``007`` stays text), without the batch."""
+    schema = StructType([*schema.fields, StructField("batch_id", StringType())])
+    return spark.read.schema(schema).parquet(path).drop("batch_id")
 
 
 def register_chunk_udtf(spark) -> None:

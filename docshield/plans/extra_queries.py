@@ -108,8 +108,9 @@ def q_chunk_table(spark, sf):
     """The chunk table written partitioned by tenant (dynamic overwrite)
     to the shared scratch folder and read back."""
     path = FS.scratch_path(spark, "chunk-table")
-    CH.write_chunk_table(CH.chunk_table(IQ._scan(spark, sf), "fixed"), path)
-    t = spark.read.parquet(path)
+    chunks = CH.chunk_table(IQ._scan(spark, sf), "fixed")
+    CH.write_chunk_table(chunks, path, "batch-1")
+    t = CH.read_chunk_table(spark, path, chunks.schema)
     return t.select("chunk_id", "doc_id", "tenant_id", "sensitivity_class", F.length("text").cast("bigint").alias("n_chars"))
 
 
