@@ -39,19 +39,21 @@ def get_spark(master: str | None = None, partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names.
+    """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when ``spark.checkpoint.dir`` is unset (local tests) do we create a
-    scratch one; on a cluster the configured shared folder is always used.
+    Only a local master may go without it (a temporary folder is used then): on a cluster each
+    executor would write to a disk of its own.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DIRS.get(spark.sparkContext.applicationId)
     if not d:
-        d = tempfile.mkdtemp(prefix="docshield-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        d = _LOCAL_DIRS[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="docshield-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+_LOCAL_DIRS: dict[str, str] = {}
 _SHIPPED: set = set()
 
 
