@@ -276,7 +276,8 @@ def recognizer_spans(text, r: Recognizer, threshold: float = C.PII_CONFIDENCE_TH
     def score(x):
         s = F.lit(r.score)
         if r.validator:
-            s = F.when(VALIDATORS[r.validator](x["value"]), F.lit(1.0)).otherwise(s)
+            # a value that fails its check is no match: context can't lift it over any threshold
+            s = F.when(VALIDATORS[r.validator](x["value"]), F.lit(1.0)).otherwise(F.lit(-1.0))
         if r.context:
             lo = F.greatest(x["start"] - CONTEXT_WINDOW, F.lit(0))
             window = F.lower(F.substring(t, lo + 1, x["start"] - lo))

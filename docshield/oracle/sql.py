@@ -117,7 +117,7 @@ VALIDATORS = {"luhn": v_luhn, "ipv4": v_ipv4, "ssn": v_ssn, "dea": v_dea, "iban"
 def score_expr(r, t: str, v: str = "v", st: str = "st") -> str:
     s = f"{r.score}::DOUBLE"
     if r.validator:
-        s = f"(CASE WHEN {VALIDATORS[r.validator](v)} THEN 1.0::DOUBLE ELSE {s} END)"
+        s = f"(CASE WHEN {VALIDATORS[r.validator](v)} THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)"
     if r.context:
         lo = f"greatest({st} - {CONTEXT_WINDOW}, 0)"
         win = f"lower(substr({t}, {lo} + 1, {st} - {lo}))"
