@@ -9,7 +9,6 @@ hot key costs one entry a shard, however many rows hold it.
 from __future__ import annotations
 
 import ctypes
-import gc
 import pickle
 import re
 import tempfile
@@ -51,14 +50,26 @@ def cut(df: DataFrame) -> DataFrame:
     survive a lost executor, and what is read later is the same on every attempt."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    written(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Have the driver collect its garbage: Spark then deletes the shuffle files of jobs whose results have been written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Spark's own setting that deletes a job's shuffle files when the job is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, path: str) -> None:
+    """Write ``df``; the shuffle files of the job go when it is done, as nothing reads them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            conf.unset(CLEANUP)
+        else:
+            conf.set(CLEANUP, before)
 
 
 def stable(docs: DataFrame) -> DataFrame:

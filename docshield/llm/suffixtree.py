@@ -10,7 +10,7 @@ scored with, at each symbol, the longest suffix of its past that is a state.
 
 Everything is counted over all training rows.  Counts of words and of successors come
 together by key from all shards, each shard having summed up its own first; the answers go
-back to the shards that asked, and each shard scores its texts.  Contexts that hold more
+back to the shards that asked, as columns in the order asked, and each shard scores its texts.  Contexts that hold more
 than a bucket's share of all symbols are dealt out by successor instead, so no task gets
 a frequent word's whole neighbourhood.
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docshield.llm.common import (EXCHANGE, LOWER, REPLY, SPACED, blobs, buckets, by_bucket, cut, free_shuffles, grouped_sums, lookup, mix, narrow, pack, payloads, release, replies,
+from docshield.llm.common import (EXCHANGE, LOWER, REPLY, SPACED, blobs, buckets, by_bucket, cut, grouped_sums, lookup, mix, narrow, pack, payloads, release, replies,
                                   spans, steps, top_bits, unblob, unpack, utf8, with_shard, word_hash)
 
 DISCOUNT = 0.75
@@ -42,6 +42,11 @@ def pack0(*columns: np.ndarray) -> bytes:
     return pack(*map(narrow, columns))
 
 
+def answer(bucket: int, *columns: np.ndarray) -> bytes:
+    """A reply to one shard and bucket: columns in the order of what was asked, mostly zeros and small numbers."""
+    return pack(bucket, *map(narrow, columns), level=1)
+
+
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _K + b)
 
@@ -60,61 +65,138 @@ def symbols(texts) -> tuple[np.ndarray, np.ndarray]:
     return out, doc
 
 
-def contexts(sym: np.ndarray, doc: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the ``depth`` symbols before each symbol, and whether the text has so many."""
-    ok = np.zeros(len(sym), bool)
-    ok[depth:] = doc[depth:] == doc[:len(doc) - depth] if depth < len(sym) else False
-    own = np.zeros(len(sym), np.uint64)
-    if depth < len(sym):
-        own[depth:] = sym[:len(sym) - depth] if depth == 1 else pair(sym[:len(sym) - 2], sym[1:len(sym) - 1])
-    return own, ok
-
-
-class _Sums:
-    """Counts by key columns, summed up now and then so that memory follows the distinct keys."""
-
-    def __init__(self, *kinds):
-        self.held, self.size, self.limit, self.kinds = [], 0, 1 << 20, kinds
-
-    def add(self, *columns):
-        *keys, n = columns
-        self.held.append((*keys, n.astype(np.uint32)))
-        self.size += len(n)
-        if self.size > self.limit:
-            n = len(self.result()[0])
-            self.size, self.limit = n, n + max(1 << 20, n // 4)
-
-    def result(self):
-        """Key columns in order (the first leads), and the sums of the last column."""
-        columns = [np.concatenate([np.empty(0, kind), *(h[k] for h in self.held)]) for k, kind in enumerate((*self.kinds[:-1], np.uint32))]
-        self.held = []
-        at = np.lexsort(columns[-2::-1])
-        for k in range(len(columns)):
-            columns[k] = columns[k][at]
-        del at
-        if len(columns[0]):
-            new = np.zeros(len(columns[0]), bool)
-            new[0] = True
-            for x in columns[:-1]:
-                new[1:] |= x[1:] != x[:-1]
-            new = np.flatnonzero(new)
-            columns = [*(x[new] for x in columns[:-1]), np.add.reduceat(columns[-1], new)]
-        self.held = [tuple(columns)]
+class _Shard:
+    """A shard's symbols as numbers: ``hash`` has its distinct symbols in order, ``word`` the place of each symbol there.
+
+    Everything said about a shard's words, pairs and triples is a column in the order of the distinct ones, which is the
+    same in every pass; so answers need no keys."""
+
+    def __init__(self, batches):
+        held, self.batches, self.id = [], [], None
+        for b in batches:
+            if "shard" in b.schema.names:
+                self.id = b.column("shard")[0].as_py()
+            sym, doc = symbols(b.column("text"))
+            held.append((sym, np.bincount(doc, minlength=b.num_rows)))
+            self.batches.append(b.drop_columns(["text"]))
+        join = lambda k, kind: np.concatenate([np.empty(0, kind), *(h[k] for h in held)])
+        sym, self.size = join(0, np.uint64), join(1, np.int64)
+        del held
+        self.hash, self.word = _distinct(sym)
+        del sym
+        learn = np.concatenate([np.empty(0, bool), *(~b.column("held_out").to_numpy(zero_copy_only=False) for b in self.batches)])
+        self.learn = np.repeat(learn, self.size)
+        self.begin = np.cumsum(self.size) - self.size
+        self.past = np.full(len(self.word), 2, np.uint8)  # symbols of the text before each one, 2 at most
+        self.past[self.begin] = 0
+        second = self.begin + 1
+        self.past[second[self.size > 1]] = 1
         release()
-        return (*columns[:-1], columns[-1].astype(np.int64))
+
+    def counts(self, inverse: np.ndarray, at, size: int) -> np.ndarray:
+        return np.bincount(inverse[self.learn[at]], minlength=size)
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each value in them."""
+    at = np.argsort(x)
+    x = x[at]
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    which = np.cumsum(new, dtype=np.int32)
+    which -= 1
+    x = x[new]
+    place = np.empty(len(at), np.int32)
+    place[at] = which
+    return x, place
+
+
+class _Entries:
+    """The distinct (context, next symbol) entries of one depth in a shard, dealt out to buckets."""
+
+    def __init__(self, shard: _Shard, at: np.ndarray, before: np.ndarray, names, heavy: np.ndarray, count: int):
+        """``at``: the symbols looked at; ``before``: the number of each one's context; names: their hashes, by number."""
+        key = before.astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= shard.word[at].astype(np.uint64)
+        key, self.inverse = _distinct(key)
+        self.at = at
+        release()
+        self.n = shard.counts(self.inverse, at, len(key))
+        ctx, sym = names((key >> np.uint64(32)).astype(np.int64)), shard.hash[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        bucket = top_bits(ctx, count).astype(np.int32)
+        big = lookup(heavy, ctx)[1]
+        bucket[big] = top_bits(pair(ctx[big], sym[big]), count)
+        del big
+        self.order = np.argsort(bucket, kind="stable")  # in a bucket, entries of a context are neighbours
+        bucket, self.ctx, self.sym = bucket[self.order], ctx[self.order], sym[self.order]
+        self.key = key
+        new = np.ones(len(key), bool)
+        new[1:] = (self.ctx[1:] != self.ctx[:-1]) | (bucket[1:] != bucket[:-1])
+        self.first = np.flatnonzero(new)
+        self.edges = np.searchsorted(bucket, np.arange(count + 1))
+        self.runs = np.searchsorted(self.first, self.edges)
+        self.run = np.empty(len(key), np.int32)
+        self.run[self.order] = np.cumsum(new, dtype=np.int32) - 1
+        del bucket, new
+        release()
+
+    def blocks(self, shard: int, rates: np.ndarray | None = None) -> pa.RecordBatch:
+        """(bucket, shard, payload) rows; a payload has each context once, the number of its successors, the successors, their
+        counts, and the contexts' agreement rates in the tree so far (none: the root's)."""
+        own, packed = np.flatnonzero(np.diff(self.edges)), []
+        length = np.diff(np.append(self.first, len(self.sym)))
+        n = self.n[self.order]
+        rates = None if rates is None else rates[self.order][self.first]
+        for k in own:
+            part, run = slice(self.edges[k], self.edges[k + 1]), slice(self.runs[k], self.runs[k + 1])
+            packed.append(pack0(self.ctx[self.first[run]], length[run], self.sym[part], n[part], rates[run] if rates is not None else np.empty(0)))
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([shard] * len(own), pa.int32()), pa.array(packed, pa.binary())], ["bucket", "shard", "payload"])
+
+    def hear(self, told: pa.Table, heavy: tuple) -> None:
+        """``seen`` of each entry, and ``total``, ``mass`` and ``rate`` of each run of a context (total 0: no state)."""
+        seen = np.zeros(len(self.order), np.int64)
+        total, kept, distinct, agree = (np.zeros(len(self.first), np.int64) for _ in range(4))
+        for k, n, *states in payloads(told):
+            seen[self.edges[k]:self.edges[k + 1]] = n
+            for x, y in zip((total, kept, distinct, agree), states, strict=True):
+                x[self.runs[k]:self.runs[k + 1]] = y
+        total, mass = total.astype(float), kept - DISCOUNT * distinct
+        rate = agree / np.maximum(total * (total - 1) / 2, 1)
+        at, ok = lookup(heavy[0], self.ctx[self.first])
+        for x, y in zip((total, mass, rate), heavy[1:], strict=True):
+            x[ok] = y[at[ok]]
+        self.seen = np.empty(len(seen), np.int64)
+        self.seen[self.order] = seen
+        self.total, self.mass, self.rate = total, mass, rate
+        del self.ctx, self.sym, self.order, seen
+        release()
+
+
+def _pairs(shard: _Shard, heavy: np.ndarray, count: int) -> _Entries:
+    at = np.flatnonzero(shard.past >= 1).astype(np.int32)
+    return _Entries(shard, at, shard.word[at - 1], lambda k: shard.hash[k], heavy, count)
+
+
+def _triples(shard: _Shard, pairs: _Entries, heavy: np.ndarray, count: int) -> tuple[_Entries, np.ndarray]:
+    """Entries of the two-word contexts to try, and their shorter contexts' agreement rates (successors of a word that is no
+    state are not told, so they count as 0 here)."""
+    entry = np.zeros(len(shard.word), np.int32)  # of the pair that each symbol ends
+    entry[pairs.at] = pairs.inverse
+    at = np.flatnonzero(shard.past >= 2).astype(np.int32)
+    at = at[(pairs.total > 0)[pairs.run[entry[at]]] & (pairs.seen >= GROW)[entry[at - 1]]]
+    a, b = (pairs.key >> np.uint64(32)).astype(np.int32), (pairs.key & np.uint64(0xFFFFFFFF)).astype(np.int32)
+    found = _Entries(shard, at, entry[at - 1], lambda k: pair(shard.hash[a[k]], shard.hash[b[k]]), heavy, count)
+    rates = np.empty(len(found.n))
+    rates[found.inverse] = pairs.rate[pairs.run[entry[at]]]
+    return found, rates
 
 
 def _count_words(count: int):
     def run(batches):
-        sums, shard = _Sums(np.uint64, np.int64), None
-        for b in steps(batches):
-            shard = b.column("shard")[0].as_py()
-            sym, doc = symbols(b.column("text"))
-            learn = ~b.column("held_out").to_numpy(zero_copy_only=False)
-            sums.add(sym, learn[doc].astype(np.int64))
-        if shard is not None:
-            h, n = sums.result()
-            yield by_bucket(shard, top_bits(h, count), count, h, n)
+        shard = _Shard(steps(batches))
+        if shard.id is not None:
+            yield by_bucket(shard.id, top_bits(shard.hash, count), count, shard.hash, shard.counts(shard.word, slice(None), len(shard.hash)))
     return run
 
 
@@ -123,10 +205,10 @@ def _sum_words(table: pa.Table) -> pa.Table:
     size = np.array([len(p[0]) for p in parts])
     h, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1].astype(np.int64) for p in parts])
     keys, total = grouped_sums(h, n)
-    rows, at = [], 0
+    bucket, rows, at = table.column("bucket")[0].as_py(), [], 0
     for shard, k in zip(table.column("shard").to_pylist(), size.tolist(), strict=True):
         own = total[np.searchsorted(keys, h[at:at + k])]
-        rows.append((shard, pack0(h[at:at + k][own > 0], own[own > 0])))
+        rows.append((shard, answer(bucket, own)))
         at += k
     most = np.argsort(total)[-32:]
     rows.append((-1, pack0(np.array([total.sum(), (total > 0).sum(), (total.astype(float) * (total - 1)).sum()], float), keys[most], total[most])))
@@ -135,39 +217,12 @@ def _sum_words(table: pa.Table) -> pa.Table:
 
 def _count_pairs(heavy: np.ndarray, count: int):
     def run(batches):
-        sums, shard = _Sums(np.uint64, np.uint64, np.int64), None
-        for b in steps(batches):
-            shard = b.column("shard")[0].as_py()
-            sym, doc = symbols(b.column("text"))
-            learn = ~b.column("held_out").to_numpy(zero_copy_only=False)
-            ctx, ok = contexts(sym, doc, 1)
-            sums.add(ctx[ok], sym[ok], learn[doc[ok]].astype(np.int64))
-        if shard is not None:
-            yield from _blocks(shard, sums, heavy, count)
+        shard = _Shard(steps(batches))
+        if shard.id is not None:
+            yield _pairs(shard, heavy, count).blocks(shard.id)
     return run
 
 
-def _blocks(shard, sums, heavy, count, rates: tuple | None = None):
-    """(bucket, shard, payload) rows; a payload has each context once, the number of its successors, the successors, their counts, and
-    the contexts' agreement rates in the tree so far (none: the root's)."""
-    ctx, sym, n = sums.result()
-    bucket = np.where(lookup(heavy, ctx)[1], top_bits(pair(ctx, sym), count), top_bits(ctx, count))
-    at = np.argsort(bucket, kind="stable")  # inside a bucket still by context and symbol
-    bucket, ctx, sym, n = bucket[at], ctx[at], sym[at], n[at]
-    edges = np.searchsorted(bucket, np.arange(count + 1))
-    own = np.flatnonzero(np.diff(edges))
-    packed = []
-    for k in own:
-        part = slice(edges[k], edges[k + 1])
-        first = np.flatnonzero(np.concatenate(([True], ctx[part][1:] != ctx[part][:-1])))
-        names = ctx[part][first]
-        packed.append(pack0(names, np.diff(np.append(first, edges[k + 1] - edges[k])), sym[part], n[part], rates[1][np.searchsorted(rates[0], names)] if rates else np.empty(0)))
-    del bucket, ctx, sym, n, at
-    sums.held = []
-    release()
-    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([shard] * len(own), pa.int32()), pa.array(packed, pa.binary())], ["bucket", "shard", "payload"])
-
-
 def _diverges(total: np.ndarray, agree: np.ndarray, rate: np.ndarray) -> np.ndarray:
     """agree: pairs of occurrences with the same successor; rate: how often two draws from the shorter context agree."""
     expected = rate * total * (total - 1) / 2
@@ -175,7 +230,7 @@ def _diverges(total: np.ndarray, agree: np.ndarray, rate: np.ndarray) -> np.ndar
 
 
 def _sum_successors(heavy: np.ndarray, rate: float):
-    """Reply: keys and counts of kept successors; contexts that stay, with total, kept mass and their own agreement rate.
+    """Reply, in the order asked: counts of kept successors (else 0); of contexts that stay total, kept occurrences, kept successors and agreeing pairs.
     Shard -1: sums of the contexts that are dealt out by successor, and the most frequent successors."""
     def run(table: pa.Table) -> pa.Table:
         parts = list(payloads(table))
@@ -193,7 +248,8 @@ def _sum_successors(heavy: np.ndarray, rate: float):
         c = c[first]
         begin = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
         names = c[begin]
-        sums = [np.add.reduceat(x, begin) for x in (total.astype(float), total * (total - 1.0) / 2, np.where(kept, total - DISCOUNT, 0.0))]
+        totals, agree, mass, distinct = (np.add.reduceat(x, begin) for x in (total, total * (total - 1.0) / 2, np.where(kept, total, 0), kept.astype(np.int64)))
+        sums = [totals.astype(float), agree, mass - DISCOUNT * distinct]
         big = lookup(heavy, names)[1]
         known = np.concatenate([p[0] for p in parts])
         once = np.argsort(known)
@@ -201,14 +257,11 @@ def _sum_successors(heavy: np.ndarray, rate: float):
         stays = ~big & _diverges(sums[0], sums[1], rates)
         which = np.cumsum(np.concatenate(([True], c[1:] != c[:-1]))) - 1  # each distinct successor's context
         told = kept & (stays | big)[which]
-        own_rate = sums[1] / np.maximum(sums[0] * (sums[0] - 1) / 2, 1)
-        rows, k0 = [], 0
-        for shard, k in zip(table.column("shard").to_pylist(), size.tolist(), strict=True):
+        bucket, rows, k0 = table.column("bucket")[0].as_py(), [], 0
+        for shard, k, p in zip(table.column("shard").to_pylist(), size.tolist(), parts, strict=True):
             g = group[k0:k0 + k]
-            t = g[told[g]]
-            states = np.unique(which[g])
-            states = states[stays[states]]
-            rows.append((shard, pack0(pair(c[t], s[first][t]), total[t], names[states], sums[0][states].astype(np.int64), sums[2][states], own_rate[states])))
+            state = np.searchsorted(names, p[0])
+            rows.append((shard, answer(bucket, np.where(told[g], total[g], 0), *(np.where(stays[state], x[state], 0) for x in (totals, mass, distinct, agree.astype(np.int64))))))
             k0 += k
         most = np.argsort(total)[-32:]
         rows.append((-1, pack0(names[big], *(x[big] for x in (*sums, rates)), pair(c, s[first])[most], total[most])))
@@ -232,89 +285,54 @@ def _heavy_states(found: DataFrame) -> tuple:
     return names[stays], total[stays], mass[stays], (agree / np.maximum(total * (total - 1) / 2, 1))[stays]
 
 
-class _Level:
-    """What a shard knows of one depth: successors' counts by key, and the states."""
+def _whole(texts: pa.Table) -> _Shard:
+    return _Shard(unblob(x.as_buffer()) for x in texts.column("payload"))
 
-    def __init__(self, told: pa.Table, heavy: tuple):
-        parts = list(payloads(told))
-        join = lambda k, kind: np.concatenate([np.empty(0, kind), *(p[k].astype(kind) for p in parts)])
-        key, n = join(0, np.uint64), join(1, np.int64)
-        at = np.argsort(key)
-        self.key, self.n = key[at], n[at]
-        name = np.concatenate((join(2, np.uint64), heavy[0]))
-        at = np.argsort(name)
-        self.name = name[at]
-        self.total, self.mass, self.rate = (np.concatenate((join(k + 3, float), heavy[k + 1]))[at] for k in range(3))
 
-    def counts(self, ctx, sym):
-        at, ok = lookup(self.key, pair(ctx, sym))
-        return np.where(ok, self.n[at] if len(self.n) else 0, 0)
-
-
-def _grow(heavy: np.ndarray, states: tuple, count: int):
-    """Successors of the two-word contexts to try (successors of a word that is no state are not told, so their count is 0 here)."""
+def _grow(heavy: list, states: tuple, count: int):
+    """Successors of the two-word contexts to try."""
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
-        level = _Level(told, states)
-        sums, shard, rates = _Sums(np.uint64, np.uint64, np.int64), texts.column("shard")[0].as_py() if len(texts) else None, []
-        for blob in texts.column("payload"):
-            b = unblob(blob.as_buffer())
-            sym, doc = symbols(b.column("text"))
-            learn = ~b.column("held_out").to_numpy(zero_copy_only=False)
-            ctx, ok = contexts(sym, doc, 2)
-            at = np.flatnonzero(ok)
-            state, ok = lookup(level.name, sym[at - 1])
-            at, state = at[ok], state[ok]
-            ok = level.counts(sym[at - 2], sym[at - 1]) >= GROW
-            at, state = at[ok], state[ok]
-            sums.add(ctx[at], sym[at], learn[doc[at]].astype(np.int64))
-            names, once = np.unique(ctx[at], return_index=True)
-            rates.append((names, level.rate[state[once]]))
-        if shard is not None:
-            names, once = np.unique(np.concatenate([r[0] for r in rates]), return_index=True)
-            out = list(_blocks(shard, sums, heavy, count, (names, np.concatenate([r[1] for r in rates])[once])))
-        else:
-            out = []
-        return pa.Table.from_batches(out) if out else pa.table({"bucket": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())})
+        if not len(texts):
+            return pa.table({"bucket": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())})
+        shard = _whole(texts)
+        pairs = _pairs(shard, heavy[0], count)
+        pairs.hear(told, states)
+        found, rates = _triples(shard, pairs, heavy[1], count)
+        return pa.Table.from_batches([found.blocks(texts.column("shard")[0].as_py(), rates)])
     return run
 
 
-def _score(total: float, distinct: float, states: list[tuple]):
+def _score(total: float, distinct: float, heavy: list, states: list[tuple], count: int):
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         at_level = told.column("level").to_numpy()
         own = lambda k: told.filter(pa.array(at_level == k))
-        parts = list(payloads(own(0)))
-        word = np.concatenate([np.empty(0, np.uint64), *(p[0] for p in parts)])
-        n = np.concatenate([np.empty(0, np.int64), *(p[1].astype(np.int64) for p in parts)])
-        at = np.argsort(word)
-        word, n = word[at], n[at]
-        levels = [_Level(own(k + 1), s) for k, s in enumerate(states)]
-        out = []
-        for blob in texts.column("payload"):
-            b = unblob(blob.as_buffer())
-            sym, doc = symbols(b.column("text"))
-            at, ok = lookup(word, sym)
-            c = np.where(ok, n[at] if len(n) else 0, 0)
-            root = (c + 0.5) / (total + 0.5 * (distinct + 1))
-            p = root
-            for depth, level in enumerate(levels, 1):
-                ctx, has = contexts(sym, doc, depth)
-                at, ok = lookup(level.name, ctx)
-                ok &= has
-                if ok.any():
-                    go = np.flatnonzero(ok)
-                    at, seen = at[go], level.counts(ctx[go], sym[go])
-                    p = p.copy()
-                    p[go] = np.where(seen >= SUPPORT, seen - DISCOUNT, 0.0) / level.total[at] + (1 - level.mass[at] / level.total[at]) * p[go]
-            begin = np.searchsorted(doc, np.arange(b.num_rows))
-            add = lambda x: np.add.reduceat(x, begin)  # noqa: E731  every document has its end symbol
+        shard = _whole(texts)
+        edges = np.searchsorted(top_bits(shard.hash, count), np.arange(count + 1))
+        n = np.zeros(len(shard.hash), np.int64)
+        for k, x in payloads(own(0)):
+            n[edges[k]:edges[k + 1]] = x
+        add = lambda x: np.add.reduceat(x, shard.begin)  # noqa: E731  every document has its end symbol
+        p = ((n + 0.5) / (total + 0.5 * (distinct + 1)))[shard.word]
+        columns, level = [shard.size, add((n > 0)[shard.word].astype(np.int64)), np.full(len(shard.size), int(total)), add(np.log10(p))], None
+        for depth, name in enumerate(states):
+            level = _triples(shard, level, heavy[1], count)[0] if depth else _pairs(shard, heavy[0], count)
+            level.hear(own(depth + 1), name)
+            go = np.flatnonzero((level.total > 0)[level.run[level.inverse]])
+            at, entry = level.at[go], level.inverse[go]
+            del go
+            seen, run = level.seen[entry], level.run[entry]
+            p[at] = np.where(seen >= SUPPORT, seen - DISCOUNT, 0.0) / level.total[run] + (1 - level.mass[run] / level.total[run]) * p[at]
+            del at, entry, seen, run
             release()
-            out.append(pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(np.bincount(doc, minlength=b.num_rows)), pa.array(add((c > 0).astype(np.int64))),
-                       pa.array(np.full(b.num_rows, int(total))), pa.array(add(np.log10(root))), pa.array(add(np.log10(p)))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
-        return pa.Table.from_batches(out)
+        columns.append(add(np.log10(p)))
+        keys = pa.Table.from_batches(shard.batches)
+        release()
+        return pa.Table.from_arrays([keys.column("doc_id"), keys.column("held_out"), *map(pa.array, columns)],
+                                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     return run
 
 
-def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document; ``docs`` has doc_id, text and
     held_out (not learned from)."""
     spark, count = docs.sparkSession, buckets(docs.sparkSession)
@@ -325,21 +343,21 @@ def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     total, distinct, agree = (float(sum(s[0][k] for s in sums)) for k in range(3))
     rate = agree / max(total * (total - 1), 1)
     often = lambda tops: np.sort(np.array([k for keys, n in tops for k, x in zip(keys, n.tolist(), strict=True) if x >= max(total / count, 1)], np.uint64))
-    heavy = often([(s[1], s[2]) for s in sums])
+    heavy = [often([(s[1], s[2]) for s in sums])]  # by level
     texts = docs.mapInArrow(blobs, REPLY)
     told, states = [words.where("shard >= 0").withColumn("level", F.lit(0))], []
-    for level in range(1, depth + 1):
+    for level in range(1, DEPTH + 1):
         if level == 1:
-            sent = docs.mapInArrow(_count_pairs(heavy, count), EXCHANGE)
+            sent = docs.mapInArrow(_count_pairs(heavy[0], count), EXCHANGE)
         else:
             sent = texts.groupBy("shard").cogroup(found.where("shard >= 0").groupBy("shard")).applyInArrow(_grow(heavy, states[-1], count), EXCHANGE)
-        found = cut(sent.groupBy("bucket").applyInArrow(_sum_successors(heavy, rate), REPLY))
-        free_shuffles(spark)
+        found = cut(sent.groupBy("bucket").applyInArrow(_sum_successors(heavy[-1], rate), REPLY))
         states.append(_heavy_states(found))
         told.append(found.where("shard >= 0").withColumn("level", F.lit(level)))
-        heavy = often([unpack(r[0])[5:] for r in found.where("shard = -1").select("payload").collect()]) if level < depth else heavy
+        if level < DEPTH:
+            heavy.append(often([unpack(r[0])[5:] for r in found.where("shard = -1").select("payload").collect()]))
     answers = told[0]
     for t in told[1:]:
         answers = answers.unionByName(t)
     return texts.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(
-        _score(total, distinct, states), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        _score(total, distinct, heavy, states, count), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
