@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from docshield.llm import decontam, neardup, packing, quality, secrets
-from docshield.llm.common import scratch_dir
+from docshield.llm.common import scratch_dir, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,6 +50,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = f"{scratch_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        written(stage(spark, docs, sf_dir), path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
