@@ -49,25 +49,49 @@ def canary_join(texts: DataFrame, tokens: DataFrame, text_col: str = "response")
     return texts.join(F.broadcast(tokens), F.contains(F.col(text_col), F.col("token")))
 
 
-def word_ngrams(text: Column, max_n: int = 3) -> Column:
-    """All 1..max_n word n-grams of a text (letters only), no offsets."""
+def word_ngrams(text: Column, sizes) -> Column:
+    """array<struct<name,start,end>>: every run of n words, n in ``sizes``, as it stands in the text.
+
+    Words are runs of letters, digits and ``_``.  What stands between the words
+    of a run belongs to it, so ``Ana. Li`` is not ``Ana Li`` and an apostrophe
+    may stand inside a name.  Offsets are 0-based code points, end exclusive."""
+    from docshield.functions.text import WORD, regex_matches
     from docshield.functions.vectors import let
 
-    def body(w):
-        def gram(n):
-            return lambda i: F.array_join(F.slice(w, i + 1, n), " ")
-        parts = [F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), gram(n)))
-                 .otherwise(F.array().cast("array<string>")) for n in range(1, max_n + 1)]
-        return F.concat(*parts)
-    return let(F.filter(F.split(text, r"[^\p{L}]+", -1), lambda x: x != ""), body)
+    def runs(w, gaps, n):
+        def run(i):
+            parts = [F.get(w, i)["value"]]
+            for k in range(1, n):
+                parts += [F.get(gaps, i + k), F.get(w, i + k)["value"]]
+            return F.struct(F.concat(*parts).alias("name"), F.get(w, i)["start"].alias("start"), F.get(w, i + (n - 1))["end"].alias("end"))
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), run)) \
+            .otherwise(F.array().cast("array<struct<name:string,start:int,end:int>>"))
+
+    return let(regex_matches(text, f"{WORD}+", F.lit(True)),
+               lambda w: let(F.split(text, f"{WORD}+", -1), lambda gaps: F.concat(*[runs(w, gaps, n) for n in sizes])))
 
 
-def gazetteer_join(docs: DataFrame, gazetteer: DataFrame, key: str = "doc_id", text_col: str = "text",
-                   max_n: int = 3) -> DataFrame:
+def gazetteer_spans(docs: DataFrame, gazetteer: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Dictionary entities by an n-gram equi-join (scales past the
-    regex-alternation path).  Output: (key, entity_type, name, n)."""
-    grams = docs.select(key, F.explode(word_ngrams(F.col(text_col), max_n)).alias("name"))
-    g = gazetteer.select("name", "entity_type")
+    regex-alternation path, with the same matches: a name stands in the text as
+    it is written, between word boundaries).  Output: (key, entity_type, name,
+    start, end).
+
+    The run lengths are those of the dictionary's own names.  Characters
+    before a name's first and after its last word are not part of it."""
+    from docshield.functions.text import WORD
+    bare = F.regexp_extract("name", f"{WORD}(?:.*{WORD})?", 0)
+    g = gazetteer.select(bare.alias("_gram"), "name", "entity_type").where("_gram <> ''").distinct()
+    sizes = [r[0] for r in g.select(F.size(F.regexp_extract_all("_gram", F.lit(f"{WORD}+"), F.lit(0))).alias("n")).distinct().collect()]
+    if not sizes:
+        return docs.select(key, F.lit("").alias("entity_type"), F.lit("").alias("name"), F.lit(0).alias("start"), F.lit(0).alias("end")).where("false")
+    grams = docs.select(key, F.explode(word_ngrams(F.col(text_col), sorted(sizes))).alias("x")) \
+        .select(key, F.col("x.name").alias("_gram"), "x.start", "x.end")
     if bounded_rows(g, BROADCAST_MAX_DICT) <= BROADCAST_MAX_DICT:
         g = F.broadcast(g)
-    return grams.join(g, "name").groupBy(key, "entity_type", "name").agg(F.count(F.lit(1)).alias("n"))
+    return grams.join(g, "_gram").select(key, "entity_type", "name", "start", "end")
+
+
+def gazetteer_join(docs: DataFrame, gazetteer: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The counts of ``gazetteer_spans``: (key, entity_type, name, n)."""
+    return gazetteer_spans(docs, gazetteer, key, text_col).groupBy(key, "entity_type", "name").agg(F.count(F.lit(1)).alias("n"))

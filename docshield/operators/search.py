@@ -42,18 +42,24 @@ def _topk_window(cands: DataFrame, k: int) -> DataFrame:
 
 
 def _role_bits(roles_lists, vocab):
-    out = np.zeros(len(roles_lists), dtype=np.int64)
+    """Role sets as bitmasks: one row of 64-bit words for each list."""
+    out = np.zeros((len(roles_lists), len(vocab) // 64 + 1), dtype=np.uint64)
     for i, rs in enumerate(roles_lists):
-        b = 0
-        if rs is not None:
-            for r in rs:
-                j = vocab.get(r)
-                if j is not None:
-                    b |= (1 << j)
-        out[i] = b
+        for r in (rs if rs is not None else []):
+            j = vocab.get(r)
+            if j is not None:
+                out[i, j // 64] |= np.uint64(1 << (j % 64))
     return out
 
 
+def _roles_meet(a, b):
+    """Which of ``a``'s role sets (rows) share a role with which of ``b``'s (columns)."""
+    meet = np.zeros((len(a), len(b)), dtype=bool)
+    for k in range(a.shape[1]):
+        meet |= (a[:, None, k] & b[None, :, k]) != 0
+    return meet
+
+
 def _block_payload(block: pd.DataFrame, metric: str, tenant_scoped: bool, authorize: bool):
     qids = block["query_id"].to_numpy(dtype=np.int64)
     qmat = np.vstack([np.asarray(v, dtype=np.float64) for v in block["qvec"]])
@@ -64,11 +70,7 @@ def _block_payload(block: pd.DataFrame, metric: str, tenant_scoped: bool, author
         vocab = {}
         for rs in block["roles"]:
             for r in (rs if rs is not None else []):
-                if r not in vocab and len(vocab) < 62:
-                    vocab[r] = len(vocab)
-        if sum(1 for rs in block["roles"] for r in (rs if rs is not None else [])
-               if r not in vocab) > 0:
-            raise ValueError("more than 62 distinct roles in one query block")
+                vocab.setdefault(r, len(vocab))
         payload.update(vocab=vocab, qbits=_role_bits(list(block["roles"]), vocab),
                        qlevel=block["clearance_level"].to_numpy(dtype=np.int64))
     return payload
@@ -120,7 +122,7 @@ def _scorer(bc, k: int):
         if "vocab" in p:
             cbits = _role_bits(list(pdf["acl_roles"]), p["vocab"])
             clev = pdf["level"].to_numpy(dtype=np.int64)
-            ok = ((cbits[:, None] & p["qbits"][None, :]) != 0) & (clev[:, None] <= p["qlevel"][None, :])
+            ok = _roles_meet(cbits, p["qbits"]) & (clev[:, None] <= p["qlevel"][None, :])
             s = np.where(ok, s, -np.inf)
         n = s.shape[0]
         if k < n:

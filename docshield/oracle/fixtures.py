@@ -101,7 +101,7 @@ CTES = {
                CASE WHEN l.doc_id % 6 = 0 THEN NULL ELSE l.toxic = 0 END AS is_safe,
                {cats()}[l.doc_id % 5 + 1] AS category,
                CASE WHEN l.doc_id % 3 = 0 THEN NULL ELSE 0.5 + (l.doc_id % 50) / 100.0 END AS confidence
-        FROM queries qq JOIN labels l ON abs(qq.query_id) % 1000 = l.doc_id"""),
+        FROM queries qq JOIN labels l ON abs(cast(trunc(qq.query_id / 100) AS BIGINT)) = l.doc_id"""),
     "answers": ([], f"""
         SELECT a.query_id, a.response, coalesce(cast(trunc(ev.value * 10) AS INTEGER), 0) AS latency_ms
         FROM (SELECT conv_id * 100 + turn - 1 AS query_id, text AS response, conv_id * 8 + turn - 1 AS k

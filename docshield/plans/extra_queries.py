@@ -165,15 +165,14 @@ def o_canary_join():
 
 
 def o_gazetteer_pii():
+    # every word-wrapped occurrence of the name that is the name alone
     names = ", ".join(f"({S.q(n)})" for n in FX.PERSON_NAMES)
-    w = "list_filter(regexp_split_to_array(text, '[^\\p{L}]+'), lambda x: x <> '')"
-    grams = " || ".join(f"list_transform(range(1, len(w) - {n - 1} + 1), lambda i: array_to_string(w[i:i + {n - 1}], ' '))"
-                        for n in (1, 2, 3))
+    whole = "regexp_extract_all(text, '[\\p{L}\\p{N}_]*' || name || '[\\p{L}\\p{N}_]*')"
     return with_ctes(["docs_raw"], f"""
-        SELECT doc_id, 'PERSON' AS entity_type, name, cast(count(*) AS BIGINT) AS n
-        FROM (SELECT doc_id, unnest({grams}) AS name FROM (SELECT doc_id, {w} AS w FROM docs_raw))
-        WHERE name IN (SELECT * FROM (VALUES {names}) g(n))
-        GROUP BY doc_id, name""")
+        SELECT doc_id, 'PERSON' AS entity_type, name, cast(n AS BIGINT) AS n
+        FROM (SELECT doc_id, name, len(list_filter({whole}, lambda x: x = name)) AS n
+              FROM docs_raw JOIN (VALUES {names}) g(name) ON contains(text, name))
+        WHERE n > 0""")
 
 
 def o_flatten_schema():

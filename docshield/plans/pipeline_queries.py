@@ -87,18 +87,25 @@ def q_history_last(spark, sf):
 def previous_messages(h, n: int = C.REPHRASE_CONTEXT, bucket_rows: int = 1024):
     """For every message, its previous ``n`` messages (role: text).
 
-    Rows are split into buckets of ``bucket_rows`` consecutive messages per
-    conversation, and each bucket's last ``n`` rows are copied into the next
-    bucket, so the sliding frame never needs a whole conversation in one
-    task.  Turn numbers are message positions: a gap of ``bucket_rows`` or
-    more turns would cut the frame."""
-    if bucket_rows < n:
-        raise ValueError("bucket_rows must be at least the frame length")
-    d = h.withColumn("_b", (F.col("turn") / bucket_rows).cast("long"))
+    Rows are split into buckets of ``bucket_rows`` consecutive turn numbers per
+    conversation, so the sliding frame never needs a whole conversation in one
+    task.  A bucket's last rows are copied into each later bucket that still
+    reaches back to them: with fewer than ``n`` rows between, whatever the gap
+    in the turn numbers.  Rows without a conversation are one group; those
+    without a turn come first in theirs."""
+    d = h.withColumn("_b", F.floor(F.col("turn") / bucket_rows))
+    follow = Window.partitionBy("conv_id").orderBy("_b").rowsBetween(1, n)
+    later = d.groupBy("conv_id", "_b").agg(F.count("*").alias("_c")) \
+        .withColumn("_later", F.collect_list(F.struct(F.col("_b").alias("b"), F.col("_c").alias("c"))).over(follow)) \
+        .where(F.size("_later") > 0).select(F.col("conv_id").alias("_conv"), F.col("_b").alias("_from"), "_later")
     wend = Window.partitionBy("conv_id", "_b").orderBy(F.col("turn").desc())
-    tail = d.withColumn("_k", F.row_number().over(wend)).where(F.col("_k") <= n) \
-        .select("conv_id", "turn", "role", "text", (F.col("_b") + 1).alias("_b"), F.lit(True).alias("_carry"))
-    u = d.withColumn("_carry", F.lit(False)).unionByName(tail)
+    tail = d.withColumn("_k", F.row_number().over(wend)).where(F.col("_k") <= n)
+    tail = tail.join(later, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("_b").eqNullSafe(F.col("_from"))) \
+        .select("conv_id", "turn", "role", "text", "_k", "_later", F.posexplode("_later").alias("_at", "_to"))
+    between = F.aggregate(F.slice("_later", F.lit(1), F.col("_at")), F.lit(0).cast("long"), lambda acc, x: acc + x["c"])
+    tail = tail.where(F.col("_k") - 1 + between < n) \
+        .select("conv_id", "turn", "role", "text", F.col("_to.b").alias("_b"), F.lit(True).alias("_carry"))
+    u = d.withColumn("_carry", F.lit(False)).unionByName(tail, allowMissingColumns=True)
     w = Window.partitionBy("conv_id", "_b").orderBy("turn").rowsBetween(-n, -1)
     p = u.withColumn("prev", F.collect_list(F.concat("role", F.lit(": "), "text")).over(w))
     return p.where(~F.col("_carry")).drop("_b", "_carry")

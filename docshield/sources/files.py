@@ -25,9 +25,10 @@ def read_document_files(spark: SparkSession, path: str, max_bytes: int = C.MAX_I
     """Every file under ``path`` with an accept/reject decision.
 
     Reject reasons follow the upload rules: 415 (extension), 413 (size),
-    400 (blank after decoding).  Content is decoded as UTF-8 with
+    400 (nothing but white space).  Content is decoded as UTF-8 with
     replacement; the size gate uses the file length, so rejected files'
-    bytes are never decoded.
+    bytes are never decoded.  Spark's file sources list no file of zero bytes,
+    so such a file has no row.
     """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", r"[/\\]"), -1)
@@ -35,7 +36,7 @@ def read_document_files(spark: SparkSession, path: str, max_bytes: int = C.MAX_I
     # UTF-8 with replacement: invalid byte sequences become U+FFFD instead of failing
     text = F.call_function("make_valid_utf8", F.col("content").cast("string"))
     reason = (F.when(~ext_ok, F.lit(415)).when(F.col("length") > max_bytes, F.lit(413))
-              .when(F.length(F.trim(text)) < C.MIN_TEXT_CHARS, F.lit(400)))
+              .when(~text.rlike(r"[^ \t\n\x0B\f\r]"), F.lit(400)))
     out = f.select("path", name.alias("source"), "length", reason.alias("reject_code"),
                    F.when(reason.isNull(), text).alias("text"))
     return out.withColumn("accepted", F.col("reject_code").isNull())

@@ -219,7 +219,7 @@ def guard_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = queries(spark, sf_dir).select("query_id", F.abs(F.col("query_id")).alias("k"))
     lab = read(spark, sf_dir, "labels").select("doc_id", "toxic")
     cats = F.array(*[F.lit(x) for x in C.INJECTION_CATEGORIES + ["other"]])
-    j = q.join(lab, (q.k % 1000) == lab.doc_id)
+    j = q.join(lab, (q.k / 100).cast("long") == lab.doc_id)  # the conversation
     return j.select(
         "query_id",
         F.when(j.doc_id % 6 == 0, F.lit(None).cast("boolean")).otherwise(j.toxic == 0).alias("is_safe"),

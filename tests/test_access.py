@@ -117,6 +117,13 @@ def test_gazetteer_join_and_flatten(spark):
     g = spark.createDataFrame([("Alice Johnson", "PERSON"), ("Bob Smith", "PERSON")], "name string, entity_type string")
     got = {(r.name, r.n) for r in RQ.gazetteer_join(d, g).collect()}
     assert got == {("Alice Johnson", 2), ("Bob Smith", 1)}
+    text = "é Maria de la Cruz, Conor O'Brien, Ana. Li, Ana\nLi, xAna Li, Ana Li and Ana Li2"
+    d = spark.createDataFrame([("d1", text), ("d2", None), ("d3", "")], "doc_id string, text string")
+    g = spark.createDataFrame([(n, "PERSON") for n in ("Maria de la Cruz", "Conor O'Brien", "Ana Li", "...")], "name string, entity_type string")
+    spans = RQ.gazetteer_spans(d, g).collect()
+    assert sorted(r.name for r in spans) == ["Ana Li", "Conor O'Brien", "Maria de la Cruz"]
+    assert all(text[r.start:r.end] == r.name for r in spans)
+    assert RQ.gazetteer_join(d, g.where("false")).count() == 0
     df = spark.createDataFrame([(1, (2, (3,)))], "a int, b struct<c:int, d:struct<e:int>>")
     assert flatten_schema(df).columns == ["a", "b.c", "b.d.e"]
 

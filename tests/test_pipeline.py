@@ -1,6 +1,7 @@
 """End-to-end: entry contract, chunker properties, batch = stream, search tie rules."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -87,6 +88,16 @@ def test_search_ties_break_by_chunk_id(spark):
     assert sql == got
 
 
+def test_search_takes_any_number_of_roles(spark):
+    from docshield.operators.search import vector_search
+    q = spark.createDataFrame([(k, "t", [1.0, 0.0], [f"r{k}"], 3) for k in range(200)],
+                              "query_id long, tenant_id string, qvec array<double>, roles array<string>, clearance_level int")
+    c = spark.createDataFrame([(f"c{k:03}", "t", [1.0, 0.0], [f"r{k}", "other"], 1) for k in range(200)],
+                              "chunk_id string, tenant_id string, embedding array<double>, acl_roles array<string>, level int")
+    got = {(r.query_id, r.chunk_id) for r in vector_search(q, c, 3, authorize=True).collect()}
+    assert got == {(k, f"c{k:03}") for k in range(200)}
+
+
 def test_bucketed_previous_messages_equal_plain_window(spark):
     from pyspark.sql import Window
     from docshield.plans.pipeline_queries import previous_messages
@@ -99,6 +110,18 @@ def test_bucketed_previous_messages_equal_plain_window(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("bucket_rows", [1, 4, 1024])
+def test_previous_messages_reach_over_gaps(spark, bucket_rows):
+    from pyspark.sql import Window
+    from docshield.plans.pipeline_queries import previous_messages
+    turns = [(1, t) for t in (0, 1, 2, 3, 1500, 2100, 9000)] + [(2, t) for t in (5, 7000)] + [(None, 3), (None, 9000), (1, None)]
+    h = spark.createDataFrame([(c, t, "user", f"m{t}") for c, t in turns], "conv_id long, turn long, role string, text string")
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-6, -1)
+    want = {(r.conv_id, r.turn, tuple(r.prev)) for r in
+            h.withColumn("prev", F.collect_list(F.concat("role", F.lit(": "), "text")).over(w)).collect()}
+    assert {(r.conv_id, r.turn, tuple(r.prev)) for r in previous_messages(h, 6, bucket_rows=bucket_rows).collect()} == want
+
+
 def test_stream_sessions_equal_batch(spark):
     from docshield.operators.access import resolve_sessions
     from docshield.sources import fixtures as FX

@@ -66,17 +66,43 @@ def test_redaction_idempotent(spark, parts):
     assert twice.r == twice.r2
 
 
+def test_scan_time_grows_with_the_text(spark):
+    """One long token, and very many matches in one text."""
+    import time
+    token = spark.createDataFrame([("x9" * 500_000 + " 000-55-1234 ssn 219-09-9999",)], "t string")
+    mails = spark.createDataFrame([("é a@b.com " * 100_000,)], "t string")
+    begin = time.time()
+    assert [p.entity_type for p in token.select(T.pii_spans("t").alias("p")).first().p] == ["US_SSN"]
+    m = mails.select(T.regex_matches("t", T.RECOGNIZER_BY_ENTITY["EMAIL_ADDRESS"].pattern).alias("m")).first().m
+    assert len(m) == 100_000 and (m[-1].start, m[-1].end) == (999_992, 999_999)
+    assert time.time() - begin < 60
+
+
+def test_scan_pattern_has_the_same_matches(spark):
+    """Saying that a match starts outside a word changes no match."""
+    import random
+    rng = random.Random(5)
+    parts = [*"ab1234567890 .-()+/_éX", "555-555-1234", "(555) 555-1234", "1.2.3.4", "AB12 3456 7890 1234", "ABCDE1234F", "2000-01-02"]
+    d = spark.createDataFrame([("".join(rng.choice(parts) for _ in range(60)),) for _ in range(2000)], "t string")
+    all_of = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(0))
+    other = [F.sum((all_of(r.pattern) != all_of(r.scan_pattern)).cast("int")) for r in T.RECOGNIZERS if r.wrap]
+    assert set(d.select(*other).first()) == {0}
+
+
 def test_file_source_gate(spark, tmp_path):
     from docshield.sources.files import read_document_files
     (tmp_path / "doc.exe").write_bytes(b"hello")
     (tmp_path / "big.txt").write_bytes(b"12345")
     (tmp_path / "blank.md").write_bytes(b"  \n ")
+    (tmp_path / "lines.md").write_bytes(b"\n\t\n")
+    (tmp_path / "two.md").write_bytes(b"ok")
     (tmp_path / "ok.csv").write_bytes("a,b".encode())
     (tmp_path / "bad.txt").write_bytes(b"ok \xff\xfe end")
     rows = {r.source: (r.reject_code, r.accepted, r.text)
             for r in read_document_files(spark, str(tmp_path), max_bytes=4).collect()}
     assert rows["doc.exe"][0] == 415 and rows["big.txt"][0] == 413 and rows["blank.md"][0] == 400
-    assert rows["ok.csv"][:2] == (None, True)
+    assert rows["lines.md"][0] == 400
+    assert rows["ok.csv"][:2] == (None, True) and rows["two.md"][:2] == (None, True)
     rows = {r.source: r.text for r in read_document_files(spark, str(tmp_path), max_bytes=100).collect()}
     assert "�" in rows["bad.txt"]          # undecodable bytes are replaced, not fatal
 
