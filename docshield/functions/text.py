@@ -70,7 +70,7 @@ def count_present(text, needles) -> Column:
 # ---------------------------------------------------------------------------
 
 MATCH_TYPE = "array<struct<value:string,start:int,end:int>>"
-FOLD_BLOCK = 128
+FOLD_BLOCK = 32
 
 
 def regex_matches(text, pattern: str, guard=None) -> Column:
@@ -389,7 +389,9 @@ def _better(x: Column, c: Column) -> Column:
                & (x["entity_type"] < c["label"])))
 
 
-COMP_TYPE = "array<struct<start:int,end:int,label:string,bscore:double,blen:int,bstart:int>>"
+COMP_STRUCT = "struct<start:int,end:int,label:string,bscore:double,blen:int,bstart:int>"
+COMP_TYPE = f"array<{COMP_STRUCT}>"
+REDACT_BLOCK = 64
 
 
 def merge_spans(spans) -> Column:
@@ -403,33 +405,63 @@ def merge_spans(spans) -> Column:
                         x["entity_type"].alias("label"), x["score"].alias("bscore"),
                         (x["end"] - x["start"]).alias("blen"), x["start"].alias("bstart"))
 
+    def merged(last, x):
+        return F.struct(last["start"].alias("start"),
+                        F.greatest(last["end"], x["end"]).alias("end"),
+                        F.when(_better(x, last), x["entity_type"]).otherwise(last["label"]).alias("label"),
+                        F.when(_better(x, last), x["score"]).otherwise(last["bscore"]).alias("bscore"),
+                        F.when(_better(x, last), x["end"] - x["start"]).otherwise(last["blen"]).alias("blen"),
+                        F.when(_better(x, last), x["start"]).otherwise(last["bstart"]).alias("bstart"))
+
+    # components are appended to a short block, and full blocks to ``done``: appending copies
+    # an array, so one long array would make the work quadratic
     def step(acc, x):
-        last = F.element_at(acc, -1)
-        merged = F.struct(last["start"].alias("start"),
-                          F.greatest(last["end"], x["end"]).alias("end"),
-                          F.when(_better(x, last), x["entity_type"]).otherwise(last["label"]).alias("label"),
-                          F.when(_better(x, last), x["score"]).otherwise(last["bscore"]).alias("bscore"),
-                          F.when(_better(x, last), x["end"] - x["start"]).otherwise(last["blen"]).alias("blen"),
-                          F.when(_better(x, last), x["start"]).otherwise(last["bstart"]).alias("bstart"))
-        return F.when((F.size(acc) > 0) & (x["start"] < last["end"]),
-                      F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(merged))
-                      ).otherwise(F.concat(acc, F.array(comp(x))))
+        first, joins = acc["last"].isNull(), x["start"] < acc["last"]["end"]
+        full = F.size(acc["block"]) >= FOLD_BLOCK
+        block = F.when(first | joins, acc["block"]).when(full, F.array(acc["last"])) \
+            .otherwise(F.concat(acc["block"], F.array(acc["last"])))
+        done = F.when(~first & ~joins & full, F.concat(acc["done"], F.array(acc["block"]))).otherwise(acc["done"])
+        return F.struct(done.alias("done"), block.alias("block"),
+                        F.when(~first & joins, merged(acc["last"], x)).otherwise(comp(x)).cast(COMP_STRUCT).alias("last"))
+
+    init = F.struct(F.array().cast(f"array<{COMP_TYPE}>").alias("done"), F.array().cast(COMP_TYPE).alias("block"),
+                    F.lit(None).cast(COMP_STRUCT).alias("last"))
+    def folded(a):
+        return F.aggregate(a, init, step, lambda acc: F.when(acc["last"].isNull(), F.array().cast(COMP_TYPE)).otherwise(
+            F.concat(F.flatten(acc["done"]), acc["block"], F.array(acc["last"]))))
+
+    # spans that don't overlap, the usual case, are their own components
+    def apart(a):
+        return (F.size(a) <= 1) | F.forall(F.sequence(F.lit(1), F.size(a) - 1), lambda i: F.get(a, i)["start"] >= F.get(a, i - 1)["end"])
 
-    return F.aggregate(_col(spans), F.array().cast(COMP_TYPE), step)
+    from docshield.functions.vectors import let
+    return let(_col(spans), lambda a: F.when(apart(a), F.transform(a, comp)).otherwise(folded(a)))
 
 
 def redact(text, spans) -> Column:
-    """Replace each merged component by ``<ENTITY_TYPE>``."""
+    """Replace each merged component by ``<ENTITY_TYPE>``.
+
+    A piece of a string is found by counting from its start, so pieces are cut
+    from the stretch of ``REDACT_BLOCK`` components that they lie in."""
+    from docshield.functions.vectors import let
     t = _col(text)
-    comps = merge_spans(spans)
-    init = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))
-    return F.when(F.size(_col(spans)) == 0, t).otherwise(F.aggregate(
-        comps, init,
-        lambda acc, c: F.struct(
-            F.concat(acc["out"], F.substring(t, acc["pos"] + 1, c["start"] - acc["pos"]),
-                     F.lit("<"), c["label"], F.lit(">")).alias("out"),
-            c["end"].alias("pos")),
-        lambda acc: F.concat(acc["out"], F.substring(t, acc["pos"] + 1, F.lit(1 << 30)))))
+
+    def rebuilt(t, c):
+        n = F.size(c)
+        end = lambda i: F.when(i < 0, F.lit(0)).otherwise(F.get(c, i)["end"])
+
+        def stretch(b):
+            lo, hi = b * REDACT_BLOCK, F.least((b + 1) * REDACT_BLOCK, n) - 1
+            def piece(s):
+                return lambda i: F.concat(F.substring(s, end(i - 1) - end(lo - 1) + 1, F.get(c, i)["start"] - end(i - 1)),
+                                          F.lit("<"), F.get(c, i)["label"], F.lit(">"))
+            return let(F.substring(t, end(lo - 1) + 1, end(hi) - end(lo - 1)),
+                       lambda s: F.array_join(F.transform(F.sequence(lo, hi), piece(s)), ""))
+
+        blocks = F.sequence(F.lit(0), F.floor((n - 1) / REDACT_BLOCK).cast("int"))
+        return F.concat(F.array_join(F.transform(blocks, stretch), ""), F.substring(t, end(n - 1) + 1, F.lit(1 << 30)))
+
+    return let(t, lambda x: let(merge_spans(spans), lambda c: F.when(F.size(c) == 0, x).otherwise(rebuilt(x, c))))
 
 
 def severity_class(spans) -> Column:
