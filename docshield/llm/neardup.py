@@ -9,9 +9,13 @@ similarity is m / (n1 + n2 - m), and 0.8 or more is a link.  Classes are the con
 components of the links.
 
 Exact copies collapse to the smallest doc_id before sketching.  Inside a bucket every
-member is compared with the bucket's smallest member only (a star, never all pairs);
-members that this leaves without a link meet again in finer buckets, of pairs of sketches.
-At similarity 0.8 one sketch agrees with probability 0.64 or so, none of 16 with 1e-7.
+member is first compared with the bucket's smallest member and with the one that shares
+most buckets (stars).  Where this leaves a bucket in two or more components, all pairs of
+its members from different components are settled without loss: they meet on a prefix of
+their rarest labelled shingles, which any two with similarity 0.8 have in common, at places
+that the band allows, and the same alignment verifies them.  So the components are those
+of all candidate pairs.  At similarity 0.8 one sketch agrees with probability 0.64 or so,
+none of 16 with 1e-7.
 
 Defined cases: words are `[^\\x20\\x09-\\x0D]+`; a text of one to four words is one
 shingle; a null, empty or blank text is never a near copy of another (each is its own
@@ -33,6 +37,8 @@ from docshield.llm.common import SPACED, cut, mix, spans, steps, utf8, word_hash
 SHINGLE = 5
 SKETCHES = 16
 SIMILARITY = 0.8
+SLOTS = 1 << 18  # counters that order the shingles by rarity; any order is exact
+SALT = 256  # members of a hot shingle that one task compares with the others
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -115,10 +121,65 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(sim)], ["a", "b", "similarity"])
 
 
-def _stars(keyed: DataFrame) -> DataFrame:
-    """(a, b): each member of a bucket with the bucket's smallest one; buckets are (sketch, key)."""
-    least = keyed.groupBy("sketch", "key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").drop("z")
-    return keyed.join(least, ["sketch", "key"]).where("a < id").select("a", F.col("id").alias("b")).distinct()
+def _members(keyed: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` (id, sketch, key) in buckets of two or more, with the bucket's size ``n`` and smallest id ``least``."""
+    size = keyed.groupBy("sketch", "key").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
+    return keyed.join(size, ["sketch", "key"])
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """(a, b), a < b: each member of a bucket with the bucket's smallest one and with the one that shares most buckets."""
+    weight = members.groupBy("id").agg(F.sum("n").alias("w"))
+    hub = members.join(weight, "id").groupBy("sketch", "key").agg(F.min(F.struct((-F.col("w")).alias("w"), "id"))["id"].alias("hub"))
+    pairs = members.select("id", F.col("least").alias("other")).unionByName(members.join(hub, ["sketch", "key"]).select("id", F.col("hub").alias("other")))
+    return pairs.where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def _slots(batches):
+    for b in steps(batches):
+        found = _shingled(b.column("text"))
+        slot, n = np.unique(np.concatenate(found) % np.uint64(SLOTS), return_counts=True) if found else (np.empty(0), np.empty(0))
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(n.astype(np.int64))], ["slot", "n"])
+
+
+def _prefixes(often: np.ndarray):
+    """Each document's rarest shingles: of two documents with similarity SIMILARITY or more, the rarest shingle of their
+    chain is in both prefixes, as a chain leaves at most 1 - SIMILARITY of either's shingles out."""
+    def run(batches):
+        for b in steps(batches):
+            found, rows, keys, places, sizes = _shingled(b.column("text")), [], [], [], []
+            for k, h in enumerate(found):
+                n = len(h)
+                size = n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1
+                at = np.lexsort((h, often[(h % np.uint64(SLOTS)).astype(np.int64)]))[:size] if n else np.empty(0, np.int64)
+                rows.append(np.full(len(at), k))
+                keys.append(h[at])
+                places.append(at)
+                sizes.append(np.full(len(at), n))
+            row, key, place, size = (np.concatenate([np.empty(0, np.int64), *x]) if x is not keys else np.concatenate([np.empty(0, np.uint64), *x]) for x in (rows, keys, places, sizes))
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column("id").take(row), b.column("label").take(row), pa.array(key.view(np.int64)), pa.array(place), pa.array(size)], ["id", "label", "key", "place", "size"])
+    return run
+
+
+def _unsettled(texts: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs of ``texts`` (id, text, label) with different labels that may have similarity SIMILARITY or more; none is left out."""
+    counted = texts.select("text").mapInArrow(_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
+    often = np.zeros(SLOTS, np.int64)
+    often[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    entries = cut(texts.mapInArrow(_prefixes(often), "id long, label long, key long, place long, size long"))
+    # pairs inside a key's largest label are never made: one side of each pair is of another label
+    each = entries.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most")).where("labels > 1")
+    hot = each.select("key", F.col("most.label").alias("main"), F.floor((F.col("all") - F.col("most.n")) / SALT).cast("int").alias("last"))
+    held = entries.join(hot, "key")
+    left = held.where("label <> main").select("key", "main", F.pmod(F.xxhash64("id"), F.col("last") + 1).cast("int").alias("salt"), *(F.col(c).alias(f"{c}_x") for c in ("id", "label", "place", "size")))
+    right = held.withColumn("salt", F.explode(F.sequence(F.lit(0), "last"))).select("key", "salt", *(F.col(c).alias(f"{c}_y") for c in ("id", "label", "place", "size")))
+    size = F.col("size_x") + F.col("size_y")
+    band = size * (1 - 2 * SIMILARITY / (1 + SIMILARITY))
+    near = (F.col("label_x") != F.col("label_y")) & ((F.col("label_y") == F.col("main")) | (F.col("id_x") < F.col("id_y"))) & (
+        F.least("size_x", "size_y") >= SIMILARITY * F.greatest("size_x", "size_y") - 1e-9) & (F.abs(F.col("place_x") - F.col("place_y")) <= band + 1e-9)
+    return left.join(right, ["key", "salt"]).where(near).select(
+        F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -146,8 +207,8 @@ def components(links: DataFrame) -> DataFrame:
 def links(texts: DataFrame) -> DataFrame:
     """Verified pairs (a, b, similarity) of ``texts`` (id, text: distinct)."""
     sketched = cut(texts.mapInArrow(_sketch, "id long, keys array<long>"))
-    keyed = sketched.select("id", F.posexplode("keys").alias("sketch", "key"))
-    pairs = cut(_stars(keyed))
+    members = cut(_members(sketched.select("id", F.posexplode("keys").alias("sketch", "key"))))
+    pairs = cut(_stars(members))
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     held = cut(texts.join(ids.hint("merge"), "id", "left_semi"))
 
@@ -155,14 +216,16 @@ def links(texts: DataFrame) -> DataFrame:
         p = p.join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         return cut(p.mapInArrow(_verify, "a long, b long, similarity double"))
 
-    first = verified(pairs)
-    # documents whose stars gave no link at all meet again in buckets of two sketches
-    linked = first.where(F.col("similarity") >= SIMILARITY)
-    lone = sketched.join(ids, "id", "left_semi").join(linked.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_anti")
-    two = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SKETCHES - 2)), lambda i: F.transform(F.sequence(i + 1, F.lit(SKETCHES - 1)), lambda j: F.struct((i * SKETCHES + j).alias("sketch"), F.xxhash64(F.element_at("keys", i + 1), F.element_at("keys", j + 1)).alias("key")))))
-    finer = _stars(lone.select("id", F.explode(two).alias("x")).select("id", "x.sketch", "x.key"))
-    second = verified(finer.join(pairs, ["a", "b"], "left_anti"))
-    return linked.unionByName(second.where(F.col("similarity") >= SIMILARITY))
+    linked = verified(pairs).where(F.col("similarity") >= SIMILARITY)
+    # buckets that the stars left in several components: their members' other pairs are settled without loss
+    label = components(linked)
+    named = members.select("id", "sketch", "key").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    open_ = named.groupBy("sketch", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("sketch", "key")
+    left = cut(named.join(open_, ["sketch", "key"], "left_semi").select("id", "label").distinct())
+    if left.isEmpty():
+        return linked
+    rest = verified(_unsettled(held.join(left, "id")).join(pairs, ["a", "b"], "left_anti"))
+    return linked.unionByName(rest.where(F.col("similarity") >= SIMILARITY))
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -195,3 +195,34 @@ def test_chat_rotation(spark):
         for r in sorted((r for r in got if (r.conv_id, r.perspective) == key), key=lambda r: r.start):
             assert r.start == at and (r.role == "assistant") == (r.mask == 1) and (r.role == "user") == (r.name is not None)
             at += r.length
+
+
+def test_near_duplicates_equal_brute_force_on_hubs_and_chains(spark):
+    rng = np.random.default_rng(5)
+
+    def changed(words, count, tag):
+        out = list(words)
+        for k in rng.choice(len(out), count, replace=False):
+            out[k] = f"{tag}x{k}"
+        return out
+    hub, chain = [f"hub{k}" for k in range(300)], [[f"link{k}" for k in range(200)]]
+    texts = {1000: hub} | {k: changed(hub, 5, f"v{k}") for k in range(1, 121)}  # the base is in the middle and has the largest id
+    for k in range(40):  # each is near the one before it only
+        chain.append(changed(chain[-1], 4, f"c{k}"))
+    texts |= {2000 + int(k): chain[i] for i, k in enumerate(rng.permutation(len(chain)))}
+    rows = [(i, " ".join(w)) for i, w in texts.items()]
+    shingled = {i: neardup.labelled(np.array([hash(w) & (1 << 63) - 1 for w in words], np.uint64)) for i, words in texts.items()}
+    parent = {i: i for i in texts}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+    order = sorted(texts)
+    for n, a in enumerate(order):
+        for b in order[n + 1:]:
+            if neardup.similarity(shingled[a], shingled[b]) >= 0.8:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: root(i) for i in texts}
