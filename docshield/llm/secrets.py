@@ -1,12 +1,15 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-Native DataFrame functions and Spark ML only.  Every run of 16 or more key characters in
-a text is a candidate.  Its features are length, character classes and transitions,
+Native DataFrame functions and Spark ML only.  Candidates are private-key blocks,
+connection strings, dotted JWTs, providers' tokens, values of 8 or more characters that are
+assigned to a credential's name, and every run of 16 or more key characters.  A candidate's features are length, character classes and transitions,
 dictionary coverage, path signs and the neighbouring words; a random forest trained from
-labelled findings gives the probability that it is a secret.
+labelled findings gives the probability that it is a secret; without findings of the
+caller's, a fixed format is a secret (1.0) whatever the forest says.
 
 ``labelled`` turns candidates into findings with labels: those in a provider's fixed
-format or assigned to a credential's name are secrets; others are not, and each labelled
+format or assigned to a credential's name are secrets; plain words, digests and parts of
+paths are not; of the others nothing is known and they are left out.  Each labelled
 secret also gives two counter-examples, the same value named as a checksum and as part
 of a path.  The forest is fitted on at most ``FIT_ROWS`` findings of each label, taken by
 hash order; everything else covers all rows.
@@ -26,13 +29,27 @@ from pyspark.sql import functions as F
 
 from docshield.llm.common import cut, with_row
 
+#: Formats of well-known providers' keys.
+PROVIDERS = (r"(?<![A-Z0-9])(AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{16}|(?<![A-Za-z0-9])(gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|xox[abprs]-[A-Za-z0-9-]{10,}"
+             r"|sk[-_](live_|test_|proj-)?[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,})")
+#: A block with its end, or a cut-off one with the lines that follow its header.
+KEY_BLOCK = (r"-----BEGIN (?:[A-Z0-9]{1,12} ){0,4}PRIVATE KEY(?: BLOCK)?-----(?:[^-]*+(?:-(?!----)[^-]*+){0,200}+-----END (?:[A-Z0-9]{1,12} ){0,4}PRIVATE KEY(?: BLOCK)?-----"
+             r"|(?:(?:\\[nr]|\s){0,4}[A-Za-z0-9+/]{40,}+={0,2}+){0,400})")
+CONNECTION = (r"(?<![A-Za-z0-9])(?i:(?:mongodb|postgres|postgresql|mysql|mariadb|redis|rediss|amqp|amqps|mssql)(?:\+[a-z0-9]{1,12})?://[^\s\"'<>]++"
+              r"|[a-z][a-z0-9+.]{1,20}://[^\s:/@\"'<>]{0,64}:[^\s/@\"'<>]{1,128}@[^\s\"'<>]++)")
+JWT = r"(?<![A-Za-z0-9_+/\-])eyJ[A-Za-z0-9_\-]++\.[A-Za-z0-9_\-]++\.[A-Za-z0-9_\-]++"
+FIXED = "|".join([KEY_BLOCK, CONNECTION, JWT, PROVIDERS])
+#: A value of a credential's name: after a sign for any name, after white space for passwords; the look-behinds are bounded.
+ASSIGNED = (r"(?<=[\s\"'=:>])(?:(?<=(?i:password|passwd|pwd)[\s\"':=]{1,8})|(?<=(?i:passphrase|pass|secret|tokens?|credentials?|auth|api[_-]?key|access[_-]?key|private[_-]?key)"
+            r"[\"']?\s{0,3}[=:]{1,2}>?\s{0,3}[\"']?)|(?<=(?i:bearer)[\s:=]{1,3}))[^\s\"'=:>][^\s\"']{7,}+")
 #: A run of key characters; the look-behind lets the search begin at a run's start only.
-CANDIDATE = r"(?<![A-Za-z0-9_+/\-])[A-Za-z0-9_+/\-]{16,}+={0,2}+"
+RUN = r"(?<![A-Za-z0-9_+/\-])[A-Za-z0-9_+/\-]{16,}+={0,2}+"
+CANDIDATE = "|".join([KEY_BLOCK, CONNECTION, JWT, ASSIGNED, r"(?<![A-Za-z0-9_+/\-])xox[abprs]-[A-Za-z0-9-]{10,}+", RUN])
 FIT_ROWS = 10_000
 MASK = "[SECRET]"
-#: Formats of well-known providers' keys.
-PROVIDERS = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk[-_](live_|test_|proj-)?[A-Za-z0-9]{20,}$|^AIza[A-Za-z0-9_-]{35}$|^glpat-[A-Za-z0-9_-]{20,}$"
-NAMED = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|credentials?|auth|api[_-]?key|access[_-]?key|private[_-]?key|bearer)[\"']?\s{0,3}[=: ]\s{0,3}[\"']?$"
+NAMED = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|credentials?|auth|api[_-]?key|access[_-]?key|private[_-]?key|bearer)(?:[\"']?\s{0,3}[=:\s]{1,2}>?\s{0,3}[\"']?)$|(?i)(password|passwd|pwd)[\s\"':=]{1,8}$"
+#: Words, names and sentences' ends: letters in one case (or a capital first), joined by hyphens, underscores or slashes.
+WORDS = r"^[_/+\-]*+(?:(?:\p{Lu}?\p{Ll}{2,}+|\p{Lu}{2,}+)[_/+\-]*+)++[=.,;:!?)\]]*+$"
 DIGESTS = r"(?i)(sha-?\d*|md5|commit|checksum|digest|hash|etag|uuid|revision|integrity)[\"']?\s{0,3}[=: ]{0,2}\s{0,3}[\"']?$"
 #: Frequent words and word parts of the corpus languages.
 DICTIONARY = ("the and ing tion ment able ness ful less ight ough this that with from have "
@@ -68,21 +85,27 @@ def features(found: DataFrame) -> DataFrame:
         "path": flag(v.rlike("/.*/|^/") | F.col("before").rlike(r"[/\\.~]$") | F.col("after").rlike(r"^(\.[a-z]{2,5}\b|[\\/])")),
         "named": flag(F.col("before").rlike(NAMED)), "digest": flag(F.col("before").rlike(DIGESTS)),
         "assigned": flag(F.col("before").rlike("[=:]\\s*[\"']?$")), "quoted": flag(F.col("after").rlike("^[\"']")),
-        "format": flag(v.rlike(PROVIDERS)),
+        "format": flag(v.rlike(FIXED)),
     }
     return found.withColumns(made)
 
 
-def is_named_secret() -> Column:
-    return F.col("value").rlike(PROVIDERS) | (F.col("before").rlike(NAMED) & F.col("value").rlike("[0-9]"))
+def known_label() -> Column:
+    """1 for a fixed format or a value assigned to a credential's name, 0 for plain words, digests and parts of paths, null where nothing is known."""
+    value, before, named = F.col("value"), F.col("before"), F.col("before").rlike(NAMED)
+    signed = before.rlike("[=:]>?\\s*[\"']?$")
+    path = value.rlike("^/|/.*/") | before.rlike(r"[/\\.~]$") | F.col("after").rlike(r"^(\.[a-z]{2,5}\b|[\\/])")
+    return (F.when(value.rlike(FIXED) | (named & value.rlike("[0-9]")), 1.0)
+            .when(named & signed, F.lit(None).cast("double"))
+            .when(value.rlike(WORDS) | before.rlike(DIGESTS) | path, 0.0))
 
 
 def labelled(found: DataFrame) -> DataFrame:
     """value, before, after, label: findings to learn from."""
-    own = found.select("value", "before", "after", is_named_secret().cast("double").alias("label"))
+    own = found.select("value", "before", "after", known_label().alias("label")).where("label IS NOT NULL")
     wrong = own.where("label = 1").select("value", F.explode(F.array(
         F.struct(F.lit("commit ").alias("before"), F.lit(" ").alias("after")), F.struct(F.lit("/usr/share/").alias("before"), F.lit("/index.html").alias("after")))).alias("x"))
-    return own.unionByName(wrong.where(~F.col("value").rlike(PROVIDERS)).select("value", "x.before", "x.after", F.lit(0.0).alias("label")))
+    return own.unionByName(wrong.where(~F.col("value").rlike(FIXED)).select("value", "x.before", "x.after", F.lit(0.0).alias("label")))
 
 
 def scored(found: DataFrame, findings: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -103,8 +126,13 @@ def scored(found: DataFrame, findings: DataFrame, fit_rows: int = FIT_ROWS) -> D
 def secrets(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """One row per candidate: row, doc_id, nth, value, start, length, kind, p_secret, secret.  ``docs`` has row, doc_id, text."""
     found = cut(candidates(docs))
-    kind = F.when(F.col("value").rlike(PROVIDERS), "provider").when(F.col("before").rlike(NAMED), "named").otherwise("run")
-    return scored(found, labelled(found) if findings is None else findings).select("row", "doc_id", "nth", "value", "start", "length", kind.alias("kind"), "p_secret", (F.col("p_secret") >= threshold).alias("secret"))
+    value = F.col("value")
+    kind = F.when(value.rlike("^(?:" + KEY_BLOCK + ")"), "key").when(value.rlike("^(?:" + CONNECTION + ")"), "connection").when(value.rlike(JWT), "jwt").when(
+        value.rlike(PROVIDERS), "provider").when(F.col("before").rlike(NAMED), "named").otherwise("run")
+    out = scored(found, labelled(found) if findings is None else findings)
+    if findings is None:
+        out = out.withColumn("p_secret", F.when(value.rlike(FIXED), 1.0).otherwise(F.col("p_secret")))
+    return out.select("row", "doc_id", "nth", "value", "start", "length", kind.alias("kind"), "p_secret", (F.col("p_secret") >= threshold).alias("secret"))
 
 
 def redacted(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
