@@ -62,8 +62,9 @@ FEATURES = ["size", "digits", "upper", "lower", "other", "turns", "variety", "vo
 def candidates(docs: DataFrame) -> DataFrame:
     """row, doc_id, nth, value, before, after, start and length (characters) of every candidate; ``docs`` has row, doc_id, text."""
     at = F.sequence(F.lit(0), F.size("found") - 1)
+    # what is before is the text's own, the previous candidate with it: a credential's long name is a candidate itself
     found = docs.where(F.col("text").rlike(CANDIDATE)).select("row", "doc_id", F.split("text", CANDIDATE, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"))
-    one = lambda i: F.struct(i.alias("nth"), F.get("found", i).alias("value"), F.right(F.get("gaps", i), F.lit(48)).alias("before"), F.left(F.get("gaps", i + 1), F.lit(24)).alias("after"), F.length(F.get("gaps", i)).cast("long").alias("gap"))
+    one = lambda i: F.struct(i.alias("nth"), F.get("found", i).alias("value"), F.right(F.concat(F.coalesce(F.get("found", i - 1), F.lit("")), F.get("gaps", i)), F.lit(48)).alias("before"), F.left(F.get("gaps", i + 1), F.lit(24)).alias("after"), F.length(F.get("gaps", i)).cast("long").alias("gap"))
     found = found.select("row", "doc_id", F.explode(F.transform(at, one)).alias("x")).select("row", "doc_id", "x.*")
     ahead = Window.partitionBy("row").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     size = F.length("value").cast("long")

@@ -257,3 +257,15 @@ def test_candidates_without_a_name_teach_nothing(spark):
     found = spark.createDataFrame([(value, "see ", " "), (value, "token=", " "), ("internationalization", "the ", " "), (value, "commit ", " ")], "value string, before string, after string")
     assert Counter((r.value, r.before, r.label) for r in secrets.labelled(found).collect()) == {
         (value, "token=", 1.0): 1, ("internationalization", "the ", 0.0): 1, (value, "commit ", 0.0): 2, (value, "/usr/share/", 0.0): 1}
+
+
+def test_names_of_candidates_length_are_read(spark):
+    hexes = [hashlib.sha256(str(k).encode()).hexdigest()[:40] for k in range(6)]
+    texts = [f"AWS_SECRET_ACCESS_KEY={hexes[0]}", f'DATABASE_PASSWORD = "{hexes[1]}"', f"GITHUB_ACCESS_TOKEN={hexes[2]} x", f"x GITHUB_ACCESS_TOKEN : '{hexes[3]}'",
+             f"see CONTENT_DIGEST_COMMIT={hexes[4]}", f"see {hexes[5]}"]
+    docs = with_row(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    own = [r for r in secrets.candidates(docs).collect() if r.value in hexes]
+    assert all(texts[r.doc_id][:r.start][-len(r.before):] == r.before and "_" in r.before for r in own if r.doc_id < 5) and len(own) == 6
+    assert {r.value for r in secrets.secrets(docs).collect() if r.secret} >= set(hexes[:4])
+    learnt = {r.value: r.label for r in secrets.labelled(secrets.candidates(docs)).collect() if r.before not in ("commit ", "/usr/share/")}
+    assert [learnt.get(h) for h in hexes] == [1, 1, 1, 1, 0, None]
