@@ -86,8 +86,8 @@ def with_shard(docs: DataFrame) -> DataFrame:
 
 
 def with_row(docs: DataFrame, name: str = "row") -> DataFrame:
-    """Add a number for each row, the same in every pass."""
-    return stable(docs).withColumn(name, F.monotonically_increasing_id())
+    """Add a number for each row, the same in every pass: it is written, as each job plans its splits anew."""
+    return cut(docs.withColumn(name, F.monotonically_increasing_id()))
 
 
 def buckets(spark: SparkSession) -> int:

@@ -130,8 +130,7 @@ def _placer(table: np.ndarray):
 def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     kind = dict(docs.dtypes)["doc_id"]
-    pieces = cut(docs.select("doc_id", "text").mapInArrow(_pieces(path or vocabulary_path(), window), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"))
-    pieces = pieces.withColumn("part", F.spark_partition_id())
+    pieces = cut(docs.select("doc_id", "text").mapInArrow(_pieces(path or vocabulary_path(), window), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long").withColumn("part", F.spark_partition_id()))  # written: each job plans its splits anew
     held = cut(pieces.groupBy("part", "length").count())  # at most window rows for each split
     histogram = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most window rows
     rows, sequence, used = [], 0, dict.fromkeys(histogram, 0)

@@ -269,3 +269,18 @@ def test_names_of_candidates_length_are_read(spark):
     assert {r.value for r in secrets.secrets(docs).collect() if r.secret} >= set(hexes[:4])
     learnt = {r.value: r.label for r in secrets.labelled(secrets.candidates(docs)).collect() if r.before not in ("commit ", "/usr/share/")}
     assert [learnt.get(h) for h in hexes] == [1, 1, 1, 1, 0, None]
+
+
+def test_numbers_stay_when_splits_are_planned_anew(spark, tmp_path):
+    path, name = str(tmp_path / "docs"), "spark.sql.files.minPartitionNum"
+    spark.range(400).selectExpr("id AS doc_id", "repeat(concat('word ', id, ' '), cast(id % 9 + 1 AS int)) AS text").repartition(8).write.parquet(path)
+    try:
+        spark.conf.set(name, "16")
+        rows, pieces = with_row(spark.read.parquet(path)), packing.packed(spark.read.parquet(path), window=64)
+        first = {r.doc_id: r.row for r in rows.select("doc_id", "row").collect()}
+        spark.conf.set(name, "1")
+        assert {r.doc_id: r.row for r in rows.select("row", "doc_id").collect()} == first
+        places = [(r.sequence_id, r.offset) for r in pieces.select("*").collect()]
+        assert len(set(places)) == len(places) >= 400
+    finally:
+        spark.conf.unset(name)
