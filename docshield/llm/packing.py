@@ -51,14 +51,14 @@ def encoder(path: str):
             spec = json.load(f)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in plain)}
-        special = {t["content"] for t in spec["added_tokens"]}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(shown[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        _ENCODERS[path] = tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path] = tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
     return _ENCODERS[path]
 
 
 def token_ids(text: str | None, path: str, end_id: int | None = END_ID) -> np.ndarray:
-    ids = encoder(path).encode_ordinary(text) if text else []
+    ids = encoder(path).encode(text, allowed_special="all") if text else []
     return np.array([*ids, end_id] if end_id is not None else ids, dtype="<u4")
 
 

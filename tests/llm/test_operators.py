@@ -284,3 +284,12 @@ def test_numbers_stay_when_splits_are_planned_anew(spark, tmp_path):
         assert len(set(places)) == len(places) >= 400
     finally:
         spark.conf.unset(name)
+
+
+def test_added_tokens_in_a_text_are_single_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    for text in ("hello <|endoftext|> world", "<|endoftext|><|endoftext|>", " a<|endoftext|>\n\n b <|endoftext", "it's <|END|> 12 <|endoftext|>."):
+        assert packing.token_ids(text, path, None).tolist() == t.encode(text, add_special_tokens=False).ids
