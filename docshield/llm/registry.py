@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docshield.llm import chat, chunkdedup, decontam, langid, neardup, packing, quality, secrets, suffixdedup, suffixtree
+from docshield.llm import chat, chunkdedup, decontam, hardneg, langid, neardup, packing, quality, secrets, suffixdedup, suffixtree
 from docshield.llm.common import crc_mod, with_row
 
 
@@ -61,6 +61,10 @@ def op10_chat(spark, sf_dir):
     return chat.rotated(_read(spark, sf_dir, "conversations"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    return hardneg.hard_negatives(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_language, op4_near_duplicates, op5_decontamination,
-                                   op6_suffix_tree, op7_quality, op8_chunk_dedup, op9_secrets, op10_chat)}
-ORACLE = {"op10_chat": lambda: chat.ROTATED_SQL}
+                                   op6_suffix_tree, op7_quality, op8_chunk_dedup, op9_secrets, op10_chat, op11_hard_negatives)}
+ORACLE = {"op10_chat": lambda: chat.ROTATED_SQL, "op11_hard_negatives": lambda: hardneg.HARD_NEGATIVES_SQL}
