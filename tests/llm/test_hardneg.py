@@ -73,7 +73,7 @@ def test_bounds_hold_every_score_and_blocks_are_skipped(spark):
         assert (s >= least).all() and (s <= most).all()
     anchors = hardneg.anchors_of(blocks, 5, 2)
     n = blocks.count()
-    asked = hardneg._packed(anchors.withColumns({"lows": hardneg.F.array(hardneg.F.lit(100_000)), "highs": hardneg.F.array(hardneg.F.lit(hardneg.FAR))}))
+    asked = hardneg._packed(anchors.withColumns({"lows": hardneg.F.array(hardneg.F.lit(300_000)), "highs": hardneg.F.array(hardneg.F.lit(hardneg.FAR))}))
     pairs = hardneg._choose(asked, blocks, (n, asked.count()), True, False).count()
     assert 0 < pairs < 0.5 * sum(c * c for c in Counter(b.label for b in blocks.collect()).values()) * asked.count() / n  # of the label's own blocks
 
