@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docshield.llm import chat, chunkdedup, decontam, hardneg, langid, neardup, packing, quality, repair, secrets, suffixdedup, suffixtree
+from docshield.llm import chat, chunkdedup, decontam, hardneg, langid, neardup, packing, pii, quality, repair, secrets, suffixdedup, suffixtree
 from docshield.llm.common import crc_mod, with_row
 
 
@@ -69,6 +69,10 @@ def op12_repair(spark, sf_dir):
     return repair.repaired(_read(spark, sf_dir, "conversations"))
 
 
+def op13_pii(spark, sf_dir):
+    return pii.personal_data(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_language, op4_near_duplicates, op5_decontamination,
-                                   op6_suffix_tree, op7_quality, op8_chunk_dedup, op9_secrets, op10_chat, op11_hard_negatives, op12_repair)}
+                                   op6_suffix_tree, op7_quality, op8_chunk_dedup, op9_secrets, op10_chat, op11_hard_negatives, op12_repair, op13_pii)}
 ORACLE = {"op10_chat": lambda: chat.ROTATED_SQL, "op11_hard_negatives": lambda: hardneg.HARD_NEGATIVES_SQL}
