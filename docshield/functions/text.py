@@ -174,6 +174,7 @@ class Recognizer:
     context: tuple = field(default=())  # words that lift the score by CONTEXT_BOOST
     literal: str | None = None          # a substring every match contains
     needs_digit: bool = True            # every match contains a digit
+    linear: str | None = None           # the same matches as ``core``, without recursion and restarts inside a run
 
     @property
     def pattern(self) -> str:
@@ -182,7 +183,7 @@ class Recognizer:
     @property
     def scan_pattern(self) -> str:
         """``pattern`` as Spark runs it: the same matches without retrying inside words."""
-        return NOT_INSIDE_WORD + self.pattern if self.wrap else self.core
+        return self.linear or (NOT_INSIDE_WORD + self.pattern if self.wrap else self.core)
 
     @property
     def guard(self) -> str:
@@ -193,11 +194,19 @@ class Recognizer:
 CONTEXT_BOOST = 0.35
 CONTEXT_WINDOW = 40
 
+# An e-mail address for a backtracking matcher: its core retries the local part at every character of a run and
+# descends once for each domain label.  Here a match starts where a run does, or where the last match ended; a label that
+# can end the address begins with two letters, and labels are taken without going back, each run of others looked over twice.
+_MAIL_LOCAL, _MAIL_LABEL = r"[\p{L}\p{N}._%+\-]", r"[\p{L}\p{N}\-]++"
+_MAIL_OTHER = rf"(?:\.(?![A-Za-z]{{2}}){_MAIL_LABEL})*+"
+MAIL_LINEAR = (rf"(?:(?<!{_MAIL_LOCAL})|\G){_MAIL_LOCAL}++@{_MAIL_LABEL}"
+               rf"(?:{_MAIL_OTHER}\.(?=[A-Za-z]{{2}}){_MAIL_LABEL}(?={_MAIL_OTHER}\.[A-Za-z]{{2}}))*+{_MAIL_OTHER}\.[A-Za-z]{{2,}}+")
+
 # Our recognisers, written from public format rules (see README).
 RECOGNIZERS = [
     Recognizer("EMAIL_ADDRESS",
                r"[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.[A-Za-z]{2,}",
-               1.0, wrap=False, literal="@", needs_digit=False),
+               1.0, wrap=False, literal="@", needs_digit=False, linear=MAIL_LINEAR),
     Recognizer("URL", r"(?:https?://|www\.)[^\s<>\"'()\[\]{}]+", 0.5, wrap=False,
                context=("url", "website", "link", "site", "web"), needs_digit=False),
     Recognizer("IP_ADDRESS", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", 1.0, validator="ipv4"),

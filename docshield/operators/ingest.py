@@ -36,7 +36,8 @@ def scan_documents(docs: DataFrame, *, on_critical: str = "quarantine", mode: st
         F.octet_length("text").alias("length_bytes"),
         F.sha2(F.col("text"), 256).alias("document_hash"),
         T.zero_width_found("text").alias("zero_width"),
-        T.strip_zero_width("text").alias("clean_text"),
+        # a text over the size limit is rejected and not searched
+        F.when(F.octet_length("text") > max_bytes, F.lit("")).otherwise(T.strip_zero_width("text")).alias("clean_text"),
     ).drop("doc_id", "acl_roles").withColumnRenamed("_doc_id", "doc_id").withColumnRenamed("_acl", "acl_roles")
 
     s2 = s1.select(

@@ -117,3 +117,29 @@ def test_null_text_is_skipped(spark):
                                "doc_id string, text string, source string, tenant_id string, acl_roles string")
     r = I.scan_documents(df).first()
     assert (r.status, r.reason, list(r.acl_roles)) == ("skipped", "empty_after_scrub", ["employee"])
+
+
+def test_mail_pattern_finds_what_its_core_finds_and_takes_linear_time(spark):
+    """The recogniser's pattern against its core on small texts, and texts that recursion or restarts can't get through."""
+    import base64
+    import random
+    import regex
+    mail = T.RECOGNIZER_BY_ENTITY["EMAIL_ADDRESS"]
+    r = random.Random(1)
+    parts = ["a", "bc", "1", "@", ".", "..", "-", "_", "%", "ü", "com", "c", "co1", ".x", "@d.ee", " ", "é.fr"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(1, 30))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for x in df.select("t", T.regex_matches(F.col("t"), mail.scan_pattern, mail.guard).alias("m")).collect():
+        assert [(y.start, y.end) for y in x.m] == [(m.start(), m.end()) for m in regex.finditer(mail.core, x.t)], x.t
+    long = {"labels": ("x@" + "a." * 3000 + "com 1", 1), "more labels": ("x@" + "a." * 300_000 + "com 1", 1), "token": ("a@b.co " + "l" * (1 << 20), 1),
+            "base64": ("a@b.co " + base64.b64encode(r.randbytes(3_900_000)).decode(), 1), "digits": ("1" * (1 << 20), 0), "locals": ("a." * 400_000, 0)}
+    df = spark.createDataFrame([(k, t) for k, (t, _) in long.items()], "k string, text string")
+    got = df.select("k", T.pii_spans("text").alias("p")).collect()
+    assert {x.k: sum(s.entity_type == "EMAIL_ADDRESS" for s in x.p) for x in got} == {k: n for k, (_, n) in long.items()}
+
+
+def test_text_over_the_size_limit_is_rejected_unsearched(spark):
+    docs = spark.createDataFrame([("d1", "a@b.com " * 20, "t", "PUBLIC", "s"), ("d2", "a@b.com", "t", "PUBLIC", "s")], "doc_id string, text string, tenant_id string, acl_roles string, source string")
+    got = {x.doc_id: x for x in I.scan_documents(docs, max_bytes=50).select("doc_id", "status", "reason", "pii_entities_found").collect()}
+    assert (got["d1"].status, got["d1"].reason, got["d1"].pii_entities_found) == ("rejected", "payload_too_large", [])
+    assert (got["d2"].status, got["d2"].pii_entities_found) == ("ingested", ["EMAIL_ADDRESS"])
