@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docshield import constants as C
+from docshield.operators import breaker
 from docshield.plans import analytics_queries as AQ
 from docshield.plans import ingest_queries as IQ
 from docshield.sources import fixtures as FX
+from docshield.sources.files import cut
 from docshield.sources.tables import read
 from docshield.streaming import jobs as J
 
@@ -47,6 +49,20 @@ def q_stream_circuit(spark, sf):
     return r.select("event_id", "called", "failed", "breaker_open")
 
 
+#: A window that this log's failures fill: the reference's minute never holds five of them.
+EXACT_WINDOW_SEC = 2 * 3600
+
+
+def _breaker_calls(spark, sf):
+    return read(spark, sf, "events").select("event_id", "ts", F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("scope"),
+                                            (F.col("event_type") == "error").alias("failed"))
+
+
+def q_circuit_exact(spark, sf):
+    r, _ = breaker.replay(_breaker_calls(spark, sf), cut, window_sec=EXACT_WINDOW_SEC)
+    return r.select("event_id", "scope", "called", "failed", "breaker_open")
+
+
 def q_stream_history(spark, sf):
     r = J.stream_history(spark, read(spark, sf, "conversations"), 4)
     return r.select("conv_id", "turn", "history_size", "oldest_turn")
@@ -57,6 +73,7 @@ def q_stream_sessions(spark, sf):
 
 
 QUERIES = {
+    "circuit_exact": q_circuit_exact,
     "stream_sessions": q_stream_sessions,
     "stream_ingest": q_stream_ingest,
     "stream_budget": q_stream_budget,
@@ -82,6 +99,34 @@ def o_stream_rate():
         FROM events GROUP BY user_id, date_trunc('minute', ts)"""
 
 
+def _breaker_sql(scope, window_sec):
+    """The breaker call by call: a recursion over the failures that could count, then the calls they close."""
+    w = window_sec * 1_000_000
+    kept = f"list_filter(r.kept, lambda x: f.us - x < {w})"
+    return f"""
+        WITH RECURSIVE calls AS (SELECT event_id, epoch_us(ts) AS us, {scope} AS scope, event_type = 'error' AS failed FROM events),
+        f AS (SELECT scope, us, event_id, row_number() OVER (PARTITION BY scope ORDER BY us, event_id) AS k FROM calls WHERE failed),
+        r(scope, k, kept, us, event_id, counts) AS (
+          SELECT DISTINCT scope, cast(0 AS BIGINT), cast([] AS BIGINT[]), cast(NULL AS BIGINT), cast(NULL AS BIGINT), false FROM f
+          UNION ALL
+          SELECT r.scope, f.k, CASE WHEN len({kept}) < {C.BREAKER_FAILURES} THEN list_append({kept}, f.us) ELSE {kept} END,
+                 f.us, f.event_id, len({kept}) < {C.BREAKER_FAILURES}
+          FROM r JOIN f ON f.scope = r.scope AND f.k = r.k + 1),
+        o AS (SELECT c.event_id, c.scope, c.failed, count(a.us) >= {C.BREAKER_FAILURES} AS breaker_open
+              FROM calls c LEFT JOIN (SELECT * FROM r WHERE counts) a
+                ON a.scope = c.scope AND a.us > c.us - {w} AND (a.us < c.us OR (a.us = c.us AND a.event_id < c.event_id))
+              GROUP BY c.event_id, c.scope, c.failed)"""
+
+
+def o_circuit_exact():
+    scope = "CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END"
+    return _breaker_sql(scope, EXACT_WINDOW_SEC) + " SELECT event_id, scope, NOT breaker_open AS called, failed AND NOT breaker_open AS failed, breaker_open FROM o"
+
+
+def o_stream_circuit():
+    return _breaker_sql("'global'", C.BREAKER_WINDOW_SEC) + " SELECT event_id, NOT breaker_open AS called, failed AND NOT breaker_open AS failed, breaker_open FROM o"
+
+
 def o_stream_history():
     return """
         SELECT conv_id, turn, cast(least(row_number() OVER w, 4) AS BIGINT) AS history_size,
@@ -100,4 +145,6 @@ ORACLE = {
     "stream_budget_windows": o_stream_budget_windows,
     "stream_rate": o_stream_rate,
     "stream_history": o_stream_history,
+    "stream_circuit": o_stream_circuit,
+    "circuit_exact": o_circuit_exact,
 }

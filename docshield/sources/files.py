@@ -20,6 +20,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/docshield-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: later reads see the same rows, and the lineage ends in files."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_document_files(spark: SparkSession, path: str, max_bytes: int = C.MAX_INGEST_BYTES,
                         extensions=tuple(C.ALLOWED_EXTENSIONS)) -> DataFrame:
     """Every file under ``path`` with an accept/reject decision.

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docshield import constants as C
+from docshield.operators import breaker
 from docshield.operators import chunking as CH
 from docshield.operators import ingest as I
-from docshield.sources.files import scratch_path
+from docshield.sources.files import cut, scratch_path
 
 
 def stage_in_order(df: DataFrame, path: str, order_col: str, n_files: int = 4) -> None:
@@ -172,55 +173,29 @@ def stream_rate(spark: SparkSession, events: DataFrame, limit: int, window: str
 BREAKER_OUT = "event_id long, scope string, called boolean, failed boolean, breaker_open boolean"
 
 
-def _breaker_fn(threshold: int, window_sec: int):
-    def fn(key, pdfs, state: GroupState):
-        fails = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-        out = []
-        for r in rows.itertuples(index=False):
-            t = r.ts.value // 1000  # micros
-            fails = [f for f in fails if t - f < window_sec * 1_000_000]
-            is_open = len(fails) >= threshold
-            failed = bool(r.failed) and not is_open   # calls are not made while open
-            if failed:
-                fails.append(t)
-            out.append((r.event_id, key[0], not is_open, failed, is_open))
-        state.update((fails,))
-        yield pd.DataFrame(out, columns=["event_id", "scope", "called", "failed", "breaker_open"])
-    return fn
-
-
 def stream_circuit(spark: SparkSession, calls: DataFrame, threshold: int = C.BREAKER_FAILURES,
                    window_sec: int = C.BREAKER_WINDOW_SEC) -> DataFrame:
-    """ST4: failure times of the trailing window in keyed state; a call made
-    while the breaker is open is not attempted and so cannot fail."""
+    """ST4: a call made while the breaker is open is not attempted and so cannot fail.
+
+    Each micro-batch is replayed by ``operators.breaker`` from what the batch before
+    remembers: at most ``threshold`` failures for each scope, written beside its result.
+    A repeated batch overwrites both with the same rows."""
     src = scratch_path(spark, "breaker-src")
     out = scratch_path(spark, "breaker-out")
     c = calls.select("event_id", "scope", "ts", "failed")
     stage_in_order(c, src, "ts")
     s = _stream(spark, src, c.schema)
-    res = s.groupBy("scope").applyInPandasWithState(
-        _breaker_fn(threshold, window_sec), BREAKER_OUT, "fails array<long>", "append", GroupStateTimeout.NoTimeout)
-    q = (res.writeStream.format("parquet").option("path", f"{out}/data")
-         .option("checkpointLocation", f"{out}/_checkpoint").outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema(BREAKER_OUT).parquet(f"{out}/data")
-
-
-def replay_breaker_batch(calls_pdf: pd.DataFrame, threshold: int = C.BREAKER_FAILURES,
-                         window_sec: int = C.BREAKER_WINDOW_SEC) -> pd.DataFrame:
-    """Reference replay on a small fixture (tests only)."""
-    out = []
-    for scope, g in calls_pdf.groupby("scope"):
-        out.extend(next(_breaker_fn(threshold, window_sec)((scope,), iter([g]), _NoState())).itertuples(index=False))
-    return pd.DataFrame(out, columns=["event_id", "scope", "called", "failed", "breaker_open"])
 
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        entry = batch.sparkSession.read.parquet(f"{out}/state/batch={batch_id - 1}") if batch_id else None
+        result, ended = breaker.replay(batch, cut, entry, threshold, window_sec)
+        result.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+        ended.withColumnRenamed("exit", "entry").write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")
 
-class _NoState:
-    exists = False
-
-    def update(self, v):
-        pass
+    q = (s.writeStream.foreachBatch(sink).option("checkpointLocation", f"{out}/_checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(BREAKER_OUT + ", batch int").parquet(f"{out}/data").drop("batch")
 
 
 # ---------------------------------------------------------------------------

@@ -56,15 +56,60 @@ def test_stream_ingest_equals_batch(spark):
     assert s == b
 
 
+def _breaker_by_hand(rows, threshold=5, window=60):
+    """(event_id, called, failed, open), call by call."""
+    out, kept = [], {}
+    for i, ts, scope, failed in sorted(rows, key=lambda r: (r[1], r[0])):
+        own = kept[scope] = [t for t in kept.get(scope, []) if (ts - t).total_seconds() < window]
+        is_open = len(own) >= threshold
+        if failed and not is_open:
+            own.append(ts)
+        out.append((i, not is_open, bool(failed and not is_open), is_open))
+    return sorted(out)
+
+
+BREAKER_SCHEMA = "event_id long, ts timestamp, scope string, failed boolean"
+
+
 def test_stream_breaker_matches_replay(spark):
     from datetime import datetime, timedelta
-    from docshield.streaming.jobs import replay_breaker_batch, stream_circuit
+    from docshield.streaming.jobs import stream_circuit
     t0 = datetime(2024, 1, 1)
     rows = [(i, t0 + timedelta(seconds=7 * i), "g", i % 3 != 0) for i in range(60)]
-    df = spark.createDataFrame(rows, "event_id long, ts timestamp, scope string, failed boolean")
-    got = {tuple(r) for r in stream_circuit(spark, df).select("event_id", "called", "failed", "breaker_open").collect()}
-    want = replay_breaker_batch(pd.DataFrame(rows, columns=["event_id", "ts", "scope", "failed"]))
-    assert got == {(int(a), bool(b), bool(c), bool(d)) for a, _, b, c, d in want.itertuples(index=False)}
+    got = stream_circuit(spark, spark.createDataFrame(rows, BREAKER_SCHEMA)).select("event_id", "called", "failed", "breaker_open").collect()
+    assert sorted(tuple(r) for r in got) == _breaker_by_hand(rows)
+
+
+def test_breaker_replay_over_many_tasks(spark):
+    """One outage without a quiet gap over several tasks, quiet logs, ties in time, other scopes, null scopes and flags."""
+    import random
+    from datetime import datetime, timedelta
+    from docshield.operators import breaker
+    from docshield.sources.files import cut
+    r, t0 = random.Random(5), datetime(2024, 1, 1)
+    rows = [(i, t0 + timedelta(seconds=r.randrange(4000)), "hot", r.random() < 0.9) for i in range(1500)]
+    rows += [(5000 + i, t0 + timedelta(seconds=200 * i + r.randrange(30)), "quiet", True) for i in range(60)]
+    rows += [(6000 + i, t0 + timedelta(seconds=r.randrange(9000)), r.choice(["a", "b", None]), r.choice([True, True, False, None])) for i in range(900)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        out, _ = breaker.replay(spark.createDataFrame(rows, BREAKER_SCHEMA), cut)
+        got = sorted(tuple(x) for x in out.select("event_id", "called", "failed", "breaker_open").collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = _breaker_by_hand([(i, t, s, bool(f)) for i, t, s, f in rows])
+    assert got == want and sum(x[3] for x in want) > 500
+
+
+def test_breaker_without_failures_and_without_calls(spark):
+    from datetime import datetime
+    from docshield.operators import breaker
+    from docshield.sources.files import cut
+    out, ended = breaker.replay(spark.createDataFrame([(1, datetime(2024, 1, 1), "g", False), (2, None, "g", True)], BREAKER_SCHEMA), cut)
+    assert sorted(tuple(x) for x in out.collect()) == [(1, "g", True, False, False), (2, "g", True, True, False)] and ended.count() == 0
+    assert breaker.replay(spark.createDataFrame([], BREAKER_SCHEMA), cut)[0].count() == 0
 
 
 def test_late_rows_dropped_by_watermark(spark):
