@@ -37,16 +37,38 @@ def check_claims(claims: DataFrame, principals: DataFrame) -> DataFrame:
                     F.array_sort(extra).alias("ungranted_roles"))
 
 
-def canary_join(texts: DataFrame, tokens: DataFrame, text_col: str = "response") -> DataFrame:
-    """(text row, token) pairs where the token occurs in the text.
+GRAM = 8  # characters of a token's key; shorter tokens are their own key
 
-    The token table is configuration (a handful of rows); its size is
-    checked before it is broadcast into a nested-loop containment join.
+
+def grams(text: Column, n: int) -> Column:
+    """The distinct runs of n characters of a text, found by looking ahead from every place (``substring`` would count from the start each time)."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
+def token_keys(tokens: DataFrame, n: int = GRAM) -> DataFrame:
+    """(token, gram): each distinct token with the one of its grams that the fewest tokens have, so that tokens which
+    begin alike are told apart by what differs."""
+    t = tokens.select("token").where(F.length("token") > 0).distinct()
+    each = t.select("token", F.explode(F.when(F.length("token") < n, F.array("token")).otherwise(grams(F.col("token"), n))).alias("gram"))
+    often = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return each.join(often, "gram").groupBy("token").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+
+
+def canary_join(texts: DataFrame, tokens: DataFrame, text_col: str = "response", key: str = "query_id") -> DataFrame:
+    """(text row, token) pairs where the token occurs in the text, for token tables of any size.
+
+    A token stands under its rarest gram; the grams of the texts meet these by an equi-join,
+    and only texts that hold a token's gram are searched for it.  The texts themselves are
+    joined once, to their candidates.  Null texts and empty or null tokens give no pairs; a repeated
+    token is one token; rows that share ``key`` are searched for the candidates of all of them.
     """
-    n = bounded_rows(tokens, BROADCAST_MAX_DICT)
-    if n > BROADCAST_MAX_DICT:
-        raise ValueError("token table too large for a containment join; use an n-gram key instead")
-    return texts.join(F.broadcast(tokens), F.contains(F.col(text_col), F.col("token")))
+    keys = token_keys(tokens)
+    sizes = sorted(r[0] for r in keys.select(F.length("gram").alias("n")).distinct().collect())  # GRAM numbers at most
+    if not sizes:
+        return texts.withColumn("token", F.lit(None).cast("string")).where("false")
+    text = F.col(text_col)
+    found = texts.select(F.col(key).alias("_key"), F.explode(F.concat(*(grams(text, n) for n in sizes))).alias("gram")).join(keys, "gram").select("_key", "token").distinct()
+    return texts.join(found, F.col(key).eqNullSafe(F.col("_key"))).where(F.contains(text, F.col("token"))).drop("_key")
 
 
 def word_ngrams(text: Column, sizes) -> Column:

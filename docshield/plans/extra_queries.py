@@ -17,6 +17,7 @@ from docshield.oracle.fixtures import with_ctes
 from docshield.plans import ingest_queries as IQ
 from docshield.sources import fixtures as FX
 from docshield.sources import files as FS
+from docshield.sources.tables import read
 
 CLAIM_EXTRA = [("x1", 7, "tenant_3", ["admin"]), ("x2", 8, "tenant_1", ["manager"]), ("x3", 999999, "tenant_0", ["employee"])]
 VAULT_KEY = "0123456789abcdef0123456789abcdef"
@@ -49,6 +50,17 @@ def q_canary_join(spark, sf):
     return j.select("query_id", "token")
 
 
+#: Characters of a benchmark text that mark a document as holding it.
+OPENING = 24
+
+
+def q_canary_index(spark, sf):
+    """Documents that hold the opening of a benchmark text: the containment join with a token table that grows."""
+    tokens = read(spark, sf, "benchmark").select(F.substring("text", 1, OPENING).alias("token"))
+    j = RQ.canary_join(read(spark, sf, "documents").select("doc_id", "text"), tokens, "text", "doc_id")
+    return j.select("doc_id", "token")
+
+
 def _gazetteer(spark):
     return spark.createDataFrame([(n, "PERSON") for n in FX.PERSON_NAMES], "name string, entity_type string")
 
@@ -119,6 +131,7 @@ QUERIES = {
     "query_validate": q_query_validate,
     "claim_check": q_claim_check,
     "canary_join": q_canary_join,
+    "canary_index": q_canary_index,
     "gazetteer_pii": q_gazetteer_pii,
     "flatten_schema": q_flatten_schema,
     "doc_source_gate": q_doc_source_gate,
@@ -164,6 +177,12 @@ def o_canary_join():
         ON contains(a.response, t.token)""")
 
 
+def o_canary_index():
+    return f"""
+        SELECT d.doc_id, t.token FROM documents d JOIN (SELECT DISTINCT substr(text, 1, {OPENING}) AS token FROM benchmark WHERE text <> '') t
+        ON contains(d.text, t.token)"""
+
+
 def o_gazetteer_pii():
     # every word-wrapped occurrence of the name that is the name alone
     names = ", ".join(f"({S.q(n)})" for n in FX.PERSON_NAMES)
@@ -198,6 +217,7 @@ ORACLE = {
     "query_validate": o_query_validate,
     "claim_check": o_claim_check,
     "canary_join": o_canary_join,
+    "canary_index": o_canary_index,
     "gazetteer_pii": o_gazetteer_pii,
     "flatten_schema": o_flatten_schema,
 }

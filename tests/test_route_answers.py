@@ -57,3 +57,23 @@ def test_checksum_matches_python(spark):
     ts = datetime(2024, 1, 1, 0, 5, tzinfo=timezone.utc)
     want = hashlib.sha256(f"tru1{hashlib.sha256(b'q').hexdigest()}{ts.isoformat()}".encode()).hexdigest()
     assert got == want
+
+
+def test_canary_join_equals_containment(spark):
+    """Tokens of any length and script against plain containment: shared beginnings, repeats, nulls, empties, shared keys."""
+    import random
+    from docshield.operators import requests as RQ
+    r = random.Random(2)
+    tokens = ["CANARY-%06d" % k for k in range(0, 3000, 7)] + ["é", "ab", "longer token with ü and 😀", "aaaaaaaa", "aaaaaaaaaaaa", "", None, "ab", "CANARY-", "abcdefg", "abcdefgh"]
+    texts = [(k % 90, " ".join(r.choice(["x", "a" * r.randrange(30), "CANARY-%06d" % r.randrange(3000), "abcdefgh"[:r.randrange(9)], "é!", "longer token with ü and 😀?"]) for _ in range(r.randrange(9)))) for k in range(100)]
+    texts += [(None, "CANARY-000007"), (100, None), (101, "")]
+    got = RQ.canary_join(spark.createDataFrame(texts, "query_id long, response string"), spark.createDataFrame([(t,) for t in tokens], "token string"))
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    want = sorted(((i, x, t) for i, x in texts if x is not None for t in {t for t in tokens if t} if t in x), key=str)
+    assert sorted((tuple(x) for x in got.select("query_id", "response", "token").collect()), key=str) == want and len(want) > 50
+
+
+def test_canary_join_without_tokens(spark):
+    from docshield.operators import requests as RQ
+    got = RQ.canary_join(spark.createDataFrame([(1, "x")], "query_id long, response string"), spark.createDataFrame([("",)], "token string"))
+    assert got.columns == ["query_id", "response", "token"] and got.count() == 0
