@@ -10,12 +10,10 @@ components of the links.
 
 Exact copies collapse to the smallest doc_id before sketching.  Inside a bucket every
 member is first compared with the bucket's smallest member and with the one that shares
-most buckets (stars).  Where this leaves a bucket in two or more components, all pairs of
-its members from different components are settled without loss: they meet on a prefix of
-their rarest labelled shingles, which any two with similarity 0.8 have in common, at places
-that the band allows, and the same alignment verifies them.  So the components are those
-of all candidate pairs.  At similarity 0.8 one sketch agrees with probability 0.64 or so,
-none of 16 with 1e-7.
+most buckets (stars).  Where this leaves a bucket in two or more components, every pair of
+its members from different components is tried, in cells of bounded size, until links
+found on the way have joined them.  So the components are those of all candidate pairs.
+At similarity 0.8 one sketch agrees with probability 0.64 or so, none of 16 with 1e-7.
 
 Defined cases: words are `[^\\x20\\x09-\\x0D]+`; a text of one to four words is one
 shingle; a null, empty or blank text is never a near copy of another (each is its own
@@ -37,8 +35,8 @@ from docshield.llm.common import SPACED, cut, mix, spans, steps, utf8, word_hash
 SHINGLE = 5
 SKETCHES = 16
 SIMILARITY = 0.8
-SLOTS = 1 << 18  # counters that order the shingles by rarity; any order is exact
-SALT = 256  # members of a hot shingle that one task compares with the others
+CELL = 1024  # members of a block of a bucket that is settled pair by pair
+CELL_BYTES = 16 << 20  # and their texts
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -135,51 +133,62 @@ def _stars(members: DataFrame) -> DataFrame:
     return pairs.where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def _slots(batches):
-    for b in steps(batches):
-        found = _shingled(b.column("text"))
-        slot, n = np.unique(np.concatenate(found) % np.uint64(SLOTS), return_counts=True) if found else (np.empty(0), np.empty(0))
-        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(n.astype(np.int64))], ["slot", "n"])
-
-
-def _prefixes(often: np.ndarray):
-    """Each document's rarest shingles: of two documents with similarity SIMILARITY or more, the rarest shingle of their
-    chain is in both prefixes, as a chain leaves at most 1 - SIMILARITY of either's shingles out."""
-    def run(batches):
-        for b in steps(batches):
-            found, rows, keys, places, sizes = _shingled(b.column("text")), [], [], [], []
-            for k, h in enumerate(found):
-                n = len(h)
-                size = n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1
-                at = np.lexsort((h, often[(h % np.uint64(SLOTS)).astype(np.int64)]))[:size] if n else np.empty(0, np.int64)
-                rows.append(np.full(len(at), k))
-                keys.append(h[at])
-                places.append(at)
-                sizes.append(np.full(len(at), n))
-            row, key, place, size = (np.concatenate([np.empty(0, np.int64), *x]) if x is not keys else np.concatenate([np.empty(0, np.uint64), *x]) for x in (rows, keys, places, sizes))
-            row = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column("id").take(row), b.column("label").take(row), pa.array(key.view(np.int64)), pa.array(place), pa.array(size)], ["id", "label", "key", "place", "size"])
-    return run
-
-
-def _unsettled(texts: DataFrame) -> DataFrame:
-    """(a, b), a < b: the pairs of ``texts`` (id, text, label) with different labels that may have similarity SIMILARITY or more; none is left out."""
-    counted = texts.select("text").mapInArrow(_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
-    often = np.zeros(SLOTS, np.int64)
-    often[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
-    entries = cut(texts.mapInArrow(_prefixes(often), "id long, label long, key long, place long, size long"))
-    # pairs inside a key's largest label are never made: one side of each pair is of another label
-    each = entries.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most")).where("labels > 1")
-    hot = each.select("key", F.col("most.label").alias("main"), F.floor((F.col("all") - F.col("most.n")) / SALT).cast("int").alias("last"))
-    held = entries.join(hot, "key")
-    left = held.where("label <> main").select("key", "main", F.pmod(F.xxhash64("id"), F.col("last") + 1).cast("int").alias("salt"), *(F.col(c).alias(f"{c}_x") for c in ("id", "label", "place", "size")))
-    right = held.withColumn("salt", F.explode(F.sequence(F.lit(0), "last"))).select("key", "salt", *(F.col(c).alias(f"{c}_y") for c in ("id", "label", "place", "size")))
-    size = F.col("size_x") + F.col("size_y")
-    band = size * (1 - 2 * SIMILARITY / (1 + SIMILARITY))
-    near = (F.col("label_x") != F.col("label_y")) & ((F.col("label_y") == F.col("main")) | (F.col("id_x") < F.col("id_y"))) & (
-        F.least("size_x", "size_y") >= SIMILARITY * F.greatest("size_x", "size_y") - 1e-9) & (F.abs(F.col("place_x") - F.col("place_y")) <= band + 1e-9)
-    return left.join(right, ["key", "salt"]).where(near).select(
-        F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+def _cell(batches):
+    """Links that join components inside each cell of a bucket; rows of a cell come together."""
+    cell, held = None, []
+
+    def settle():
+        sketch, _, low, high = cell
+        ids = np.array([r["id"] for r in held], np.int64)
+        component = np.array([r["label"] for r in held], np.int64)
+        own = np.array([r["own"] for r in held])
+        keys = np.array([r["keys"] for r in held], np.int64)
+        shingles = _shingled(pa.array([r["text"] for r in held]))
+        size = np.array([len(x) for x in shingles])
+        found = []
+        for i in range(len(held)):
+            if low != high and own[i] != low:
+                continue
+            open_ = component != component[i]
+            if low == high:
+                open_[:i + 1] = False
+            else:
+                open_ &= own == high
+            open_ &= np.minimum(size, size[i]) >= SIMILARITY * np.maximum(size, size[i]) - 1e-9
+            open_ &= ~(keys[:, :sketch] == keys[i, :sketch]).any(axis=1)  # a pair is tried in the first bucket it shares
+            for j in np.flatnonzero(open_):
+                if component[j] != component[i] and (sim := similarity(shingles[i], shingles[j])) >= SIMILARITY:
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j]), sim))
+                    component[component == component[j]] = component[i]
+        a, b, sim = zip(*found, strict=True) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sim, pa.float64())], ["a", "b", "similarity"])
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            at = (r["sketch"], r["key"], r["low"], r["high"])
+            if at != cell:
+                if held:
+                    yield settle()
+                cell, held = at, []
+            held.append(r)
+    if held:
+        yield settle()
+
+
+def _settled(named: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b, similarity) that join what the stars left apart: in each bucket of ``named`` (sketch, key, id, label) every pair of members from
+    different components is tried, unless links found on the way have joined them.  ``texts`` has id, text, keys.
+
+    A bucket's members are dealt to blocks of bounded number and size, and each pair of blocks is a cell, so a large bucket is spread over
+    many tasks and no row is made for a pair that is only tried."""
+    sized = named.join(texts.select("id", F.octet_length("text").alias("bytes")), "id")
+    blocks = F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("bytes") / CELL_BYTES)).cast("int")
+    many = sized.groupBy("sketch", "key").agg(blocks.alias("blocks"))
+    dealt = named.join(many, ["sketch", "key"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select("sketch", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "label", "own").join(texts, "id")
+    order = ["sketch", "key", "low", "high"]
+    return cut(cells.repartition(*order).sortWithinPartitions(*order, "id").mapInArrow(_cell, "a long, b long, similarity double"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -205,7 +214,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def links(texts: DataFrame) -> DataFrame:
-    """Verified pairs (a, b, similarity) of ``texts`` (id, text: distinct)."""
+    """Verified pairs (a, b, similarity) of ``texts`` (id, text: distinct), enough to join all candidate pairs' components."""
     sketched = cut(texts.mapInArrow(_sketch, "id long, keys array<long>"))
     members = cut(_members(sketched.select("id", F.posexplode("keys").alias("sketch", "key"))))
     pairs = cut(_stars(members))
@@ -221,11 +230,12 @@ def links(texts: DataFrame) -> DataFrame:
     label = components(linked)
     named = members.select("id", "sketch", "key").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     open_ = named.groupBy("sketch", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("sketch", "key")
-    left = cut(named.join(open_, ["sketch", "key"], "left_semi").select("id", "label").distinct())
+    left = cut(named.join(open_, ["sketch", "key"], "left_semi"))
     if left.isEmpty():
         return linked
-    rest = verified(_unsettled(held.join(left, "id")).join(pairs, ["a", "b"], "left_anti"))
-    return linked.unionByName(rest.where(F.col("similarity") >= SIMILARITY))
+    ids = left.select("id").distinct()
+    texts = cut(held.join(ids, "id", "left_semi").join(sketched, "id"))
+    return linked.unionByName(_settled(left, texts))
 
 
 def classes(docs: DataFrame) -> DataFrame:

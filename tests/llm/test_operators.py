@@ -197,7 +197,9 @@ def test_chat_rotation(spark):
             at += r.length
 
 
-def test_near_duplicates_equal_brute_force_on_hubs_and_chains(spark):
+@pytest.mark.parametrize("cell", [1024, 8])
+def test_near_duplicates_equal_brute_force_on_hubs_and_chains(spark, monkeypatch, cell):
+    monkeypatch.setattr(neardup, "CELL", cell)  # whole buckets, and buckets dealt to cells
     rng = np.random.default_rng(5)
 
     def changed(words, count, tag):
