@@ -80,24 +80,29 @@ def route_with_guard(queries: DataFrame, guard: DataFrame, text_col: str = "quer
 
 def two_pass(queries: DataFrame, scores: DataFrame, rewrites: DataFrame | None = None,
              fail_closed: bool = True) -> DataFrame:
-    """Route the raw query, then the standalone rewrite; the first block
-    wins.  ``rewrites(query_id, standalone_query)`` is the model's rewrite;
-    a missing rewrite means the raw query."""
-    q = queries
+    """Route the raw query, then the standalone rewrite; the first block wins.
+
+    ``rewrites(query_id, standalone_query, top_label, top_score)`` is the model's rewrite
+    with the classifier's answer for that text: the second pass judges the rewrite by
+    its own score, and a rewrite without one by the fail-closed rule.  A
+    missing rewrite means the raw query, whose score then holds for both passes."""
+    q, s = queries, scores.select("query_id", "top_label", "top_score", F.lit(True).alias("_has"))
     if rewrites is not None:
-        q = q.join(rewrites.select("query_id", "standalone_query"), "query_id", "left")
+        scored = "top_label" in rewrites.columns
+        own = [F.col(c) if scored else F.lit(None).cast(t) for c, t in (("top_label", "string"), ("top_score", "double"))]
+        q = q.join(rewrites.select("query_id", "standalone_query", own[0].alias("_label"), own[1].alias("_score")), "query_id", "left")
     else:
-        q = q.withColumn("standalone_query", F.lit(None).cast("string"))
-    q = q.withColumn("standalone_query", F.coalesce("standalone_query", "query"))
-    s = scores.select("query_id", "top_label", "top_score", F.lit(True).alias("_has"))
-    j = q.join(s, "query_id", "left")
+        q = q.withColumns({"standalone_query": F.lit(None).cast("string"), "_label": F.lit(None).cast("string"), "_score": F.lit(None).cast("double")})
+    j = q.join(s, "query_id", "left").withColumn("_own", F.col("standalone_query").isNotNull()).withColumn("standalone_query", F.coalesce("standalone_query", "query"))
     has = F.coalesce("_has", F.lit(False))
     raw = decide_scores(F.col("query"), F.col("top_label"), F.col("top_score"), has, fail_closed)
-    second = decide_scores(F.col("standalone_query"), F.col("top_label"), F.col("top_score"), has, fail_closed)
+    of_rewrite = lambda mine, other: F.when(F.col("_own"), mine).otherwise(other)
+    second = decide_scores(F.col("standalone_query"), of_rewrite(F.col("_label"), F.col("top_label")), of_rewrite(F.col("_score"), F.col("top_score")),
+                           of_rewrite(F.col("_label").isNotNull() & F.col("_score").isNotNull(), has), fail_closed)
     j = j.withColumn("raw_route", raw).withColumn("second_route", second)
     blocked_raw = F.col("raw_route.action") == "block"
     final = F.when(blocked_raw, F.col("raw_route")).otherwise(F.col("second_route"))
     stage = F.when(blocked_raw, "raw").when(F.col("second_route.action") == "block", "rephrased")
     return j.withColumn("route", final).withColumn("blocked_at", stage) \
         .withColumn("safe_query", F.when(F.col("route.action") != "block", F.col("standalone_query"))) \
-        .drop("top_label", "top_score", "_has")
+        .drop("top_label", "top_score", "_has", "_label", "_score", "_own")

