@@ -9,12 +9,14 @@ from docshield import constants as C
 from docshield.operators import analytics as AN
 from docshield.operators import chunking as CH
 from docshield.operators import ingest as I
+from docshield.operators import tamper as TA
 from docshield.oracle import sql as S
 from docshield.oracle.fixtures import with_ctes
 from docshield.plans import ingest_queries as IQ
 from docshield.plans import pipeline as P
 from docshield.plans import pipeline_queries as PQ
 from docshield.sources import fixtures as FX
+from docshield.sources.files import cut
 from docshield.sources.tables import read
 
 EVENT_BUDGET = 5            # events hold at most 10 per user-day (FIXTURES §1)
@@ -209,6 +211,31 @@ def q_rate_limit(spark, sf):
     return ref.join(tight, "event_id")
 
 
+def _sealed_log(spark, sf):
+    """The events as an audit log, and the same log after some rows were changed, moved, removed and added."""
+    e = _events(spark, sf)
+    log = e.select(F.col("event_id").alias("id"), F.sha2(F.concat(F.lit("trace|"), F.col("event_id").cast("string")), 256).alias("trace_id"), "user_id",
+                   F.concat(F.lit("tenant_"), (F.col("user_id") % 4).cast("string")).alias("tenant_id"), F.col("event_type").alias("query"), F.col("ts").alias("timestamp"))
+    k = F.col("id")
+    kept = log.where(k % 1009 != 7).withColumns({
+        "user_id": F.when(k % 997 == 5, F.col("user_id") + 1).otherwise(F.col("user_id")),
+        "timestamp": F.when(k % 1511 == 3, F.col("timestamp") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("timestamp"))})
+    return log, kept.unionByName(log.where(k % 2003 == 11).withColumn("id", -k - 1))
+
+
+def q_audit_tamper(spark, sf):
+    log, later = _sealed_log(spark, sf)
+    sealed = cut(TA.checksums(log))
+    return TA.tampered(sealed, cut(TA.tree(sealed, cut)), later, cut).select("id", "kind")
+
+
+def q_audit_proof(spark, sf):
+    log, later = _sealed_log(spark, sf)
+    sealed = cut(TA.checksums(log))
+    nodes = cut(TA.tree(sealed, cut))
+    return TA.verified(later, TA.proofs(sealed, nodes), nodes.where("level = 0")).select("id", "included")
+
+
 def q_audit_retention(spark, sf):
     e = AN.retention(_events(spark, sf), "ts", RETENTION_AS_OF)
     return e.select("event_id", "retained")
@@ -243,6 +270,8 @@ QUERIES = {
     "dp_budget_daily": q_dp_budget_daily,
     "rate_limit": q_rate_limit,
     "audit_retention": q_audit_retention,
+    "audit_tamper": q_audit_tamper,
+    "audit_proof": q_audit_proof,
     "reingest_dups": q_reingest_dups,
 }
 
@@ -452,6 +481,27 @@ bud AS (SELECT event_id, ts, user_id, row_number() OVER (PARTITION BY user_id, c
         FROM events)"""
 
 
+def _sealed_ctes():
+    return """
+        WITH log AS (SELECT event_id AS id, user_id, event_type AS query, ts FROM events),
+        later AS (SELECT id, user_id + CASE WHEN id % 997 = 5 THEN 1 ELSE 0 END AS user_id, query,
+                         ts + CASE WHEN id % 1511 = 3 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS ts FROM log WHERE id % 1009 <> 7
+                  UNION ALL SELECT -id - 1, user_id, query, ts FROM log WHERE id % 2003 = 11)"""
+
+
+def o_audit_tamper():
+    return _sealed_ctes() + """
+        SELECT coalesce(l.id, n.id) AS id, CASE WHEN n.id IS NULL THEN 'removed' WHEN l.id IS NULL THEN 'added' ELSE 'changed' END AS kind
+        FROM log l FULL JOIN later n ON l.id = n.id
+        WHERE n.id IS NULL OR l.id IS NULL OR l.user_id <> n.user_id OR l.query <> n.query OR l.ts <> n.ts"""
+
+
+def o_audit_proof():
+    return _sealed_ctes() + """
+        SELECT n.id, l.id IS NOT NULL AND l.user_id = n.user_id AND l.query = n.query AND l.ts = n.ts AS included
+        FROM later n LEFT JOIN log l ON l.id = n.id"""
+
+
 def o_metric_totals():
     return with_ctes([], f"""
         SELECT strftime(day, '%Y-%m-%d') AS day, cast(coalesce(b.circuit_open, 0) AS BIGINT) AS circuit_open,
@@ -518,5 +568,7 @@ ORACLE = {
     "dp_budget_daily": o_dp_budget_daily,
     "rate_limit": o_rate_limit,
     "audit_retention": o_audit_retention,
+    "audit_tamper": o_audit_tamper,
+    "audit_proof": o_audit_proof,
     "reingest_dups": o_reingest_dups,
 }
