@@ -14,23 +14,34 @@ def _clean(arr: Column) -> Column:
     return F.filter(F.transform(arr, lambda x: F.trim(x)), lambda x: x != "")
 
 
+#: Strings inside strings that are parsed as JSON again: each level doubles the backslashes in front of a quote.
+QUOTED_LEVELS = 3
+
+
+def _said(x: Column) -> Column:
+    """A JSON value as the original writes it: True, False and None by their names."""
+    kind, text = F.schema_of_variant(x), F.try_variant_get(x, "$", "string")
+    return F.when(kind == "BOOLEAN", F.initcap(text)).when(kind == "VOID", "None").otherwise(text)
+
+
 def normalize_list(value) -> Column:
-    """Null → [], JSON array text → its trimmed items, else comma split.
+    """Null → [], JSON text → its items, else comma split; items are trimmed and blanks dropped.
 
-    Array columns are trimmed and blanks dropped.  Malformed JSON falls back
-    to the comma split, as a failed JSON parse does in the original.
+    A JSON array gives its items, a JSON string is normalised in turn (a quoted list, or a
+    quoted ``a, b``), JSON ``null`` is no item, and any other JSON value is one item.
+    Malformed JSON falls back to the comma split, as a failed JSON parse does in the original.
     """
-    v = _col(value)
-    s = F.trim(v.cast("string"))
-    parsed = F.from_json(s, "array<string>")
-    return (F.when(v.isNull() | (s == ""), F.array().cast("array<string>"))
-            .when(s.startswith("[") & parsed.isNotNull(), _clean(parsed))
-            .otherwise(_clean(F.split(s, ",", -1))))
+    return _normalized(F.trim(_col(value).cast("string")), QUOTED_LEVELS)
 
 
-def normalize_array(arr) -> Column:
-    a = _col(arr)
-    return F.when(a.isNull(), F.array().cast("array<string>")).otherwise(_clean(a))
+def _normalized(s: Column, levels: int) -> Column:
+    none, plain = F.array().cast("array<string>"), _clean(F.split(s, ",", -1))
+    v = F.try_parse_json(s)
+    kind = F.schema_of_variant(v)
+    quoted = _normalized(F.trim(F.try_variant_get(v, "$", "string")), levels - 1) if levels else plain
+    json = (F.when(v.isNull(), plain).when(kind == "VOID", none).when(kind == "STRING", quoted)
+            .when(kind.startswith("ARRAY"), _clean(F.transform(F.try_variant_get(v, "$", "array<variant>"), _said))).otherwise(F.array(_said(v))))
+    return F.when(s.isNull() | (s == ""), none).when(s.rlike(r'^(?:["\[{0-9-]|true$|false$|null$)'), json).otherwise(plain)
 
 
 def acl_roles_or_default(value, default=("employee",)) -> Column:

@@ -130,6 +130,20 @@ def budget_daily_counts(events: DataFrame, max_per_day: int = C.DAILY_QUERY_BUDG
     return g.withColumn("n_blocked", F.greatest(F.col("n_requests") - max_per_day, F.lit(0)))
 
 
+def rate_limit_key(user_id: Column, session_token: Column, client_ip: Column) -> Column:
+    """The identity that a limit counts: the authenticated user, else the hash of the session's token, else the client's address.
+
+    An empty token is no session; without any of the three all requests share one key."""
+    token = F.when(session_token != "", F.concat(F.lit("session:"), F.sha2(session_token, 256)))
+    return F.coalesce(F.concat(F.lit("user:"), user_id.cast("string")), token, F.concat(F.lit("ip:"), F.coalesce(client_ip, F.lit("None"))))
+
+
+def endpoint_limit(events: DataFrame, endpoint: str, key: Column, order=("ts", "event_id")) -> DataFrame:
+    """W7 at an endpoint's own limit and window (query, ingest or auth)."""
+    n, seconds = C.RATE_LIMITS[endpoint]
+    return rate_limit(events, n, f"{seconds} seconds", key, order)
+
+
 def rate_limit(events: DataFrame, limit: int, window: str, key: Column, order=("ts", "event_id"),
                bucket: str = "second") -> DataFrame:
     """Fixed-window limiter; requests beyond ``limit`` in a window are over.

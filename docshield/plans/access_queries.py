@@ -15,6 +15,7 @@ from docshield.operators.search import vector_search
 from docshield.oracle import sql as S
 from docshield.oracle.fixtures import with_ctes, LEVELS
 from docshield.sources import fixtures as FX
+from docshield.sources.files import cut
 
 ROLE_SAMPLES = [("r1", ["employee"]), ("r2", ["contractor"]), ("r3", []), ("r4", ["manager", "employee"]),
                 ("r5", ["admin", "anonymous"]), ("r6", ["superadmin"])]
@@ -75,19 +76,17 @@ def q_rbac_user_acl(spark, sf):
 
 
 def q_rbac_modes(spark, sf):
-    """R5 for all three modes from one decision pass: the returned/redacted
-    counts follow from the reason, so one aggregation is unpivoted."""
-    d = AO.rbac_decide(_global_pairs(spark, sf))
-    ok = F.col("allowed")
-    not_tenant = F.col("reason") != "tenant_boundary"
-    g = d.groupBy("query_id").agg(
-        F.count_if(ok).alias("drop_ret"), F.count_if(ok | not_tenant).alias("keep_ret"),
-        F.count_if(~ok & not_tenant).alias("red"), F.count_if(~ok).alias("n_blocked"))
-    out = g.select("query_id", "n_blocked", F.expr(
-        "stack(3, 'drop', drop_ret, 0L, 'redact', keep_ret, red, 'audit_only', keep_ret, 0L) "
-        "AS (mode, n_returned, n_redacted)"))
-    return out.select("mode", "query_id", F.col("n_returned").cast("bigint").alias("n_returned"),
-                      F.col("n_redacted").cast("bigint").alias("n_redacted"), F.col("n_blocked").cast("bigint").alias("n_blocked"))
+    """Each mode applied to the decided pairs, counted by what it returns; the decisions are made once and written."""
+    d = cut(AO.rbac_decide(_global_pairs(spark, sf)).select("query_id", "chunk_id", "reason", "allowed", "text"))
+    modes = ("drop", "redact", "audit_only")
+    kept = None
+    for mode in modes:
+        one = AO.rbac_apply(d, mode).select("query_id", F.lit(mode).alias("mode"), (F.col("text") == C.RBAC_REDACTED_TEXT).alias("hidden"))
+        kept = one if kept is None else kept.unionByName(one)
+    kept = kept.groupBy("query_id", "mode").agg(F.count(F.lit(1)).alias("n_returned"), F.count_if("hidden").alias("n_redacted"))
+    blocked = d.groupBy("query_id").agg(F.count_if(~F.col("allowed")).alias("n_blocked"))
+    out = blocked.withColumn("mode", F.explode(F.array(*(F.lit(m) for m in modes)))).join(kept, ["query_id", "mode"], "left")
+    return out.select("mode", "query_id", *(F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("n_returned", "n_redacted", "n_blocked")))
 
 
 def q_rbac_violations(spark, sf):

@@ -211,6 +211,24 @@ def q_rate_limit(spark, sf):
     return ref.join(tight, "event_id")
 
 
+#: Seconds of the log that a second of the replay holds: the log's requests, brought together until limits are reached.
+REPLAY_SPEED = 3600
+
+
+def q_rate_limit_endpoints(spark, sf):
+    """W7 for every endpoint, on the log replayed at REPLAY_SPEED: the three kinds of callers, each endpoint at its own limit."""
+    e = _events(spark, sf)
+    us = F.floor(F.unix_micros("ts") / REPLAY_SPEED)
+    e = e.select("event_id", F.timestamp_micros(us).alias("ts"), F.when(F.col("user_id") % 3 == 0, F.col("user_id")).alias("principal"),
+                 F.when(F.col("user_id") % 3 <= 1, F.concat(F.lit("token"), (F.col("user_id") % 7).cast("string"))).alias("token"), F.concat(F.lit("10.0.0."), (F.col("user_id") % 5).cast("string")).alias("ip"))
+    key = AN.rate_limit_key(F.col("principal"), F.col("token"), F.col("ip"))
+    out = None
+    for endpoint in C.RATE_LIMITS:
+        r = AN.endpoint_limit(e, endpoint, key).select("event_id", F.lit(endpoint).alias("endpoint"), F.substring_index("rl_key", ":", 1).alias("kind"), F.col("rl_n").cast("bigint").alias("n"), "over_limit")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 def _sealed_log(spark, sf):
     """The events as an audit log, and the same log after some rows were changed, moved, removed and added."""
     e = _events(spark, sf)
@@ -269,6 +287,7 @@ QUERIES = {
     "dp_budget": q_dp_budget,
     "dp_budget_daily": q_dp_budget_daily,
     "rate_limit": q_rate_limit,
+    "rate_limit_endpoints": q_rate_limit_endpoints,
     "audit_retention": q_audit_retention,
     "audit_tamper": q_audit_tamper,
     "audit_proof": q_audit_proof,
@@ -532,6 +551,18 @@ def o_rate_limit():
         FROM events""")
 
 
+def o_rate_limit_endpoints():
+    each = " UNION ALL ".join(f"""
+        SELECT event_id, '{name}' AS endpoint, split_part(key, ':', 1) AS kind,
+               cast(row_number() OVER (PARTITION BY key, us // {sec * 1_000_000} ORDER BY us, event_id) AS BIGINT) AS n,
+               row_number() OVER (PARTITION BY key, us // {sec * 1_000_000} ORDER BY us, event_id) > {n} AS over_limit FROM k""" for name, (n, sec) in C.RATE_LIMITS.items())
+    return f"""
+        WITH k AS (SELECT event_id, epoch_us(ts) // {REPLAY_SPEED} AS us,
+                          CASE WHEN user_id % 3 = 0 THEN 'user:' || user_id WHEN user_id % 3 = 1 THEN 'session:' || sha256('token' || user_id % 7)
+                               ELSE 'ip:10.0.0.' || user_id % 5 END AS key FROM events)
+        {each}"""
+
+
 def o_audit_retention():
     return with_ctes([], f"""
         SELECT event_id, ts >= TIMESTAMP '{RETENTION_AS_OF}' - INTERVAL {C.RETENTION_DAYS} DAY AS retained FROM events""")
@@ -567,6 +598,7 @@ ORACLE = {
     "dp_budget": o_dp_budget,
     "dp_budget_daily": o_dp_budget_daily,
     "rate_limit": o_rate_limit,
+    "rate_limit_endpoints": o_rate_limit_endpoints,
     "audit_retention": o_audit_retention,
     "audit_tamper": o_audit_tamper,
     "audit_proof": o_audit_proof,

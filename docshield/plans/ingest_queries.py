@@ -146,7 +146,11 @@ def q_acl_roles_norm(spark, sf):
     return d.select("doc_id", F.array_join(L.acl_roles_or_default("acl_roles"), ",").alias("acl_roles"))
 
 
-LIST_SAMPLES = ['["employee", "manager"]', "employee, manager", None, "[bad", "  ", '[" a ", ""]', "x,,y"]
+LIST_SAMPLES = ['["employee", "manager"]', "employee, manager", None, "[bad", "  ", '[" a ", ""]', "x,,y",
+                "null", '"a, b"', '"null"', '"[\\"q\\", \\"r\\"]"', "42", "true", "[1, true, null]", '" "', "nullable, 4x", '"open']
+#: What these come to, item by item.
+LIST_ITEMS = [["employee", "manager"], ["employee", "manager"], [], ["[bad"], [], ["a"], ["x", "y"],
+              [], ["a", "b"], [], ["q", "r"], ["42"], ["True"], ["1", "True", "None"], [], ["nullable", "4x"], ['"open']]
 
 
 def q_list_meta_norm(spark, sf):
@@ -347,11 +351,11 @@ def o_acl_roles_norm():
 
 
 def o_list_meta_norm():
-    vals = ", ".join(f"('s{i}', {S.q(v) if v is not None else 'NULL'})" for i, v in enumerate(LIST_SAMPLES))
-    n = S.normalize_list("raw")
+    vals = ", ".join(f"('s{i}', {S.q('|'.join(v))}, {len(v)})" for i, v in enumerate(LIST_ITEMS))
+    n = S.normalize_list("acl_roles")
     return with_ctes(["docs_raw"], f"""
-        SELECT k, array_to_string({n}, '|') AS items, cast(len({n}) AS BIGINT) AS n_items
-        FROM (SELECT doc_id AS k, acl_roles AS raw FROM docs_raw UNION ALL SELECT * FROM (VALUES {vals}) v(k, raw))""")
+        SELECT doc_id AS k, array_to_string({n}, '|') AS items, cast(len({n}) AS BIGINT) AS n_items FROM docs_raw
+        UNION ALL SELECT k, items, cast(n AS BIGINT) FROM (VALUES {vals}) v(k, items, n)""")
 
 
 def o_doc_ids():

@@ -63,6 +63,15 @@ def q_circuit_exact(spark, sf):
     return r.select("event_id", "scope", "called", "failed", "breaker_open")
 
 
+def q_stream_late(spark, sf):
+    """Every 50th event reaches the feed ten days late; which rows miss their window."""
+    e = read(spark, sf, "events").select("event_id", "user_id", "ts", F.when(F.col("event_id") % 50 == 0, F.col("ts") + F.expr("INTERVAL 10 DAYS")).otherwise(F.col("ts")).alias("arrived"))
+    counts, late = J.stream_late(spark, e, "arrived")
+    told = lambda name, ts: F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias(name)
+    return counts.select(F.lit("counted").alias("kind"), "user_id", told("at", "window_start"), F.col("n").cast("bigint").alias("n")) \
+        .unionByName(late.groupBy("user_id", F.date_trunc("minute", "ts").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("late").alias("kind"), "user_id", told("at", "w"), F.col("n").cast("bigint").alias("n")))
+
+
 def q_stream_history(spark, sf):
     r = J.stream_history(spark, read(spark, sf, "conversations"), 4)
     return r.select("conv_id", "turn", "history_size", "oldest_turn")
@@ -81,6 +90,7 @@ QUERIES = {
     "stream_rate": q_stream_rate,
     "stream_circuit": q_stream_circuit,
     "stream_history": q_stream_history,
+    "stream_late": q_stream_late,
 }
 
 
@@ -127,6 +137,18 @@ def o_stream_circuit():
     return _breaker_sql("'global'", C.BREAKER_WINDOW_SEC) + " SELECT event_id, NOT breaker_open AS called, failed AND NOT breaker_open AS failed, breaker_open FROM o"
 
 
+def o_stream_late():
+    # the feed is staged as four parts of equal time by arrival, one for each micro-batch
+    return """
+        WITH e AS (SELECT user_id, ts, epoch_us(ts) AS us, epoch_us(ts) + CASE WHEN event_id % 50 = 0 THEN 864000000000 ELSE 0 END AS a FROM events),
+        b AS (SELECT min(a) AS lo, (max(a) - min(a)) / 4.0 AS span FROM e),
+        p AS (SELECT e.*, greatest(cast(ceil((a - lo) / span) AS BIGINT) - 1, 0) AS part FROM e, b),
+        m AS (SELECT q.part, max(e.us) - 120000000 AS mark FROM (SELECT DISTINCT part FROM p) q JOIN p e ON e.part < q.part GROUP BY q.part)
+        SELECT CASE WHEN p.us - p.us % 60000000 + 60000000 <= m.mark THEN 'late' ELSE 'counted' END AS kind, p.user_id,
+               strftime(date_trunc('minute', p.ts), '%Y-%m-%d %H:%M:%S') AS at, count(*) AS n
+        FROM p LEFT JOIN m USING (part) GROUP BY 1, 2, 3"""
+
+
 def o_stream_history():
     return """
         SELECT conv_id, turn, cast(least(row_number() OVER w, 4) AS BIGINT) AS history_size,
@@ -145,6 +167,7 @@ ORACLE = {
     "stream_budget_windows": o_stream_budget_windows,
     "stream_rate": o_stream_rate,
     "stream_history": o_stream_history,
+    "stream_late": o_stream_late,
     "stream_circuit": o_stream_circuit,
     "circuit_exact": o_circuit_exact,
 }

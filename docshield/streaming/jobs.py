@@ -166,6 +166,43 @@ def stream_rate(spark: SparkSession, events: DataFrame, limit: int, window: str
     return _run_update(agg, out, ["window_start", "user_id"])
 
 
+# ---------------------------------------------------------------------------
+# ST6 late rows
+# ---------------------------------------------------------------------------
+
+def stream_late(spark: SparkSession, events: DataFrame, arrival: str, window_sec: int = 60, delay_sec: int = 120,
+                key: str = "user_id") -> tuple[DataFrame, DataFrame]:
+    """ST6: (window_start, key, n) of the rows that came in time, and a side table of the rows that came late.
+
+    ``events`` (event_id, key, ts, and the column ``arrival`` that orders the feed) are read
+    in order of arrival.  The watermark before a micro-batch is the greatest ts of all batches before
+    it, less the delay; a row whose window has ended by then is late.  Both outputs of a
+    batch follow from the rows and the watermark that the batch before wrote, so a repeated batch
+    overwrites them with the same rows.  A row without a ts belongs to no window and is late; it
+    does not move the watermark."""
+    src, out = scratch_path(spark, "late-src"), scratch_path(spark, "late-out")
+    ev = events.select("event_id", key, "ts", F.col(arrival).alias("_arrival"))
+    stage_in_order(ev, src, "_arrival")
+    s = _stream(spark, src, ev.schema)
+    us, size = F.unix_micros("ts"), window_sec * 1_000_000
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        before = batch.sparkSession.read.parquet(f"{out}/seen/batch={batch_id - 1}").first()["seen"] if batch_id else None  # one row
+        mark = F.lit(None if before is None else before - delay_sec * 1_000_000).cast("long")
+        start = us - F.pmod(us, F.lit(size))
+        rows = batch.withColumn("window_start", F.timestamp_micros(start)).withColumn("late", us.isNull() | F.coalesce(start + size <= mark, F.lit(False)))
+        rows.where("late").select("event_id", key, "ts", F.timestamp_micros(mark).alias("watermark")).write.mode("overwrite").parquet(f"{out}/late/batch={batch_id}")
+        rows.where("NOT late").groupBy("window_start", key).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{out}/counts/batch={batch_id}")
+        batch.agg(F.greatest(F.max(us), F.lit(before).cast("long")).alias("seen")).write.mode("overwrite").parquet(f"{out}/seen/batch={batch_id}")
+
+    q = s.writeStream.foreachBatch(sink).option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    kind = dict(ev.dtypes)[key]
+    counts = spark.read.schema(f"window_start timestamp, {key} {kind}, n long, batch int").parquet(f"{out}/counts")
+    late = spark.read.schema(f"event_id long, {key} {kind}, ts timestamp, watermark timestamp, batch int").parquet(f"{out}/late")
+    return counts.groupBy("window_start", key).agg(F.sum("n").alias("n")), late.drop("batch")
+
+
 # ---------------------------------------------------------------------------
 # ST4 streaming circuit breaker (exact replay)
 # ---------------------------------------------------------------------------

@@ -144,3 +144,27 @@ def test_stale_hashes_tolerates_odd_values(spark):
                                    (3, "c", "pbkdf2_sha256$1000$s$h"), (4, "d", "pbkdf2_sha256$x$s$h")],
                                   "user_id long, username string, password_hash string")
     assert sorted(r.user_id for r in AO.stale_hashes(users).collect()) == [2, 3, 4]
+
+
+def test_list_metadata_recurses_into_json(spark):
+    from docshield.functions import lists as L
+    from docshield.plans.ingest_queries import LIST_ITEMS, LIST_SAMPLES
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(LIST_SAMPLES)], "k int, v string")
+    assert [r.items for r in df.select("k", L.normalize_list("v").alias("items")).orderBy("k").collect()] == LIST_ITEMS
+
+
+def test_rate_limit_key_precedence(spark):
+    import hashlib
+    from pyspark.sql import functions as F
+    from docshield.operators import analytics as AN
+    df = spark.createDataFrame([(1, "t", "ip"), (None, "t", "ip"), (None, "", "ip"), (None, None, "ip"), (None, None, None)], "u long, t string, ip string")
+    got = [r[0] for r in df.coalesce(1).select(AN.rate_limit_key(F.col("u"), F.col("t"), F.col("ip"))).collect()]
+    assert got == ["user:1", "session:" + hashlib.sha256(b"t").hexdigest(), "ip:ip", "ip:ip", "ip:None"]
+
+
+def test_redaction_mode_hides_text_and_never_crosses_tenants(spark):
+    from docshield import constants as C
+    from docshield.operators import access as AO
+    d = spark.createDataFrame([(1, "ok", True, "a"), (1, "clearance", False, "b"), (1, "tenant_boundary", False, "c")], "query_id long, reason string, allowed boolean, text string")
+    texts = {m: sorted(r.text for r in AO.rbac_apply(d, m).collect()) for m in ("drop", "redact", "audit_only")}
+    assert texts == {"drop": ["a"], "redact": sorted(["a", C.RBAC_REDACTED_TEXT]), "audit_only": ["a", "b"]}

@@ -112,14 +112,24 @@ def test_breaker_without_failures_and_without_calls(spark):
     assert breaker.replay(spark.createDataFrame([], BREAKER_SCHEMA), cut)[0].count() == 0
 
 
-def test_late_rows_dropped_by_watermark(spark):
-    from datetime import datetime
-    from docshield.streaming.jobs import stream_rate
-    rows = [(1, 1, datetime(2024, 1, 1, 10, 0)), (2, 1, datetime(2024, 1, 1, 10, 30)),
-            (3, 1, datetime(2024, 1, 1, 10, 0, 30))]
-    ev = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp")
-    out = stream_rate(spark, ev, 1)
-    assert out.count() >= 1
+def test_late_rows_go_to_the_side_table_only(spark):
+    """Planted late rows: in the side table and in no window's count; rows in time are counted, each once."""
+    from datetime import datetime, timedelta
+    from docshield.streaming.jobs import stream_late
+    t0 = datetime(2024, 1, 1, 10, 0)
+    feed = [(k, k % 3, t0 + timedelta(seconds=20 * k), t0 + timedelta(seconds=20 * k)) for k in range(200)]  # 66 minutes, four batches
+    late = [(1000 + k, 1, t0 + timedelta(minutes=k), t0 + timedelta(minutes=55, seconds=k)) for k in range(4)]  # their windows ended long before
+    near = [(2000, 1, t0 + timedelta(minutes=49, seconds=55), t0 + timedelta(minutes=50))]  # five seconds, which the delay allows
+    none = [(3000, 1, None, t0 + timedelta(minutes=51))]
+    ev = spark.createDataFrame(feed + late + near + none, "event_id long, user_id long, ts timestamp, arrived timestamp")
+    counts, side = stream_late(spark, ev, "arrived")
+    assert {r.event_id for r in side.collect()} == {r[0] for r in late + none}
+    assert all(r.ts is None or r.ts < r.watermark for r in side.collect())
+    want = {}
+    for _, user, ts, _ in feed + near:
+        at = (ts.replace(second=0), user)
+        want[at] = want.get(at, 0) + 1
+    assert {(r.window_start, r.user_id): r.n for r in counts.collect()} == want
 
 
 def test_search_ties_break_by_chunk_id(spark):
