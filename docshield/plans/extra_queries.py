@@ -177,6 +177,19 @@ def o_canary_join():
         ON contains(a.response, t.token)""")
 
 
+def o_canary_seed():
+    return with_ctes(["chunks"], f"""
+        SELECT tenant_id, sensitivity_class, cast(sum(n) AS BIGINT) AS n_chunks FROM (
+          SELECT tenant_id, sensitivity_class, 1 AS n FROM chunks WHERE NOT starts_with(doc_id, 'pdoc_')
+          UNION ALL VALUES ('system', 'RESTRICTED', {len(C.CANARY_TOKENS)}))
+        GROUP BY tenant_id, sensitivity_class""")
+
+
+def o_events_export():
+    from docshield.plans.analytics_queries import ALL, FEED_SEL, _all_ctes
+    return with_ctes(ALL, f"SELECT id, time, type, risk FROM ({FEED_SEL} FROM feed)", extra=_all_ctes())
+
+
 def o_canary_index():
     return f"""
         SELECT d.doc_id, t.token FROM documents d JOIN (SELECT DISTINCT substr(text, 1, {OPENING}) AS token FROM benchmark WHERE text <> '') t
@@ -217,6 +230,8 @@ ORACLE = {
     "query_validate": o_query_validate,
     "claim_check": o_claim_check,
     "canary_join": o_canary_join,
+    "events_export": o_events_export,
+    "canary_seed": o_canary_seed,
     "canary_index": o_canary_index,
     "gazetteer_pii": o_gazetteer_pii,
     "flatten_schema": o_flatten_schema,
