@@ -17,6 +17,7 @@ ignored.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 
 import numpy as np
@@ -57,8 +58,27 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
+#: White space that the fast encoder's matcher may have to go back over; it gives up on runs of about a million.
+LONG_SPACE = 200_000
+_SPACE = re.compile(rf"(?<!\s)\s{{{LONG_SPACE}}}")  # begins at a run only, so the search is linear
+
+
+def _whole(path: str):
+    key = ("tokenizers", path)
+    if key not in _ENCODERS:
+        from tokenizers import Tokenizer
+        _ENCODERS[key] = Tokenizer.from_file(path)
+    return _ENCODERS[key]
+
+
 def token_ids(text: str | None, path: str, end_id: int | None = END_ID) -> np.ndarray:
-    ids = encoder(path).encode(text, allowed_special="all") if text else []
+    """A text's ids.  A text with a very long run of white space is encoded by ``tokenizers`` itself, which has no such limit."""
+    if not text:
+        ids = []
+    elif len(text) >= LONG_SPACE and _SPACE.search(text):
+        ids = _whole(path).encode(text, add_special_tokens=False).ids
+    else:
+        ids = encoder(path).encode(text, allowed_special="all")
     return np.array([*ids, end_id] if end_id is not None else ids, dtype="<u4")
 
 

@@ -295,3 +295,12 @@ def test_added_tokens_in_a_text_are_single_ids():
     t = Tokenizer.from_file(path)
     for text in ("hello <|endoftext|> world", "<|endoftext|><|endoftext|>", " a<|endoftext|>\n\n b <|endoftext", "it's <|END|> 12 <|endoftext|>."):
         assert packing.token_ids(text, path, None).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_survives_long_white_space():
+    """Runs of blanks, tabs and newlines that the fast encoder's matcher gives up on, and runs just below the limit."""
+    from tokenizers import Tokenizer
+    path = packing.vocabulary_path()
+    whole = Tokenizer.from_file(path)
+    for text in ("a" + " " * 2_000_000 + "b", "\t" * 2_000_000, "x" + "\n" * 1_200_000 + " y", " " * (packing.LONG_SPACE - 1) + "z", ("a" + " " * 1000) * 500):
+        assert packing.token_ids(text, path, None).tolist() == whole.encode(text, add_special_tokens=False).ids
