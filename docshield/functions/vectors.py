@@ -56,8 +56,8 @@ def l2_normalize(v) -> Column:
 
 
 def cosine(a, b, eps: float = 0.0) -> Column:
-    """V3: cosine similarity; ``eps`` is added to the denominator (stats use 1e-10)."""
-    return dot(a, b) / (l2_norm(a) * l2_norm(b) + F.lit(eps))
+    """V3: cosine similarity, null for a zero vector; ``eps`` is added to the denominator (stats use 1e-10)."""
+    return F.try_divide(dot(a, b), l2_norm(a) * l2_norm(b) + F.lit(eps))
 
 
 def l2_relevance(a, b) -> Column:

@@ -1,13 +1,14 @@
 """Exact top-k vector search.
 
-Plan shape: the query batch is broadcast (its row count is checked first;
-larger batches are split into blocks that are each broadcast) and each chunk
-partition scores its rows against the broadcast block with one numpy matrix
-product per Arrow batch.  Only the best ``k`` candidates per query per batch
-leave the task, so the chunk side is never shuffled and no query×chunk pair
-is ever written out; a final ``row_number() <= k`` window (planned with a
-partial WindowGroupLimit) picks the global top-k per query.  Hot tenants
-therefore cost CPU in the tasks that hold their chunks, not shuffle volume.
+Plan shape: a query batch that fits (its rows and bytes are checked in the job
+that fetches it) is broadcast, and each chunk partition scores its rows with
+numpy matrix products, one Arrow batch at a time.  A task holds the best ``k``
+of each query and only these leave it, so the chunk side is never shuffled and
+no query×chunk pair is ever written out; a final ``row_number() <= k`` window
+(planned with a partial WindowGroupLimit) picks the global top-k per query.
+Hot tenants therefore cost CPU in the tasks that hold their chunks, not shuffle
+volume.  Larger batches (or ``method="cells"``) stay on the executors: see
+``operators/cells.py``.  A score that is no number (zero vectors) is no candidate.
 
 ``method="sql"`` is the same search written as a tenant equi-join against
 the broadcast query block with a higher-order dot product; it is kept as
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from docshield.functions import vectors as V
 
 BROADCAST_MAX_QUERIES = 20000
+BROADCAST_MAX_BYTES = 64 << 20
 
 CANDIDATE_SCHEMA = "query_id long, chunk_id string, score double"
 SCORE_CELLS = 4_000_000
@@ -96,47 +98,72 @@ def _exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return 1.0 - np.sqrt(_fold((a - b) * (a - b))) / math.sqrt(2.0)
 
 
-def _scorer(bc, k: int):
-    """mapInPandas body: score chunk batches against the broadcast query block."""
+def _trim(held: list[pd.DataFrame], k: int, floor: np.ndarray) -> pd.DataFrame:
+    """The k best rows of each query; ``floor`` takes the k-th score of those that have k."""
+    best = pd.concat(held, ignore_index=True).sort_values(["q", "score", "chunk_id"], ascending=[True, False, True])
+    place = best.groupby("q").cumcount()
+    full = best[place == k - 1]
+    floor[full["q"].to_numpy()] = full["score"].to_numpy()
+    return best[place < k]
+
+
+def best_of(frames, p: dict, k: int):
+    """(query_id, chunk_id, score): at most k rows for each query of the payload over all ``frames`` of chunks."""
+    qids, held, rows = p["qids"], [], 0
+    floor = np.full(len(qids), -np.inf)
+    # bound each score matrix to ~4M doubles (32 MB) whatever the block size
+    step = max(1, SCORE_CELLS // max(len(qids), 1))
+    for big in frames:
+        for lo in range(0, len(big), step):
+            for part in _score(big.iloc[lo:lo + step], p, k, floor):
+                held.append(part)
+                rows += len(part)
+                if rows > 2 * k * len(qids) + RESCORE_ROWS:
+                    held = [_trim(held, k, floor)]
+                    rows = len(held[0])
+    if held:
+        best = _trim(held, k, floor)
+        for lo in range(0, len(best), RESCORE_ROWS):
+            part = best.iloc[lo:lo + RESCORE_ROWS]
+            yield pd.DataFrame({"query_id": qids[part["q"].to_numpy()], "chunk_id": part["chunk_id"].to_numpy(),
+                                "score": part["score"].to_numpy()})
+
+
+def _score(pdf: pd.DataFrame, p: dict, k: int, floor: np.ndarray):
+    qmat = p["qmat"]
+    cmat = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"]])
+    dots = cmat @ qmat.T
+    if p["metric"] == "cosine":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            s = dots / (np.linalg.norm(cmat, axis=1)[:, None] * p["qnorm"][None, :])
+    else:  # l2 relevance
+        d2 = np.sum(cmat * cmat, axis=1)[:, None] + p["qsq"][None, :] - 2.0 * dots
+        s = 1.0 - np.sqrt(np.maximum(d2, 0.0)) / math.sqrt(2.0)
+    s = np.where(np.isfinite(s), s, -np.inf)
+    if p["qten"] is not None:
+        ct = pdf["tenant_id"].to_numpy(dtype=object)
+        s = np.where(ct[:, None] == p["qten"][None, :], s, -np.inf)
+    if "vocab" in p:
+        cbits = _role_bits(list(pdf["acl_roles"]), p["vocab"])
+        clev = pdf["level"].to_numpy(dtype=np.int64)
+        ok = _roles_meet(cbits, p["qbits"]) & (clev[:, None] <= p["qlevel"][None, :])
+        s = np.where(ok, s, -np.inf)
+    # the k-th best score per query so far, less the rounding of the matrix product: whatever could
+    # be among the k best, ties included, is scored anew
+    least = floor
+    if k < len(s):
+        least = np.maximum(least, -np.partition(-s, k - 1, axis=0)[k - 1])
+    ri, qi = np.nonzero((s >= least[None, :] - TIE_SLACK) & np.isfinite(s))
+    for lo in range(0, len(ri), RESCORE_ROWS):
+        r, q = ri[lo:lo + RESCORE_ROWS], qi[lo:lo + RESCORE_ROWS]
+        yield pd.DataFrame({"q": q, "chunk_id": pdf["chunk_id"].to_numpy(dtype=object)[r],
+                            "score": _exact(cmat[r], qmat[q], p["metric"])})
+
 
+def _scorer(bc, k: int):
+    """mapInPandas body: the chunks of a task against the broadcast query block."""
     def run(batches):
-        p = bc.value
-        qids, qmat = p["qids"], p["qmat"]
-        # bound each score matrix to ~4M doubles (32 MB) whatever the block size
-        step = max(1, SCORE_CELLS // max(len(qids), 1))
-        for big in batches:
-            for lo in range(0, len(big), step):
-                yield from _score(big.iloc[lo:lo + step], p, qids, qmat)
-
-    def _score(pdf, p, qids, qmat):
-        cmat = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"]])
-        dots = cmat @ qmat.T
-        if p["metric"] == "cosine":
-            s = dots / (np.linalg.norm(cmat, axis=1)[:, None] * p["qnorm"][None, :])
-        else:  # l2 relevance
-            d2 = np.sum(cmat * cmat, axis=1)[:, None] + p["qsq"][None, :] - 2.0 * dots
-            s = 1.0 - np.sqrt(np.maximum(d2, 0.0)) / math.sqrt(2.0)
-        if p["qten"] is not None:
-            ct = pdf["tenant_id"].to_numpy(dtype=object)
-            s = np.where(ct[:, None] == p["qten"][None, :], s, -np.inf)
-        if "vocab" in p:
-            cbits = _role_bits(list(pdf["acl_roles"]), p["vocab"])
-            clev = pdf["level"].to_numpy(dtype=np.int64)
-            ok = _roles_meet(cbits, p["qbits"]) & (clev[:, None] <= p["qlevel"][None, :])
-            s = np.where(ok, s, -np.inf)
-        n = s.shape[0]
-        if k < n:
-            # the k-th best score per query, less the rounding of the matrix product: whatever could
-            # be among the k best, ties included, leaves the task
-            kth = -np.partition(-s, k - 1, axis=0)[k - 1]
-            mask = (s >= kth[None, :] - TIE_SLACK) & np.isfinite(s)
-        else:
-            mask = np.isfinite(s)
-        ri, qi = np.nonzero(mask)
-        for lo in range(0, len(ri), RESCORE_ROWS):
-            r, q = ri[lo:lo + RESCORE_ROWS], qi[lo:lo + RESCORE_ROWS]
-            yield pd.DataFrame({"query_id": qids[q], "chunk_id": pdf["chunk_id"].to_numpy(dtype=object)[r],
-                                "score": _exact(cmat[r], qmat[q], p["metric"])})
+        yield from best_of(batches, bc.value, k)
     return run
 
 
@@ -159,34 +186,24 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int, *, metric: str
     ccols = ["chunk_id", "tenant_id", "embedding"] + (["acl_roles", "level"] if authorize else [])
     q = queries.select(*qcols).where(F.col("qvec").isNotNull())
     c = chunks.select(*ccols).where(F.col("embedding").isNotNull())
+    if tenant_scoped:
+        q, c = q.where(F.col("tenant_id").isNotNull()), c.where(F.col("tenant_id").isNotNull())
     if method == "sql":
         return _search_sql(q, c, k, metric, tenant_scoped, authorize, broadcast_max)
-    # one job both checks the size and fetches the block: at most
-    # broadcast_max + 1 rows ever reach the driver
-    first = q.limit(broadcast_max + 1).toPandas()
-    if len(first) <= broadcast_max:
-        frames = [first]
-    else:
-        frames = (b.toPandas() for b in _split(q, broadcast_max))
-    sc = queries.sparkSession.sparkContext
-    parts = []
-    for pdf in frames:
-        if len(pdf) == 0:
-            continue
-        bc = sc.broadcast(_block_payload(pdf, metric, tenant_scoped, authorize))
-        parts.append(c.mapInPandas(_scorer(bc, k), CANDIDATE_SCHEMA))
-    if not parts:
-        return queries.sparkSession.createDataFrame([], CANDIDATE_SCHEMA + ", rank int")
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
-    return _topk_window(cands, k)
+    if method == "arrow":
+        # one job both checks the size and fetches the block: at most broadcast_max + 1 rows reach the driver
+        block = q.limit(broadcast_max + 1).toPandas()
+        if len(block) == 0:
+            return queries.sparkSession.createDataFrame([], CANDIDATE_SCHEMA + ", rank int")
+        if len(block) <= broadcast_max and _payload_bytes(block) <= BROADCAST_MAX_BYTES:
+            bc = queries.sparkSession.sparkContext.broadcast(_block_payload(block, metric, tenant_scoped, authorize))
+            return _topk_window(c.mapInPandas(_scorer(bc, k), CANDIDATE_SCHEMA), k)
+    from docshield.operators.cells import search_cells
+    return search_cells(q, c, k, metric, tenant_scoped, authorize)
 
 
-def _split(q: DataFrame, size: int):
-    total = q.count()
-    nb = max(1, math.ceil(total / size))
-    return [q.where(F.pmod(F.xxhash64("query_id"), F.lit(nb)) == i) for i in range(nb)]
+def _payload_bytes(block: pd.DataFrame) -> int:
+    return 8 * int(block["qvec"].map(len).sum())
 
 
 def _search_sql(q, c, k, metric, tenant_scoped, authorize, broadcast_max):
@@ -200,5 +217,5 @@ def _search_sql(q, c, k, metric, tenant_scoped, authorize, broadcast_max):
         j = j.where(F.arrays_overlap("acl_roles", "roles") & (F.col("level") <= F.col("clearance_level")))
     a, b = V.as_double("embedding"), V.as_double("qvec")
     score = V.cosine(a, b) if metric == "cosine" else V.l2_relevance(a, b)
-    cands = j.select("query_id", "chunk_id", score.alias("score"))
+    cands = j.select("query_id", "chunk_id", score.alias("score")).where(F.col("score").isNotNull() & ~F.isnan("score"))
     return _topk_window(cands, k)

@@ -39,6 +39,13 @@ def q_vector_topk(spark, sf):
                     F.round("score", 6).alias("score"))
 
 
+def q_vector_topk_cells(spark, sf):
+    """The same search with neither side on the driver: query blocks meet chunk blocks."""
+    t = vector_search(_q(spark, sf), _c(spark, sf), C.TOP_K, method="cells")
+    return t.select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id",
+                    F.round("score", 6).alias("score"))
+
+
 def q_cosine_pairs(spark, sf):
     q, c = _q(spark, sf), _c(spark, sf)
     t = vector_search(q, c, C.TOP_K)
@@ -209,6 +216,7 @@ def q_stale_hashes(spark, sf):
 
 QUERIES = {
     "vector_topk": q_vector_topk,
+    "vector_topk_cells": q_vector_topk_cells,
     "cosine_pairs": q_cosine_pairs,
     "access_decision": q_access_decision,
     "rbac_filter": q_rbac_filter,
@@ -511,6 +519,7 @@ def o_stale_hashes():
 
 ORACLE = {
     "vector_topk": o_vector_topk,
+    "vector_topk_cells": o_vector_topk,
     "cosine_pairs": o_cosine_pairs,
     "access_decision": o_access_decision,
     "rbac_filter": o_rbac_filter,
