@@ -32,6 +32,28 @@ def graph_tables(registrations: DataFrame):
     return docs, edges, tenants
 
 
+def graph_profiles(registrations: DataFrame) -> DataFrame:
+    """The graph as one row per document: doc_id, graph_level, graph_roles, graph_tenants.
+
+    The class is that of the latest registration (ties: the greater tenant, then the greater class).  Roles and
+    tenants are those of every registration, as edges are never removed: a role or tenant that an
+    earlier registration gave still counts.  One pass: the distinct role lists and tenants of a document are gathered
+    map-side first, so a document registered millions of times is no large group.  Documents without any role are left out.
+    """
+    latest = F.max(F.struct("registered_at", "tenant_id", "sensitivity_class"))
+    g = registrations.groupBy("doc_id").agg(latest.alias("m"), F.collect_set("acl_roles").alias("lists"), F.collect_set("tenant_id").alias("tenants"))
+    roles = F.array_sort(F.array_distinct(F.filter(F.flatten("lists"), lambda r: r.isNotNull())))
+    return g.select("doc_id", A.level_index("m.sensitivity_class").alias("graph_level"), roles.alias("graph_roles"),
+                    F.array_sort("tenants").alias("graph_tenants")).where((F.size("graph_roles") > 0) & (F.size("graph_tenants") > 0))
+
+
+def with_graph(chunks: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The graph pre-filter's view of chunks (J2): the document's graph roles and level stand for the chunk's own.
+    Chunks of documents that are not registered, or not under the chunk's tenant, are no candidates."""
+    j = chunks.join(profiles, "doc_id").where(F.array_contains("graph_tenants", F.col("tenant_id")))
+    return j.select("chunk_id", "tenant_id", "embedding", F.col("graph_roles").alias("acl_roles"), F.col("graph_level").alias("level"))
+
+
 def doc_access_profiles(documents: DataFrame, edges: DataFrame) -> DataFrame:
     """Documents grouped by (tenant, level, role set) with their count.
 

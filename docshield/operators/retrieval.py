@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from docshield import constants as C
 from docshield.functions import access as A
 from docshield.functions import text as T
+from docshield.operators.access import with_graph
 from docshield.operators.search import vector_search
 
 
@@ -28,16 +29,20 @@ def prepare_chunks(chunks: DataFrame, strict: bool = C.UNKNOWN_CLASS_STRICT) ->
 
 def retrieve_candidates(queries: DataFrame, chunks: DataFrame, *, top_k: int = C.TOP_K,
                         overfetch: int = C.OVERFETCH_FACTOR, threshold: float = C.SIMILARITY_THRESHOLD,
-                        use_graph: bool = True, method: str = "arrow") -> DataFrame:
+                        use_graph: bool = True, method: str = "arrow", graph: DataFrame | None = None) -> DataFrame:
     """Candidates with their filter outcome, trust and action, per query.
 
+    ``graph``: profiles of the registered documents (``access.graph_profiles``); the search then only sees chunks
+    whose document the graph's edges open to the query.  Without it the chunk's own roles and class stand for the edges.
+
     Output: query_id, rank, chunk_id, doc_id, score, block_reason, trust,
     action (blocked | drop | wrap | pass | unscanned), used, counted_blocked,
     text (wrapped when flagged).
     """
     q = prepare_queries(queries)
     c = prepare_chunks(chunks)
-    cands = vector_search(q, c, top_k * overfetch, tenant_scoped=True, authorize=use_graph, method=method)
+    searched = c if graph is None else with_graph(c, graph)
+    cands = vector_search(q, searched, top_k * overfetch, tenant_scoped=True, authorize=use_graph, method=method)
     meta = c.select("chunk_id", "doc_id", F.col("tenant_id").alias("chunk_tenant"), "level",
                     "sensitivity_class", "acl_roles", "text")
     qa = q.select("query_id", "tenant_id", "roles", "clearance_level")

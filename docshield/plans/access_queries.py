@@ -146,6 +146,24 @@ def q_guarded_retrieval(spark, sf):
                     "action")
 
 
+def _graph_chunks(spark, sf):
+    return AO.graph_profiles(FX.registrations(spark, sf))
+
+
+def q_graph_profiles(spark, sf):
+    """Documents as the graph knows them after all register calls."""
+    g = _graph_chunks(spark, sf)
+    return g.select("doc_id", F.col("graph_level").cast("bigint").alias("graph_level"), F.array_join("graph_roles", ",").alias("roles"),
+                    F.array_join("graph_tenants", ",").alias("tenants"))
+
+
+def q_graph_retrieval(spark, sf):
+    """Guarded retrieval whose pre-filter follows the graph's edges."""
+    g = R.retrieve_candidates(_q(spark, sf), _c(spark, sf), graph=_graph_chunks(spark, sf))
+    return g.select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", F.round("score", 6).alias("score"),
+                    F.coalesce("block_reason", F.lit("")).alias("block_reason"), "action")
+
+
 def q_retrieval_summary(spark, sf):
     q = _q(spark, sf)
     return R.retrieval_summary(q, R.retrieve_candidates(q, _c(spark, sf)))
@@ -226,6 +244,8 @@ QUERIES = {
     "acl_retrieve": q_acl_retrieve,
     "resolve_clearance": q_resolve_clearance,
     "acl_edges": q_acl_edges,
+    "graph_profiles": q_graph_profiles,
+    "graph_retrieval": q_graph_retrieval,
     "graph_authorized_docs": q_graph_authorized_docs,
     "guarded_retrieval": q_guarded_retrieval,
     "retrieval_summary": q_retrieval_summary,
@@ -410,9 +430,49 @@ def o_graph_authorized_docs():
         GROUP BY p.user_id, p.tenant_id, p.roles""", extra=_reg_ctes())
 
 
+def _history_ctes():
+    """The register calls and the graph they leave, from the rules of FIXTURES: latest class, all roles, all tenants."""
+    return f"""
+own AS (SELECT DISTINCT doc_id, tenant_id, sensitivity_class, acl_roles, coalesce(try_cast(doc_id AS BIGINT), 0) AS k,
+               try_cast(doc_id AS BIGINT) AS n FROM chunks),
+calls AS (SELECT doc_id, tenant_id, sensitivity_class, acl_roles, k FROM own
+          UNION ALL SELECT doc_id, tenant_id, 'PUBLIC', ['executive'], k - 5000000 FROM own WHERE n % 6 = 0
+          UNION ALL SELECT doc_id, tenant_id, 'RESTRICTED', acl_roles, k + 5000000 FROM own WHERE n % 10 = 0
+          UNION ALL SELECT doc_id, 'tenant_' || ((n + 1) % 4), sensitivity_class, acl_roles, k - 9000000 FROM own WHERE n % 9 = 0),
+classes AS (SELECT doc_id, sensitivity_class FROM calls
+            QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, tenant_id DESC, sensitivity_class DESC) = 1),
+opened AS (SELECT doc_id, list_sort(list(DISTINCT role)) AS roles FROM (SELECT doc_id, unnest(acl_roles) AS role FROM calls) GROUP BY doc_id),
+owners AS (SELECT doc_id, list_sort(list(DISTINCT tenant_id)) AS tenants FROM calls GROUP BY doc_id),
+graph AS (SELECT doc_id, {level_index_sql('sensitivity_class')} AS level, roles, tenants
+          FROM classes JOIN opened USING (doc_id) JOIN owners USING (doc_id))"""
+
+
+def o_graph_profiles():
+    return with_ctes(["chunks"], """
+        SELECT doc_id, cast(level AS BIGINT) AS graph_level, array_to_string(roles, ',') AS roles,
+               array_to_string(tenants, ',') AS tenants FROM graph""", extra=_history_ctes())
+
+
+def o_graph_retrieval():
+    top = f"""
+gr AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+    SELECT q.query_id, c.chunk_id, {cosine_sql(_dbl('q.qvec'), _dbl('c.embedding'))} AS score
+    FROM queries q JOIN chunks c ON c.tenant_id = q.tenant_id JOIN graph g ON g.doc_id = c.doc_id
+    WHERE q.qvec IS NOT NULL AND list_contains(g.tenants, q.tenant_id) AND len(list_intersect(g.roles, q.roles)) > 0
+          AND g.level <= {clearance_level_sql('q.roles')})) WHERE rank <= {C.TOP_K * C.OVERFETCH_FACTOR})"""
+    return with_ctes(["queries", "chunks"], """
+        SELECT query_id, cast(rank AS BIGINT) AS rank, chunk_id, round(score, 6) AS score, coalesce(block_reason, '') AS block_reason,
+               action FROM grx""", extra=_history_ctes() + "," + top + _outcome_ctes("queries"))
+
+
 def guarded_ctes(qsrc: str = "queries"):
     k = C.TOP_K * C.OVERFETCH_FACTOR
-    return topk_ctes(k, scoped=True, authorize=True, name="gr", qsrc=qsrc) + f""",
+    return topk_ctes(k, scoped=True, authorize=True, name="gr", qsrc=qsrc) + _outcome_ctes(qsrc)
+
+
+def _outcome_ctes(qsrc: str) -> str:
+    return f""",
 gr1 AS (
   SELECT t.query_id, t.rank, t.chunk_id, c.doc_id, t.score, c.text,
          CASE WHEN t.score < {C.SIMILARITY_THRESHOLD} THEN 'below_threshold'
@@ -529,6 +589,8 @@ ORACLE = {
     "acl_retrieve": o_acl_retrieve,
     "resolve_clearance": o_resolve_clearance,
     "acl_edges": o_acl_edges,
+    "graph_profiles": o_graph_profiles,
+    "graph_retrieval": o_graph_retrieval,
     "graph_authorized_docs": o_graph_authorized_docs,
     "guarded_retrieval": o_guarded_retrieval,
     "retrieval_summary": o_retrieval_summary,

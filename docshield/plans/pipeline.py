@@ -32,14 +32,14 @@ def budget(queries: DataFrame, max_per_day: int = C.DAILY_QUERY_BUDGET) -> DataF
 
 def run(queries: DataFrame, chunks: DataFrame, scores: DataFrame, answers: DataFrame,
         rewrites: DataFrame | None = None, *, person_names=None,
-        max_per_day: int = C.DAILY_QUERY_BUDGET, method: str = "arrow"):
-    """Returns (per_query, candidates)."""
+        max_per_day: int = C.DAILY_QUERY_BUDGET, method: str = "arrow", graph: DataFrame | None = None):
+    """Returns (per_query, candidates).  ``graph``: see ``retrieval.retrieve_candidates``."""
     q = budget(queries, max_per_day)
     q = RT.two_pass(q, scores, rewrites)
     q = q.withColumn("stage_block", F.when(~F.col("budget_ok"), F.lit("dp_budget_exceeded"))
                      .when(F.col("route.action") == "block", F.col("route.category")))
     allowed = q.where(F.col("stage_block").isNull())
-    cands = R.retrieve_candidates(allowed, chunks, method=method)
+    cands = R.retrieve_candidates(allowed, chunks, method=method, graph=graph)
     # one bounded aggregate gives the counts and the (<= top_k) context parts
     per_q = cands.groupBy("query_id").agg(
         F.count_if("used").alias("chunks_used"), F.count_if("counted_blocked").alias("rbac_blocked"),

@@ -149,6 +149,26 @@ PLANTED_CHUNK_VEC = 2          # the vector planted query -2 searches with
 PLANTED_CHUNK_ROLES = ["manager"]
 
 
+def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Register calls of the documents behind ``chunks``: each document as its chunks say; every 6th once more
+    before that, open to executives and public; every 10th once more after that, as RESTRICTED; every 9th before
+    that under the next tenant."""
+    c = chunks(spark, sf_dir).select("doc_id", "tenant_id", "sensitivity_class", "acl_roles").distinct()
+    n = F.col("doc_id").try_cast("bigint")
+    k = F.coalesce(n, F.lit(0))
+
+    def call(tenant, cls, roles, source, at):
+        return F.struct(tenant.alias("tenant_id"), cls.alias("sensitivity_class"), roles.alias("acl_roles"),
+                        F.lit(source).alias("source"), _ts(at * 60).alias("registered_at"))
+
+    tenant, cls, roles = F.col("tenant_id"), F.col("sensitivity_class"), F.col("acl_roles")
+    calls = F.array(call(tenant, cls, roles, "chunks", k),
+                    F.when(n % 6 == 0, call(tenant, F.lit("PUBLIC"), F.array(F.lit("executive")), "import", k - 5_000_000)),
+                    F.when(n % 10 == 0, call(tenant, F.lit("RESTRICTED"), roles, "review", k + 5_000_000)),
+                    F.when(n % 9 == 0, call(tenant_of(n + 1), cls, roles, "move", k - 9_000_000)))
+    return c.select("doc_id", F.explode(F.array_compact(calls)).alias("c")).select("doc_id", "c.*")
+
+
 def planted_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = read(spark, sf_dir, "embeddings").where(F.col("vec_id") == PLANTED_CHUNK_VEC).select("embedding").first()
     vec = F.array(*[F.lit(float(x)).cast("float") for x in row[0]]) if row else F.lit(None).cast("array<float>")

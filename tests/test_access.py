@@ -168,3 +168,27 @@ def test_redaction_mode_hides_text_and_never_crosses_tenants(spark):
     d = spark.createDataFrame([(1, "ok", True, "a"), (1, "clearance", False, "b"), (1, "tenant_boundary", False, "c")], "query_id long, reason string, allowed boolean, text string")
     texts = {m: sorted(r.text for r in AO.rbac_apply(d, m).collect()) for m in ("drop", "redact", "audit_only")}
     assert texts == {"drop": ["a"], "redact": sorted(["a", C.RBAC_REDACTED_TEXT]), "audit_only": ["a", "b"]}
+
+
+def test_graph_keeps_edges_and_takes_the_latest_class(spark):
+    """An edge outlives the chunk's ACL, a later registration raises the class, a moved document stays open to its old tenant."""
+    from docshield.operators import access as AO
+    from docshield.operators import retrieval as R
+    reg = spark.createDataFrame([
+        ("d1", "t", "PUBLIC", ["employee"], "s", 1), ("d1", "t", "PUBLIC", ["manager"], "s", 2),
+        ("d2", "t", "PUBLIC", ["employee"], "s", 1), ("d2", "t", "TOP_SECRET", ["employee"], "s", 2),
+        ("d3", "u", "PUBLIC", ["employee"], "s", 2), ("d3", "t", "PUBLIC", [None], "s", 1),
+        ("d4", "u", "PUBLIC", ["employee"], "s", 1), ("d5", "t", "PUBLIC", [], "s", 1),
+    ], "doc_id string, tenant_id string, sensitivity_class string, acl_roles array<string>, source string, registered_at int")
+    g = {r["doc_id"]: r for r in AO.graph_profiles(reg).collect()}
+    assert sorted(g) == ["d1", "d2", "d3", "d4"]
+    assert g["d1"]["graph_roles"] == ["employee", "manager"] and g["d3"]["graph_tenants"] == ["t", "u"]
+    assert g["d2"]["graph_level"] > g["d1"]["graph_level"]
+    chunks = spark.createDataFrame([(f"{d}_0", d, "t", "a note", [1.0, 0.0], "PUBLIC", roles) for d, roles in [
+        ("d1", ["manager"]), ("d2", ["employee"]), ("d3", ["employee"]), ("d4", ["employee"]), ("d6", ["employee"])]],
+        "chunk_id string, doc_id string, tenant_id string, text string, embedding array<double>, sensitivity_class string, acl_roles array<string>")
+    q = spark.createDataFrame([(1, "t", ["employee"], [1.0, 0.0])], "query_id long, tenant_id string, roles array<string>, qvec array<double>")
+    by_graph = {r["doc_id"]: r["block_reason"] for r in R.retrieve_candidates(q, chunks, graph=AO.graph_profiles(reg)).collect()}
+    assert by_graph == {"d1": "acl_role_mismatch", "d3": None}
+    by_chunk = {r["doc_id"]: r["block_reason"] for r in R.retrieve_candidates(q, chunks).collect()}
+    assert by_chunk == {"d2": None, "d3": None, "d4": None, "d6": None}
