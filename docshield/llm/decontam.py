@@ -248,9 +248,11 @@ def _without(batches):
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents with all removal spans cut out of ``text``; other columns as they are (``n_chars`` follows the text)."""
+    """The documents with all removal spans cut out of ``text``; other columns as they are (``n_chars`` follows the text).
+    Input columns may have any name, this module's own included.  Null and empty texts stay; repeated rows stay, each for itself."""
     names = docs.columns
-    found = contamination(docs, benchmark, tuple(names)).select(*names, "spans")
+    inner = ["text" if n == "text" else f"_c{k}" for k, n in enumerate(names)]
+    found = contamination(docs.toDF(*inner), benchmark, tuple(inner)).select(*inner, "spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
-    out = found.mapInArrow(_without, fields).select(*names)
+    out = found.mapInArrow(_without, fields).select(*inner).toDF(*names)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in names else out

@@ -106,12 +106,15 @@ def mixtures(likelihood: np.ndarray, doc: np.ndarray, docs: int, rounds: int = R
         own, at = lik[pick], np.searchsorted(todo, row[pick])
         begin = np.searchsorted(at, np.arange(len(todo)))
         pi = on[todo] / on[todo].sum(1, keepdims=True)
+        live = np.ones(len(todo), bool)  # each document stops at its own convergence, whatever stands beside it
         for _ in range(rounds if left > 1 else 0):
             r = own * pi[at]
             r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
             new = np.add.reduceat(r, begin, axis=0) / n[todo, None]
-            done, pi = np.abs(new - pi).max() < 1e-3, new
-            if done:
+            moved = np.abs(new - pi).max(1)
+            pi = np.where(live[:, None], new, pi)
+            live &= moved >= 1e-3
+            if not live.any():
                 break
         fit = np.add.reduceat(np.log(np.maximum((own * pi[at]).sum(1), 1e-300)), begin) - 0.5 * (left - 1) * np.log(np.maximum(n[todo], 2)) - 2.0 * (left - 1)
         better = fit >= score[todo]

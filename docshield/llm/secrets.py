@@ -137,9 +137,11 @@ def secrets(docs: DataFrame, findings: DataFrame | None = None, threshold: float
 
 
 def redacted(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
-    """The documents with every secret replaced by MASK; other columns as they are (``n_chars`` follows the text)."""
+    """The documents with every secret replaced by MASK; other columns as they are (``n_chars`` follows the text).
+    Input columns may have any name, this module's own included.  Null and empty texts stay; repeated rows stay, each for itself."""
     names = docs.columns
-    held = with_row(docs, "_row")
+    inner = [n if n in ("doc_id", "text") else f"_c{k}" for k, n in enumerate(names)]
+    held = with_row(docs.toDF(*inner), "_row")
     hit = secrets(held.select(F.col("_row").alias("row"), "doc_id", "text"), findings).groupBy(F.col("row").alias("_row")).agg(
         F.max("secret").alias("any"), F.transform(F.array_sort(F.collect_list(F.struct("nth", "secret"))), lambda x: x["secret"]).alias("_flags")).where("any").drop("any")
     some = F.col("text").rlike(CANDIDATE)
@@ -149,5 +151,5 @@ def redacted(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     own = F.col("_flags").isNotNull()
     changed = changed.withColumns({"_gaps": F.when(own, gaps), "_found": F.when(own, found)})
     text = F.when(own, F.concat_ws("", F.transform(F.sequence(F.lit(0), F.size("_found")), part))).otherwise(F.col("text"))
-    out = held.where(F.coalesce(~some, F.lit(True))).select(*names).unionByName(changed.withColumn("text", text).select(*names))
+    out = held.where(F.coalesce(~some, F.lit(True))).select(*inner).unionByName(changed.withColumn("text", text).select(*inner)).toDF(*names)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in names else out
