@@ -103,3 +103,21 @@ def test_empty_tables(spark):
         assert vector_search(q.limit(0), c, 3, method=method).count() == 0
         assert vector_search(q, c.limit(0), 3, method=method).count() == 0
         assert vector_search(q, c.where("chunk_id = 'z0'"), 3, method=method).count() == 0
+
+
+def test_chunks_of_equal_vectors_are_one_row_with_the_least_ids(spark):
+    rows = [(f"c{i:03d}", "t0", [1.0, 2.0 + (i >= 200)], ["a"], 0) for i in range(300)]
+    c = spark.createDataFrame(rows, "chunk_id string, tenant_id string, embedding array<double>, acl_roles array<string>, level int")
+    got = {tuple(r["embedding"]): r["ids"] for r in cells.distinct_vectors(c, 4, True, True).collect()}
+    assert got == {(1.0, 2.0): [f"c{i:03d}" for i in range(4)], (1.0, 3.0): [f"c{i:03d}" for i in range(200, 204)]}
+
+
+@pytest.mark.parametrize("metric,scoped,authorize", [("cosine", False, True), ("l2_relevance", False, False), ("l2_relevance", True, True)])
+def test_a_task_returns_only_the_best_of_all_blocks(spark, metric, scoped, authorize):
+    """No block's own best rows are shuffled: the join of blocks is the last step, and both sides reach it once."""
+    q, c, queries, chunks = _tables(spark, seed=8, n=700, m=90, clusters=40)
+    queries, chunks = [x for x in queries if x[1]], [x for x in chunks if x[1]]
+    found = cells.search_cells(q.where("tenant_id IS NOT NULL"), c.where("tenant_id IS NOT NULL AND embedding IS NOT NULL"), 6, metric, scoped, authorize, block_chunks=8, block_queries=16)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and plan.index("MapInArrow") < plan.index("CartesianProduct") < plan.index("Exchange")
+    assert _rows(found) == _brute(queries, chunks, 6, metric, scoped, authorize)
