@@ -12,7 +12,7 @@ from __future__ import annotations
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -37,7 +37,8 @@ def stage_in_order(df: DataFrame, path: str, order_col: str, n_files: int = 4) -
         cond = (F.col(order_col) >= a) if i == 0 else (F.col(order_col) > a)
         if i < n_files - 1:
             cond = cond & (F.col(order_col) <= lo + span * (i + 1))
-        df.where(cond).coalesce(1).write.mode("overwrite").parquet(f"{path}/part_{i}")
+        # one file, but its rows are made by all tasks
+        df.where(cond).repartition(1).write.mode("overwrite").parquet(f"{path}/part_{i}")
 
 
 def _stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -59,7 +60,6 @@ def _run_update(agg: DataFrame, out: str, keys) -> DataFrame:
     q = (agg.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    from pyspark.sql import Window
     d = agg.sparkSession.read.parquet(f"{out}/data")
     w = Window.partitionBy(*keys).orderBy(F.col("_batch").desc())
     return d.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_batch", "batch")
@@ -276,44 +276,32 @@ def stream_history(spark: SparkSession, messages: DataFrame, keep: int = C.HISTO
 # ---------------------------------------------------------------------------
 
 SESSION_OUT = "request_id long, token_hash string, user_id long, status string"
+SESSION_STATE = "token_hash string, user long, expires long, revoked long"
 
 
-def _session_fn(grace_sec: int):
-    def fn(key, pdfs, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        user, expires, revoked = state.get if state.exists else (None, None, None)
-        rows = pd.concat(list(pdfs)).sort_values(["ts", "kind", "request_id"])
-        out = []
-        for r in rows.itertuples(index=False):
-            t = r.ts.value // 1000
-            if r.kind == 0:                         # issue
-                user, expires = int(r.user_id), int(r.expires_us)
-            elif r.kind == 1:                       # revoke
-                revoked = t
-            else:                                   # request
-                if expires is None or user is None:
-                    status = "invalid"
-                elif revoked is not None and revoked <= t:
-                    status = "invalid"
-                elif expires <= t:
-                    status = "expired"
-                else:
-                    status = "valid"
-                out.append((int(r.request_id), key[0], user if status == "valid" else None, status))
-        if user is not None:
-            state.update((user, expires, revoked))
-            state.setTimeoutTimestamp(expires // 1000 + grace_sec * 1000)
-        yield pd.DataFrame(out, columns=["request_id", "token_hash", "user_id", "status"])
-    return fn
+def session_batch(batch: DataFrame, state: DataFrame) -> DataFrame:
+    """The rows of a micro-batch and of the state before it, each with the token's user, expiry and revocation as of it.
+
+    One running window over a token's rows in the order ts, kind, request_id, the state first; ``last_row`` marks the
+    row whose values are the token's state after the batch.  No Python group for each token."""
+    own = F.col("kind")
+    rows = batch.withColumns({"at": F.unix_micros("ts"), "held": F.when(own == 0, F.struct(F.col("user_id").alias("user"), F.col("expires_us").alias("expires"))),
+                              "out": F.when(own == 1, F.unix_micros("ts"))}).select("token_hash", "kind", "at", "request_id", "held", "out")
+    before = state.select("token_hash", F.lit(-1).alias("kind"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("request_id"),
+                          F.struct("user", "expires").alias("held"), F.col("revoked").alias("out"))
+    order = Window.partitionBy("token_hash").orderBy(F.col("kind") >= 0, "at", "kind", F.col("request_id").asc_nulls_last(), "held")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.unionByName(before).select("token_hash", "kind", "at", "request_id", F.last("held", ignorenulls=True).over(upto).alias("held"),
+                                           F.last("out", ignorenulls=True).over(upto).alias("revoked"), F.lead(F.lit(1)).over(order).isNull().alias("last_row"))
 
 
 def stream_sessions(spark: SparkSession, sessions: DataFrame, requests: DataFrame, users: DataFrame,
                     grace_sec: int = 86400, watermark: str = "1 hour") -> DataFrame:
     """ST7: token state (user, expiry, revocation) keyed by token hash;
     requests are answered as of their own time, and a token's state is
-    dropped by event-time timeout ``grace_sec`` after it expires."""
+    dropped ``grace_sec`` after it expires, by the watermark (the greatest ts of
+    the batches before, less the delay; rows not after it are dropped).  Each micro-batch
+    runs on the state that the batch before wrote; a repeated batch overwrites its folders."""
     src = scratch_path(spark, "sessions-src")
     out = scratch_path(spark, "sessions-out")
     issue = sessions.select("token_hash", F.col("created_at").alias("ts"), F.lit(0).alias("kind"), "user_id",
@@ -326,14 +314,29 @@ def stream_sessions(spark: SparkSession, sessions: DataFrame, requests: DataFram
                           "request_id")
     ev = issue.unionByName(revoke).unionByName(req)
     stage_in_order(ev, src, "ts")
-    s = _stream(spark, src, ev.schema).withWatermark("ts", watermark)
-    res = s.groupBy("token_hash").applyInPandasWithState(
-        _session_fn(grace_sec), SESSION_OUT, "user long, expires long, revoked long", "append",
-        GroupStateTimeout.EventTimeTimeout)
-    q = (res.writeStream.format("parquet").option("path", f"{out}/data")
-         .option("checkpointLocation", f"{out}/_checkpoint").outputMode("append").trigger(availableNow=True).start())
+    s = _stream(spark, src, ev.schema)
+    grace, delay = grace_sec * 1_000_000, F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval '{watermark}'"))
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        run = batch.sparkSession
+        seen = run.read.parquet(f"{out}/seen/batch={batch_id - 1}").first()["seen"] if batch_id else None  # one row
+        mark = F.lit(seen).cast("long") - delay
+        state = run.read.schema(SESSION_STATE).parquet(f"{out}/state/batch={batch_id - 1}") if batch_id else run.createDataFrame([], SESSION_STATE)
+        at = F.unix_micros("ts")
+        rows = cut(session_batch(batch.where(~F.coalesce(at <= mark, F.lit(False))), state))
+        expires = F.col("held.expires")
+        status = (F.when(F.col("held.user").isNull() | expires.isNull() | (F.col("revoked") <= F.col("at")), "invalid")
+                  .when(expires <= F.col("at"), "expired").otherwise("valid"))
+        rows.where("kind = 2").select("request_id", "token_hash", F.when(status == "valid", F.col("held.user")).alias("user_id"), status.alias("status")) \
+            .write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+        # a token's state goes once the watermark is past its expiry and grace, unless this batch had rows of it
+        kept = F.col("last_row") & F.col("held.user").isNotNull() & ((F.col("kind") >= 0) | expires.isNull() | ~F.coalesce(expires + grace <= mark, F.lit(False)))
+        rows.where(kept).select("token_hash", "held.user", "held.expires", "revoked").write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")
+        batch.agg(F.greatest(F.max(at), F.lit(seen).cast("long")).alias("seen")).write.mode("overwrite").parquet(f"{out}/seen/batch={batch_id}")
+
+    q = (s.writeStream.foreachBatch(sink).option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    r = spark.read.schema(SESSION_OUT).parquet(f"{out}/data")
+    r = spark.read.schema(SESSION_OUT + ", batch int").parquet(f"{out}/data").drop("batch")
     u = users.select("user_id", "username", "role", "tenant_id")
     j = r.join(u, "user_id", "left")
     status = F.when((F.col("status") == "valid") & F.col("username").isNull(), "invalid").otherwise(F.col("status"))

@@ -186,3 +186,20 @@ def test_stream_sessions_equal_batch(spark):
     got = {tuple(x) for x in stream_sessions(spark, s, r, u).select(*cols).collect()}
     want = {tuple(x) for x in resolve_sessions(r, s, u).select(*cols).collect()}
     assert got == want and len(got) > 0
+
+
+def test_session_batches_run_without_a_python_group_for_each_token(spark):
+    import datetime as dt
+    from docshield.streaming.jobs import SESSION_STATE, session_batch
+    at = lambda sec: dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=sec)
+    us = lambda sec: int(at(sec).timestamp()) * 1_000_000
+    rows = [("a", at(5), 2, None, None, 1), ("a", at(9), 1, None, None, None), ("a", at(9), 2, None, None, 2),
+            ("b", at(3), 0, 7, us(60), None), ("b", at(3), 2, None, None, 3), ("b", at(70), 2, None, None, 4), ("c", at(1), 2, None, None, 5)]
+    batch = spark.createDataFrame(rows, "token_hash string, ts timestamp, kind int, user_id long, expires_us long, request_id long")
+    state = spark.createDataFrame([("a", 4, us(600), None), ("d", 5, us(9), us(2))], SESSION_STATE)
+    got = session_batch(batch, state)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    told = {r.request_id: (r.held and r.held.user, r.held and r.held.expires, r.revoked) for r in got.where("kind = 2").collect()}
+    assert told == {1: (4, us(600), None), 2: (4, us(600), us(9)), 3: (7, us(60), None), 4: (7, us(60), None), 5: (None, None, None)}
+    ends = {r.token_hash: (r.kind, r.held and r.held.user, r.revoked) for r in got.where("last_row").collect()}
+    assert ends == {"a": (2, 4, us(9)), "b": (2, 7, None), "c": (2, None, None), "d": (-1, 5, us(2))}
