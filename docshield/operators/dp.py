@@ -47,8 +47,12 @@ def privacy_utility_sweep(queries: DataFrame, chunks: DataFrame, *, key: str, k:
     chunks, per epsilon.  Each epsilon is a separate tenant-like scope of the
     same search, so one search job covers the whole sweep."""
     eps = F.array(*[F.lit(float(e)) for e in epsilons])
-    c = chunks.select("chunk_id", "tenant_id", V.as_double("embedding").alias("v")).select(
-        "*", F.posexplode(eps).alias("ei", "eps"))
+    # the unit noise of a chunk is the same for every epsilon: drawn once, in tasks of even size, then scaled
+    n_tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c = chunks.select("chunk_id", "tenant_id", V.as_double("embedding").alias("v")).repartition(n_tasks, "chunk_id")
+    c = c.select("chunk_id", "tenant_id", V.l2_clip("v", C.DP_CLIP).alias("clipped"),
+                 F.transform("v", lambda x, d: _unit_noise(key, F.col("chunk_id"), d, mechanism)).alias("unit"))
+    c = c.select("*", F.posexplode(eps).alias("ei", "eps"))
     cols = []
     for i, e in enumerate(epsilons):
         if e <= 0:
@@ -58,8 +62,7 @@ def privacy_utility_sweep(queries: DataFrame, chunks: DataFrame, *, key: str, k:
     scale = F.lit(None).cast("double")
     for i, s in cols:
         scale = F.when(F.col("ei") == i, F.lit(s)).otherwise(scale)
-    clipped = V.l2_clip("v", C.DP_CLIP)
-    noisy = V.l2_normalize(F.transform(clipped, lambda x, d: x + _unit_noise(key, F.col("chunk_id"), d, mechanism) * scale))
+    noisy = V.l2_normalize(F.zip_with("clipped", "unit", lambda x, u: x + u * scale))
     nc = c.select("chunk_id", F.concat_ws("|", "tenant_id", F.col("ei").cast("string")).alias("tenant_id"),
                   noisy.alias("embedding"), "ei")
     q = queries.select("query_id", "tenant_id", "qvec").select(
