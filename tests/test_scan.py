@@ -143,3 +143,23 @@ def test_text_over_the_size_limit_is_rejected_unsearched(spark):
     got = {x.doc_id: x for x in I.scan_documents(docs, max_bytes=50).select("doc_id", "status", "reason", "pii_entities_found").collect()}
     assert (got["d1"].status, got["d1"].reason, got["d1"].pii_entities_found) == ("rejected", "payload_too_large", [])
     assert (got["d2"].status, got["d2"].pii_entities_found) == ("ingested", ["EMAIL_ADDRESS"])
+
+
+def test_documents_laid_out_as_files_are_read_back_and_named_alike(spark, tmp_path):
+    from docshield.sources.files import read_document_files, write_documents_as_files
+    rows = [("1", "ä one"), ("2", None), ("3", "first"), ("3", "second"), ("a/b:c=%", "odd"), (None, "nobody's"), ("5", " \t")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = []
+    for k in range(2):
+        write_documents_as_files(docs, str(tmp_path / f"f{k}"))
+        back = read_document_files(spark, str(tmp_path / f"f{k}")).withColumn("id", F.regexp_extract("path", "doc_id=([^/]+)", 1))
+        got.append({(r.id, r.source): (r.length, r.reject_code, "".join(sorted(r.text or ""))) for r in back.collect()})
+    assert got[0] == got[1]  # a second run names every file as the first
+    said = {k[0]: v for k, v in got[0].items()}
+    sorted_text = lambda *lines: "".join(sorted("".join(x + "\n" for x in lines)))
+    assert len(got[0]) == 6 and said.pop("__HIVE_DEFAULT_PARTITION__") == (9, None, sorted_text("nobody's"))
+    odd = said.pop(next(k for k in said if k not in "1235"))
+    assert odd == (4, None, sorted_text("odd"))
+    assert said == {"1": (7, None, sorted_text("ä one")), "2": (1, 400, ""), "3": (13, None, sorted_text("first", "second")), "5": (3, 400, "")}
+    write_documents_as_files(docs.limit(0), str(tmp_path / "none"))
+    assert read_document_files(spark, str(tmp_path / "none")).count() == 0
