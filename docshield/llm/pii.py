@@ -14,8 +14,9 @@ base span stays only if it holds that span and more.
 Findings to learn from are, unless the caller gives some, candidates that equal a base span
 (personal) and those that fail their kind's check (not), with rewritings of the former:
 the same value in other notations, with a broken checksum or range, and named as a version,
-an order or a file.  At most ``FIT_ROWS`` findings of each kind and label are used, by hash order,
-halved by a hash of the value; candidates, scores and thresholds cover all rows.
+an order or a file.  All distinct findings are used, halved by a hash of the value: those of equal features
+are one row with their number.  In the fit, findings of a kind and label weigh ``KIND_WEIGHT`` together at most,
+so that a frequent kind doesn't drown the others; thresholds go by their numbers.
 
 Defined cases: a null or empty text has no spans; repeated rows are judged once each; a null
 doc_id is kept; without findings of both labels nothing is added; an empty table gives no rows;
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from docshield.llm.common import cut
 
 KINDS = ["email", "ip", "card", "phone"]
-FIT_ROWS = 1000
+KIND_WEIGHT = 1000.0
 PRECISION = 0.98
 
 #: The base patterns, with possessive quantifiers and starts outside words where the matches are the same: their time is linear.
@@ -169,29 +170,36 @@ def findings_of(found: DataFrame) -> DataFrame:
     return own.withColumn("source", value).unionByName(fails.withColumn("source", value)).unionByName(derived)
 
 
-def _sampled(findings: DataFrame, fit_rows: int) -> DataFrame:
-    order = Window.partitionBy("kind", "label").orderBy(F.xxhash64("value", "before", "after"), "value", "before", "after")
+def _counted(findings: DataFrame) -> DataFrame:
+    """learn (the half), kind, label, the features and n, the number of distinct findings that have them."""
     source = F.col("source") if "source" in findings.columns else F.col("value")
-    return cut(findings.withColumn("learn", F.pmod(F.xxhash64(source), F.lit(2)) == 0).dropDuplicates(["kind", "value", "before", "after", "label"])
-               .withColumn("place", F.row_number().over(order)).where(F.col("place") <= fit_rows).drop("place").coalesce(2))
+    rows = findings.groupBy("kind", "value", "before", "after", "label").agg(F.min(F.pmod(F.xxhash64(source), F.lit(2)) == 0).alias("learn"))
+    held = features(rows).groupBy("learn", "kind", "label", *FEATURES).agg(F.count(F.lit(1)).alias("n"))
+    # sums in the same order on every run: splits of equal gain are told apart by their last bits
+    return cut(held.coalesce(2).sortWithinPartitions("learn", "kind", "label", *FEATURES))
 
 
 def thresholds(judged: DataFrame, precision: float = PRECISION) -> dict[int, float]:
-    """For each kind the least probability from which up the share of personal ones is ``precision`` or more; ``judged`` has kind, label, p (a bounded sample)."""
+    """For each kind the least probability from which up the share of personal ones is ``precision`` or more; ``judged`` has kind, label, p[, n]."""
+    n = F.col("n") if "n" in judged.columns else F.lit(1)
+    at = judged.groupBy("kind", "p").agg(F.sum(n).alias("n"), F.sum(n * F.col("label")).alias("personal"))
     upto = Window.partitionBy("kind").orderBy(F.col("p").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    share = judged.withColumn("share", F.avg("label").over(upto))
-    return {r[0]: r[1] for r in share.where((F.col("share") >= precision) & (F.col("p") >= 0.5)).groupBy("kind").agg(F.min("p")).collect()}  # a row for each kind
+    # half way to the next probability below: the calibration half has nothing between
+    lower = F.lead("p").over(Window.partitionBy("kind").orderBy(F.col("p").desc()))
+    share = at.withColumns({"share": F.sum("personal").over(upto) / F.sum("n").over(upto), "bar": F.greatest((F.col("p") + F.coalesce(lower, F.col("p"))) / 2, F.lit(0.5))})
+    return {r[0]: r[1] for r in share.where((F.col("share") >= precision) & (F.col("p") >= 0.5)).groupBy("kind").agg(F.min("bar")).collect()}  # a row for each kind
 
 
-def model(findings: DataFrame, fit_rows: int = FIT_ROWS, precision: float = PRECISION):
+def model(findings: DataFrame, kind_weight: float = KIND_WEIGHT, precision: float = PRECISION):
     """The fitted trees and the thresholds, or None where the findings have one label only."""
-    sample = _sampled(findings, fit_rows)
-    if {(r[0], r[1]) for r in sample.select("learn", "label").distinct().collect()} != {(a, b) for a in (True, False) for b in (0.0, 1.0)}:
+    counted = _counted(findings)
+    totals = counted.groupBy("learn", "kind", "label").agg(F.sum("n").alias("total"))  # a row for each half, kind and label
+    if {(r[0], r[1]) for r in totals.select("learn", "label").distinct().collect()} != {(a, b) for a in (True, False) for b in (0.0, 1.0)}:
         return None
-    vector = VectorAssembler(inputCols=FEATURES, outputCol="vector")
-    made = vector.transform(features(sample))
-    trees = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=10, maxDepth=4, stepSize=0.3, seed=13).fit(made.where("learn"))
-    judged = trees.transform(made.where("NOT learn")).select("kind", "label", vector_to_array("probability")[1].alias("p"))
+    weight = F.col("n") * F.least(F.lit(1.0), F.lit(kind_weight) / F.col("total"))
+    made = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(counted.join(F.broadcast(totals), ["learn", "kind", "label"]).withColumn("weight", weight))
+    trees = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=10, maxDepth=4, stepSize=0.3, seed=13).fit(made.where("learn").select("vector", "label", "weight"))
+    judged = trees.transform(made.where("NOT learn")).select("kind", "label", "n", vector_to_array("probability")[1].alias("p"))
     return trees, thresholds(judged, precision)
 
 

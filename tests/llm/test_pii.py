@@ -105,3 +105,17 @@ def test_defined_cases(spark):
     plan = pii.personal_data(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert got == [(0, 1, "email:0:6"), (1, 1, "email:0:6"), (1, 1, "email:0:6"), (2, 0, ""), (3, 0, "")]
+
+
+def test_the_model_counts_every_finding(spark):
+    """Far more findings of a kind than any bound: none is left out, and a rare kind keeps its weight."""
+    rows = [(0, f"u{k}@mail.example.com", "write to ", " now", 1.0) for k in range(3000)] + [(0, f"icon{k}@2x.png", "see ", " here", 0.0) for k in range(2600)]
+    rows += [(1, f"10.20.30.{k}", "host ", "", 1.0) for k in range(40)] + [(1, f"10.20.30.{k}", "version ", "", 0.0) for k in range(40)]
+    findings = spark.createDataFrame(rows + rows[:500], "kind int, value string, before string, after string, label double")
+    counted = pii._counted(findings)
+    assert {(r.kind, r.label): r.n for r in counted.groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()} == {(0, 1.0): 3000, (0, 0.0): 2600, (1, 1.0): 40, (1, 0.0): 40}
+    assert counted.count() < 200  # findings of equal features are one row
+    judged = pii.scored(findings, pii.model(findings)).groupBy("kind", "label").agg(F.avg(F.col("personal").cast("int")).alias("p")).collect()
+    assert all(r.p >= 0.95 if r.label else r.p <= 0.05 for r in judged)
+    p = spark.createDataFrame([(0, 1.0, 0.9, 98), (0, 0.0, 0.9, 2), (0, 1.0, 0.7, 1), (0, 0.0, 0.7, 1)], "kind int, label double, p double, n long")
+    assert pii.thresholds(p, 0.98) == {0: pytest.approx(0.8)}
