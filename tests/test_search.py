@@ -121,3 +121,20 @@ def test_a_task_returns_only_the_best_of_all_blocks(spark, metric, scoped, autho
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and plan.index("MapInArrow") < plan.index("CartesianProduct") < plan.index("Exchange")
     assert _rows(found) == _brute(queries, chunks, 6, metric, scoped, authorize)
+
+
+def test_search_shuffles_no_text_of_the_chunks(spark):
+    from docshield.sources import fixtures as FX
+    from tests.conftest import SF_SMALL
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large to broadcast
+    try:
+        todo, shuffled = [FX.chunks(spark, SF_SMALL).select("chunk_id", "tenant_id", "embedding")._jdf.queryExecution().executedPlan().initialPlan()], []
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "Exchange":
+                shuffled.append({node.output().apply(i).name() for i in range(node.output().size())})
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        assert shuffled and not any("text" in names for names in shuffled)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
