@@ -1,6 +1,7 @@
 """Exact top-k search: the broadcast path and the block-by-block path against all pairs."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,24 @@ def test_search_shuffles_no_text_of_the_chunks(spark):
         assert shuffled and not any("text" in names for names in shuffled)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_a_block_below_the_floors_is_left_without_a_search_of_its_whole_matrix(monkeypatch):
+    import pyarrow as pa
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(300, 8))
+    block = cells.Asked(pa.table({"query_id": list(range(40)), "qvec": vectors[:40].tolist(), "floor": [0.999] * 40}), 3, "cosine", False)
+    part = cells.Found(pa.table({"embedding": vectors[30:].tolist(), "ids": [[f"c{i:03d}"] for i in range(30, 300)]}), "cosine", False)
+    searched = []
+
+    def note(find):
+        def run(a):
+            searched.append(a.size)
+            return find(a)
+        return run
+    for name in ("nonzero", "flatnonzero"):
+        monkeypatch.setattr(cells.np, name, note(getattr(np, name)))
+    block.meet(part)
+    found = pd.concat(list(block.best()))
+    assert list(zip(found["query_id"], found["chunk_id"])) == [(i, f"c{i:03d}") for i in range(30, 40)]
+    assert max(searched) <= 10 * 270
