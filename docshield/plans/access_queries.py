@@ -136,7 +136,7 @@ def q_graph_authorized_docs(spark, sf):
 
 
 def _guarded(spark, sf):
-    return R.retrieve_candidates(_q(spark, sf), _c(spark, sf))
+    return R.retrieve_candidates(_q(spark, sf), _c(spark, sf), texts=False)
 
 
 def q_guarded_retrieval(spark, sf):
@@ -159,14 +159,14 @@ def q_graph_profiles(spark, sf):
 
 def q_graph_retrieval(spark, sf):
     """Guarded retrieval whose pre-filter follows the graph's edges."""
-    g = R.retrieve_candidates(_q(spark, sf), _c(spark, sf), graph=_graph_chunks(spark, sf))
+    g = R.retrieve_candidates(_q(spark, sf), _c(spark, sf), graph=_graph_chunks(spark, sf), texts=False)
     return g.select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", F.round("score", 6).alias("score"),
                     F.coalesce("block_reason", F.lit("")).alias("block_reason"), "action")
 
 
 def q_retrieval_summary(spark, sf):
     q = _q(spark, sf)
-    return R.retrieval_summary(q, R.retrieve_candidates(q, _c(spark, sf)))
+    return R.retrieval_summary(q, R.retrieve_candidates(q, _c(spark, sf), texts=False))
 
 
 def q_context_build(spark, sf):

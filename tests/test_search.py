@@ -160,3 +160,31 @@ def test_a_block_below_the_floors_is_left_without_a_search_of_its_whole_matrix(m
     found = pd.concat(list(block.best()))
     assert list(zip(found["query_id"], found["chunk_id"])) == [(i, f"c{i:03d}") for i in range(30, 40)]
     assert max(searched) <= 10 * 270
+
+
+def test_only_texts_with_an_embedding_are_shuffled(spark):
+    from docshield.sources import fixtures as FX
+    from tests.conftest import SF_SMALL
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = FX.chunks(spark, SF_SMALL, planted=False).select("chunk_id", "text")._jdf.queryExecution().executedPlan().toString()
+        docs = plan[plan.index("text#"):]
+        assert "LeftSemi" in docs and docs.index("Exchange hashpartitioning(doc_id") < docs.index("LeftSemi")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_candidates_are_decided_without_texts(spark):
+    from docshield.operators import retrieval as R
+    from docshield.sources import fixtures as FX
+    from tests.conftest import SF_SMALL
+    q, c = FX.queries(spark, SF_SMALL), FX.chunks(spark, SF_SMALL)
+    decided = R.retrieve_candidates(q, c, texts=False)
+    assert not {"text", "chunk_text"} & set(decided.columns)
+    whole = {(r.query_id, r.rank): r for r in R.retrieve_candidates(q, c).collect()}
+    rows = decided.collect()
+    assert len(rows) == len(whole) and all(r.action == whole[r.query_id, r.rank].action for r in rows)
+    for r in whole.values():
+        assert r.text.startswith("[FLAGGED UNTRUSTED CHUNK") == (r.action == "wrap") and r.chunk_text in r.text
+    assert {"wrap", "pass"} <= {r.action for r in whole.values()}
