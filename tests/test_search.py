@@ -188,3 +188,41 @@ def test_candidates_are_decided_without_texts(spark):
     for r in whole.values():
         assert r.text.startswith("[FLAGGED UNTRUSTED CHUNK") == (r.action == "wrap") and r.chunk_text in r.text
     assert {"wrap", "pass"} <= {r.action for r in whole.values()}
+
+
+def test_only_texts_of_wanted_chunks_are_shuffled(spark, monkeypatch):
+    from docshield.operators import retrieval as R
+    from docshield.sources import fixtures as FX
+    from tests.conftest import SF_SMALL
+    chunks = FX.chunks(spark, SF_SMALL)
+    rows = [(1, "0_chunk_0", 10, "pass"), (2, "0_chunk_0", 10, "pass"), (3, "pc6", 3, "wrap"), (4, "no_chunk", 10, "pass")]
+    cands = spark.createDataFrame(rows, "query_id long, chunk_id string, trust int, action string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large to broadcast
+    try:
+        found = R.with_texts(cands, chunks)
+        got = sorted((r.query_id, r.chunk_id, r.chunk_text, r.text) for r in found.collect())
+        todo, shuffled = [found._jdf.queryExecution().executedPlan().executedPlan()], []
+        while todo:
+            node = todo.pop()
+            if node.nodeName().endswith("QueryStage"):
+                node = node.plan()
+            if node.nodeName() == "Exchange" and "chunk_text" in {node.output().apply(i).name() for i in range(node.output().size())}:
+                shuffled.append(node.metrics().apply("shuffleRecordsWritten").value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        assert shuffled == [2]
+        monkeypatch.setattr(R, "WANTED_BROADCAST", 1)  # more than may be broadcast: the same rows
+        assert got == sorted((r.query_id, r.chunk_id, r.chunk_text, r.text) for r in R.with_texts(cands, chunks).collect())
+        assert [x[0] for x in got] == [1, 2, 3] and got[2][3].startswith("[FLAGGED UNTRUSTED CHUNK")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_logs_read_routed_queries_and_answers_that_are_written_once(spark):
+    from docshield.plans import pipeline as P
+    from docshield.sources import fixtures as FX
+    from tests.conftest import SF_SMALL
+    per_query, cands = P.for_tables(spark, SF_SMALL)
+    log = P.injection_log(per_query, cands, FX.chunks(spark, SF_SMALL))
+    plan = log._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "conv_id" not in plan
