@@ -226,3 +226,16 @@ def test_logs_read_routed_queries_and_answers_that_are_written_once(spark):
     log = P.injection_log(per_query, cands, FX.chunks(spark, SF_SMALL))
     plan = log._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "conv_id" not in plan
+
+
+def test_the_newest_documents_are_a_top_n_and_no_sort_of_all_texts(spark):
+    from docshield.plans import analytics_queries as A
+    from docshield.sources import fixtures as FX
+    from tests.conftest import SF_SMALL
+    log = A._ingest_log_newest(spark, SF_SMALL, 20)
+    for df, top in ((A._newest_documents(FX.docs_raw(spark, SF_SMALL), 20), True), (log, False)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan and ("TakeOrderedAndProject" in plan) == top
+    every = A._ingest_log(spark, SF_SMALL)
+    newest = every.orderBy(F.col("ingested_at").desc(), F.col("id").desc()).limit(20)
+    assert {(r.id, r.status) for r in log.collect()} == {(r.id, r.status) for r in newest.select("id", "status", "ingested_at").collect()}
