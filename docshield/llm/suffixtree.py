@@ -10,8 +10,9 @@ scored with, at each symbol, the longest suffix of its past that is a state.
 
 Everything is counted over all training rows.  Counts of words and of successors come
 together by key from all shards, each shard having summed up its own first; the answers go
-back to the shards that asked, as columns in the order asked, and each shard scores its texts.  Contexts that hold more
-than a bucket's share of all symbols are dealt out by successor instead, so no task gets
+back to the shards that asked, as columns in the order asked, and each shard scores its texts.  A shard is a piece of a
+split of about ``SHARD_BYTES`` of text, so what a task holds does not grow with the splits.  Contexts that hold more
+than a quarter of a bucket's share of all symbols are dealt out by successor instead, so no task gets
 a frequent word's whole neighbourhood.
 
 Defined cases: a null or empty text is the end symbol alone; a row without a doc_id is
@@ -21,8 +22,12 @@ repeated rows count as often as they occur; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +39,11 @@ SUPPORT = 2  # a successor is kept from so many occurrences
 GROW = 4  # a context may grow by a word from so many occurrences
 SIGMAS = 3.0
 DEPTH = 2
+#: Bytes of text of a shard (a longer document is in one), and the shards of a split, at most; the last one takes the rest.
+SHARD_BYTES = 12 << 20
+SPLIT_SHARDS = 1024
+#: Words or pairs that a bucket names as its most frequent; all buckets have as many heavy ones as four times their number at most.
+MOST = 128
 END = np.uint64(0x5851F42D4C957F2D)
 _K = np.uint64(0x2545F4914F6CDD1D)
 
@@ -65,6 +75,32 @@ def symbols(texts) -> tuple[np.ndarray, np.ndarray]:
     return out, doc
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a split with the numbers of their shards instead of the split's.  A row's shard follows from the bytes of
+    text before it, so every pass deals the same rows to it, however they come in batches."""
+    before = 0
+    for b in steps(batches):
+        size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        end = before + np.cumsum(size)
+        piece = np.minimum((end - size) // SHARD_BYTES, SPLIT_SHARDS - 1)
+        before, place = int(end[-1]), b.schema.get_field_index("shard")
+        shard = pa.array(b.column("shard").to_numpy().astype(np.int64) * SPLIT_SHARDS + piece, pa.int32())
+        b = b.set_column(place, "shard", shard)
+        edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(piece)]
+        for lo, hi in zip(edges, edges[1:]):
+            yield b.slice(lo, hi - lo)
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[_Shard]:
+    """The shards of a split, one at a time."""
+    for _, own in groupby(_numbered(batches), lambda b: b.column("shard")[0].as_py()):
+        yield _Shard(own)
+
+
+def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return blobs(_numbered(batches))
+
+
 class _Shard:
     """A shard's symbols as numbers: ``hash`` has its distinct symbols in order, ``word`` the place of each symbol there.
 
@@ -194,9 +230,9 @@ def _triples(shard: _Shard, pairs: _Entries, heavy: np.ndarray, count: int) -> t
 
 def _count_words(count: int):
     def run(batches):
-        shard = _Shard(steps(batches))
-        if shard.id is not None:
+        for shard in _shards(batches):
             yield by_bucket(shard.id, top_bits(shard.hash, count), count, shard.hash, shard.counts(shard.word, slice(None), len(shard.hash)))
+            del shard
     return run
 
 
@@ -210,16 +246,16 @@ def _sum_words(table: pa.Table) -> pa.Table:
         own = total[np.searchsorted(keys, h[at:at + k])]
         rows.append((shard, answer(bucket, own)))
         at += k
-    most = np.argsort(total)[-32:]
+    most = np.argsort(total)[-MOST:]
     rows.append((-1, pack0(np.array([total.sum(), (total > 0).sum(), (total.astype(float) * (total - 1)).sum()], float), keys[most], total[most])))
     return replies(rows)
 
 
 def _count_pairs(heavy: np.ndarray, count: int):
     def run(batches):
-        shard = _Shard(steps(batches))
-        if shard.id is not None:
+        for shard in _shards(batches):
             yield _pairs(shard, heavy, count).blocks(shard.id)
+            del shard
     return run
 
 
@@ -263,14 +299,14 @@ def _sum_successors(heavy: np.ndarray, rate: float):
             state = np.searchsorted(names, p[0])
             rows.append((shard, answer(bucket, np.where(told[g], total[g], 0), *(np.where(stays[state], x[state], 0) for x in (totals, mass, distinct, agree.astype(np.int64))))))
             k0 += k
-        most = np.argsort(total)[-32:]
+        most = np.argsort(total)[-MOST:]
         rows.append((-1, pack0(names[big], *(x[big] for x in (*sums, rates)), pair(c, s[first])[most], total[most])))
         return replies(rows)
     return run
 
 
 def _heavy_states(found: DataFrame) -> tuple:
-    """The dealt-out contexts that stay: sorted names, totals, kept masses, agreement rates; as many as buckets at most."""
+    """The dealt-out contexts that stay: sorted names, totals, kept masses, agreement rates; as many as four times the buckets at most."""
     def rows(batches):
         for b in batches:
             for x in b.column("payload").to_pylist():
@@ -335,16 +371,18 @@ def _score(total: float, distinct: float, heavy: list, states: list[tuple], coun
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document; ``docs`` has doc_id, text and
     held_out (not learned from)."""
-    spark, count = docs.sparkSession, buckets(docs.sparkSession)
+    spark = docs.sparkSession
+    # shards are many: a bucket for each shuffle partition keeps their payloads few; a context is heavy from a quarter of a bucket's share
+    count, shares = buckets(spark, 1), buckets(spark)
     docs = with_shard(docs.select("doc_id", "text", "held_out"))
     kind = dict(docs.dtypes)["doc_id"]
     words = cut(docs.mapInArrow(_count_words(count), EXCHANGE).groupBy("bucket").applyInArrow(_sum_words, REPLY))
-    sums = [unpack(r[0]) for r in words.where("shard = -1").select("payload").collect()]  # three sums and 32 words for each bucket
+    sums = [unpack(r[0]) for r in words.where("shard = -1").select("payload").collect()]  # three sums and MOST words for each bucket
     total, distinct, agree = (float(sum(s[0][k] for s in sums)) for k in range(3))
     rate = agree / max(total * (total - 1), 1)
-    often = lambda tops: np.sort(np.array([k for keys, n in tops for k, x in zip(keys, n.tolist(), strict=True) if x >= max(total / count, 1)], np.uint64))
+    often = lambda tops: np.sort(np.array([k for keys, n in tops for k, x in zip(keys, n.tolist(), strict=True) if x >= max(total / shares, 1)], np.uint64))
     heavy = [often([(s[1], s[2]) for s in sums])]  # by level
-    texts = docs.mapInArrow(blobs, REPLY)
+    texts = docs.mapInArrow(_blobs, REPLY)
     told, states = [words.where("shard >= 0").withColumn("level", F.lit(0))], []
     for level in range(1, DEPTH + 1):
         if level == 1:

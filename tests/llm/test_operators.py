@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docshield.llm import chat, chunkdedup, decontam, langid, neardup, packing, quality, secrets, suffixdedup, suffixtree
@@ -152,6 +153,37 @@ def test_suffix_tree_counts_and_beats_the_base_on_repeats(docs, empty):
     assert by[4].n_tokens == 1 and suffixtree.scored(empty.selectExpr("*", "false AS held_out")).count() == 0
 
 
+def test_suffix_tree_cuts_a_split_to_shards_of_bounded_text():
+    """One split of four shards' text, in few and in many batches: the same shards, none much over the bound, all counts kept."""
+    text = [None if k % 97 == 0 else f"w{k % 1013} " * (k % 400) for k in range(32_000)]
+    whole = pa.RecordBatch.from_pydict({"doc_id": list(range(len(text))), "text": text, "held_out": [False] * len(text), "shard": pa.array([3] * len(text), pa.int32())})
+    found = []
+    for size in (len(text), 777):
+        held = Counter()
+        for b in suffixtree._numbered(whole.slice(k, size) for k in range(0, len(text), size)):
+            held[b.column("shard")[0].as_py()] += b.column("text").to_pandas().str.len().sum()
+            assert b.column("shard").unique().to_pylist() == [b.column("shard")[0].as_py()]
+        counts = Counter()
+        for b in suffixtree._count_words(4)(whole.slice(k, size) for k in range(0, len(text), size)):
+            for shard, payload in zip(b.column("shard").to_pylist(), b.column("payload").to_pylist()):
+                for _, n in [suffixtree.unpack(payload)]:
+                    counts[shard] += int(n.sum())
+        assert sum(held.values()) == sum(map(len, filter(None, text))) and set(counts) == set(held)
+        assert len(held) >= 3 and max(held.values()) <= suffixtree.SHARD_BYTES + 2500
+        found.append((held, counts))
+    assert found[0] == found[1] and sum(counts.values()) == len(text) + sum(k % 400 for k in range(len(text)) if k % 97)
+
+
+def test_suffix_tree_scores_do_not_depend_on_splits(spark, tmp_path):
+    rows = spark.range(30_000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 150 + cast(id % 60 AS int)), i -> concat('w', (id * 31 + i * i) % 509))) AS text", "id % 10 = 0 AS held_out")
+    got = []
+    for n in (1, 6):
+        rows.repartition(n).write.parquet(str(tmp_path / str(n)))
+        got.append({r.doc_id: r for r in suffixtree.scored(spark.read.parquet(str(tmp_path / str(n)))).collect()})
+    assert len(got[0]) == 30_000 and {k: r[:5] for k, r in got[0].items()} == {k: r[:5] for k, r in got[1].items()}
+    assert all(got[0][k].score == pytest.approx(r.score, abs=1e-6) for k, r in got[1].items())
+
+
 def test_quality_base_counts(docs, empty):
     got = {r.doc_id: r for r in quality.quality(docs).collect()}
     assert (got[1].n_words, got[1].word_chars, got[1].base_failed) == (120, len(BASE) - 119, False) and got[1].kept
