@@ -87,3 +87,29 @@ def test_rate_limit_61(spark):
     ev = _events(spark, [(i, 1, t0 + timedelta(milliseconds=500 * i), "view") for i in range(61)])
     r = AN.rate_limit(ev, 60, "1 minute", F.col("user_id").cast("string"))
     assert r.where("over_limit").count() >= 1
+
+
+@pytest.mark.parametrize("mech", ["gaussian", "laplace"])
+def test_noised_search_equals_a_search_over_noised_vectors(spark, mech):
+    """Each scale's hits against ``vector_search`` over chunks noised by ``dp_noisy``; zero vectors, nulls, a tenant with fewer chunks than k."""
+    from docshield.operators import dp as DP
+    from docshield.operators.search import vector_search
+    epsilons, keyed = [0.1, 2.0, 1000.0], "k1"
+    vec = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda d: F.sin(F.col("id") * 7 + d * d + 1).cast("float"))
+    c = spark.range(3000).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.when(F.col("id") < 3, "few").when(F.col("id") % 9 > 0, "big").when(F.col("id") % 2 == 0, "b").alias("tenant_id"),
+                                 F.when(F.col("id") % 50 == 0, None).when(F.col("id") % 51 == 0, F.transform(vec, lambda x: x * 0)).otherwise(vec).alias("embedding"))
+    q = spark.range(300).select((F.col("id") - 5).alias("query_id"), F.when(F.col("id") % 3 == 0, "b").when(F.col("id") % 10 == 1, "few").when(F.col("id") % 10 == 2, "none").when(F.col("id") < 290, "big").alias("tenant_id"),
+                                F.when(F.col("id") % 40 == 7, None).when(F.col("id") == 30, F.transform(vec, lambda x: x * 0)).otherwise(vec).alias("qvec"))
+    scales = [V.gaussian_sigma(e, DP.C.DP_DELTA, DP.C.DP_CLIP) if mech == "gaussian" else DP.C.DP_CLIP / e for e in epsilons]
+    got = DP.noised_search(q, c, 5, key=keyed, scales=scales, mechanism=mech)
+    found = sorted((r.ei, r.query_id, r.chunk_id) for r in got.collect())
+    want = []
+    for ei, e in enumerate(epsilons):
+        noisy = c.withColumn("embedding", V.dp_noisy(V.as_double("embedding"), F.col("chunk_id"), keyed, e, mech))
+        want += [(ei, r.query_id, r.chunk_id) for r in vector_search(q, noisy, 5).collect()]
+    assert found == sorted(want) and len(found) > 3000
+    swept = {r.epsilon: (r.recall_at_k, r.n_queries) for r in DP.privacy_utility_sweep(q, c, key=keyed, epsilons=epsilons, mechanism=mech).collect()}
+    clean = {(r.query_id, r.chunk_id) for r in vector_search(q, c, 5).collect()}
+    for ei, e in enumerate(epsilons):
+        asked = {x[1] for x in found if x[0] == ei}
+        assert swept[e] == (pytest.approx(sum(x[1:] in clean for x in found if x[0] == ei) / 5 / len(asked), abs=1e-6), len(asked))
