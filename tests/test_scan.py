@@ -163,3 +163,26 @@ def test_documents_laid_out_as_files_are_read_back_and_named_alike(spark, tmp_pa
     assert said == {"1": (7, None, sorted_text("ä one")), "2": (1, 400, ""), "3": (13, None, sorted_text("first", "second")), "5": (3, 400, "")}
     write_documents_as_files(docs.limit(0), str(tmp_path / "none"))
     assert read_document_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_file_source_lists_in_tasks_what_spark_lists(spark, tmp_path):
+    """An odd tree: the same files as Spark's own listing, and no list of files on the driver."""
+    from docshield.sources.files import read_document_files
+    made = {"a.txt": b"one", "B.MD": b"two", "no.exe": b"x", "big.txt": b"y" * 300, "blank.csv": b" \n", "empty.txt": b"", "_hidden.txt": b"h", ".dot.txt": b"h", "x._COPYING_": b"h",
+            "_k=v/in.txt": b"shown", "_dir/in.txt": b"hidden", "deep/er/\u00e4 %20 b+c.txt": b"\xff\xfe bad", "doc_id=3/part-00000.txt": b"three", "_metadata.txt": b"m", "_metadata_1/in.md": b"m", "void/.keep": b""}
+    made |= {f"many/d{k % 7}/f{k}.txt": b"%d" % k for k in range(300)}
+    for name, content in made.items():
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_bytes(content)
+    (tmp_path / "t" / "link.txt").symlink_to(tmp_path / "t" / "a.txt")
+    want = {r.path: r.length for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path / "t")).select("path", "length").collect()}
+    for path in (str(tmp_path / "t"), f"file://{tmp_path}/t", f"{tmp_path}/t/"):
+        files = read_document_files(spark, path, max_bytes=200)
+        assert len(files.inputFiles()) < 100
+        rows = files.collect()
+        assert {r.path: r.length for r in rows} == want and len(rows) == len(want)
+    by = {r.source: r for r in rows}
+    assert {k: by[k].reject_code for k in ("no.exe", "big.txt", "blank.csv")} == {"no.exe": 415, "big.txt": 413, "blank.csv": 400}
+    assert (by["B.MD"].text, by["f7.txt"].text, by["\u00e4 %20 b+c.txt"].text, by["in.txt"].text) == ("two", "7", "\ufffd\ufffd bad", "shown")
+    assert [r.path for r in read_document_files(spark, f"{tmp_path}/t/deep/*/*.txt").collect()] == [r for r in want if "/deep/" in r]
+    assert read_document_files(spark, str(tmp_path / "t" / "a.txt")).first().text == "one"
