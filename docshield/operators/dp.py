@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docshield import constants as C
 from docshield.functions import vectors as V
-from docshield.operators.cells import _matrix, _packed, _unpacked
+from docshield.operators.cells import _matrix, _packed, _unpacked, release
 from docshield.operators.search import RESCORE_ROWS, _fold, vector_search
 from docshield.sources.files import cut
 
@@ -23,7 +23,7 @@ SWEEP_EPSILONS = [0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 100.0, 1000.0]
 SWEEP_QUERIES = 8192
 SWEEP_BLOCK = 1024
 SWEEP_TILE = 256
-SWEEP_BATCH = 16
+SWEEP_BATCH = 4
 
 
 def dp_embed(df: DataFrame, *, key: str, vec_col: str = "embedding", id_col: str = "chunk_id",
@@ -64,7 +64,7 @@ def privacy_utility_sweep(queries: DataFrame, chunks: DataFrame, *, key: str, k:
             raise ValueError(f"epsilon must be > 0, got {e}")
         scales.append(V.gaussian_sigma(e, C.DP_DELTA, C.DP_CLIP) if mechanism == "gaussian" else C.DP_CLIP / e)
     noisy_hits = noised_search(queries, chunks, k, key=key, scales=scales, mechanism=mechanism)
-    clean_hits = _cut_in_small_batches(vector_search(queries, chunks, k).select("query_id", "chunk_id"))
+    clean_hits = _cut_in_batches(vector_search(queries, chunks, k).select("query_id", "chunk_id"), SWEEP_BATCH)
     hit = noisy_hits.join(clean_hits.withColumn("hit", F.lit(1)), ["query_id", "chunk_id"], "left")
     per_q = hit.groupBy("ei", "query_id").agg(F.count_if(F.col("hit") == 1).alias("n_hit"))
     eps_df = chunks.sparkSession.createDataFrame([(i, float(e)) for i, e in enumerate(epsilons)], "ei int, epsilon double")
@@ -91,7 +91,7 @@ def noised_search(queries: DataFrame, chunks: DataFrame, k: int, *, key: str, sc
         unit = F.zip_with("u0", "u1", lambda a, b: V.noise_of(mechanism, 1.0, a, b))
     else:
         unit = F.transform("u0", lambda a: V.noise_of(mechanism, 1.0, a))
-    blocks = cut(c.select("tenant_id", "chunk_id", "clipped", unit.alias("unit")).mapInArrow(_pack_blocks, "tenant_id string, payload binary"))
+    blocks = _cut_in_batches(c.select("tenant_id", "chunk_id", "clipped", unit.alias("unit")).mapInArrow(_pack_blocks, "tenant_id string, payload binary"), SWEEP_BLOCK)
     q = queries.select("query_id", F.col("tenant_id").cast("string").alias("tenant_id"), "qvec").where("qvec IS NOT NULL AND tenant_id IS NOT NULL")
     n = q.count()
     parts = max(math.ceil(n / SWEEP_QUERIES), min(n, spark.sparkContext.defaultParallelism), 1)
@@ -100,14 +100,14 @@ def noised_search(queries: DataFrame, chunks: DataFrame, k: int, *, key: str, sc
     met = blocks.coalesce(1).withColumn("n", F.monotonically_increasing_id()).hint("shuffle_replicate_nl").crossJoin(asked)
     met = met.select("tenant_id", "payload", F.when(F.col("n") == 0, F.col("queries")).alias("queries"))
     found = met.mapInArrow(_noised_scorer(k, scales), "ei int, query_id long, chunk_id string")
-    return _cut_in_small_batches(found)
+    return _cut_in_batches(found, SWEEP_BATCH)
 
 
-def _cut_in_small_batches(df: DataFrame) -> DataFrame:
-    """``cut`` of a search whose rows carry blocks of vectors: few of them at a time go to the Python workers, or the buffers take more memory than the heap."""
+def _cut_in_batches(df: DataFrame, rows: int) -> DataFrame:
+    """``cut`` of rows that carry vectors or blocks of them: so many at a time go to the Python workers, as the buffers for them are kept besides the heap."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(name, None)
-    conf.set(name, str(SWEEP_BATCH))
+    conf.set(name, str(rows))
     try:
         return cut(df)
     finally:
@@ -131,6 +131,7 @@ def _uniforms(key: str, salts: list[str]):
                     top = np.frombuffer(digests, ">u8")[::4].astype(np.uint64) >> np.uint64(12)
                     b = b.append_column(f"u{i}", pa.ListArray.from_arrays(off, pa.array((top.astype(np.float64) + 0.5) / V.TWO52)))
                 yield b
+        release()
     return run
 
 
@@ -149,7 +150,10 @@ def _pack_all(batches):
     """All rows of a task as one payload."""
     held = [b for b in batches if b.num_rows]
     if held:
-        yield pa.RecordBatch.from_pydict({"queries": pa.array([_packed(pa.Table.from_batches(held))], pa.binary())})
+        payload = _packed(pa.Table.from_batches(held))
+        held.clear()
+        yield pa.RecordBatch.from_pydict({"queries": pa.array([payload], pa.binary())})
+    release()
 
 
 class _Best:
@@ -288,4 +292,6 @@ def _noised_scorer(k: int, scales: list[float]):
                 q, ids = best.best()
                 if len(q):
                     yield pa.RecordBatch.from_pydict({"ei": pa.array(np.full(len(q), ei, np.int32)), "query_id": pa.array(own.qids[q], pa.int64()), "chunk_id": pa.array(ids, pa.string())})
+        asked.clear()
+        release()
     return run
